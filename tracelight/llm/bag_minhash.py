@@ -8,8 +8,9 @@ so a text costs about m ln m points, however long it is. Two signatures agree in
 the weighted Jaccard similarity of the multisets.
 
 Then: texts with equal word sequences collapse into classes; signature bands bucket the classes; each bucket's members
-are verified against two pivots (a star, linear in the bucket), then only pairs that are still in different components are
-verified. Links inside a component cannot change it, so none that matters is lost.
+are verified against one pivot (a star, linear in the bucket), then those that are not in its component against the rest
+of the bucket, in blocks of BLOCK by BLOCK that are compared in memory, so that no list of pairs is made. Links inside a
+component cannot change it, so none that matters is lost.
 
 Defined results. Null or wordless text: no class, linked with nothing, kept. Fewer words than a shingle: all words are the
 one shingle. Null doc_id: takes no part, kept. Rows sharing a doc_id are one node. Repeated rows: one class. Empty table:
@@ -21,13 +22,14 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracelight.llm import kit
 
-BANDS, ROWS, WORDS, SIMILARITY = 25, 5, 5, 0.8
+BANDS, ROWS, WORDS, SIMILARITY, BLOCK = 25, 5, 5, 0.8, 512
 
 
 def shingles(hashes: np.ndarray, k: int) -> np.ndarray:
@@ -141,6 +143,61 @@ def _verified(pairs: DataFrame, elements: DataFrame, similarity: float) -> DataF
     return joined.select("a", "b", (both >= F.lit(similarity) * (F.size("x") + F.size("y") - both)).alias("linked"))
 
 
+def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the common parts of each of left with each of right (sets), by products over slices of their elements."""
+    ends = [np.repeat(np.arange(len(x)), [len(s) for s in x]) for x in (left, right)]
+    flat = [np.concatenate(x) for x in (left, right)]
+    common = np.intersect1d(*flat)
+    out = np.zeros((len(left), len(right)), np.float32)
+    found = []
+    for values, owner in zip(flat, ends):
+        at = np.searchsorted(common, values)
+        hit = (at < len(common)) & (common[np.minimum(at, max(len(common) - 1, 0))] == values) if len(common) else np.zeros(len(values), bool)
+        order = np.argsort(at[hit], kind="stable")
+        found.append((at[hit][order], owner[hit][order]))
+    for lo in range(0, len(common), 4096):
+        sides = []
+        for (at, owner), n in zip(found, out.shape):
+            a, b = np.searchsorted(at, [lo, lo + 4096])
+            m = np.zeros((n, min(4096, len(common) - lo)), np.float32)
+            m[owner[a:b], at[a:b] - lo] = 1
+            sides.append(m)
+        out += sides[0] @ sides[1].T
+    return out
+
+
+def _across(similarity: float):
+    """Links between different components among the rows of one block and the members of another; a spanning set of them."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        is_left = rows["left"].to_numpy()
+        l, r = rows[is_left], rows[~is_left]
+        if not len(l) or not len(r):
+            return pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
+        x, y = list(l["elements"]), list(r["elements"])
+        both = overlaps(x, y)
+        total = np.array([len(s) for s in x])[:, None] + np.array([len(s) for s in y])[None, :] - both
+        apart = l["root"].to_numpy()[:, None] != r["root"].to_numpy()[None, :]
+        i, j = np.nonzero(apart & (both >= similarity * total))
+        joined: dict[int, int] = {}
+
+        def top(a: int) -> int:
+            while joined.get(a, a) != a:
+                a = joined[a]
+            return a
+
+        out = []
+        ids, others, ra, rb = (s.to_numpy() for s in (l["node"], r["node"], l["root"], r["root"]))
+        for a, b in zip(i.tolist(), j.tolist()):
+            u, v = top(int(ra[a])), top(int(rb[b]))
+            if u != v:
+                joined[max(u, v)] = min(u, v)
+                out.append((ids[a], others[b]))
+        return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
+
+    return run
+
+
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, words: int = WORDS, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """doc_id, component_id (smallest doc_id of its group), kept, class_id (smallest doc_id with the same words), n_copies."""
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -149,28 +206,34 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, words: int
     classes = kit.checkpoint(real.groupBy("class").agg(F.min("doc_id").alias("node"), F.count("*").alias("n"), F.first("bands").alias("bands")))
 
     slots = kit.checkpoint(classes.select("node", F.explode("bands").alias("bucket")))
-    pivots = slots.groupBy("bucket").agg(F.min("node").alias("p"), F.max("node").alias("q"), F.count("*").alias("n")).where("n > 1")
-    shared = kit.checkpoint(slots.join(pivots, "bucket").select("bucket", "node", "p", "q"))
+    sizes = slots.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    members = kit.checkpoint(slots.join(sizes, "bucket").select("bucket", "node", "n"))
+    # The pivot is the member that shares buckets with the most others: the least edited of a family of copies.
+    central = members.groupBy("node").agg(F.sum("n").alias("score"))
+    pivots = members.join(central, "node").groupBy("bucket").agg(F.max_by("node", F.struct("score", -F.col("node"))).alias("p"))
+    shared = kit.checkpoint(members.join(pivots, "bucket").select("bucket", "node", "p", "n"))
     wanted = shared.select("node").distinct()
     # Only texts of shared buckets are read again; the small side is hashed, so texts are not sorted.
     texts = ids.join(wanted.withColumnRenamed("node", "doc_id").hint("shuffle_hash"), "doc_id", "left_semi").withColumnRenamed("doc_id", "node")
     elements = kit.checkpoint(texts.mapInArrow(_elementer(words), "node long, elements array<long>").dropDuplicates(["node"]))
 
-    star = shared.select(F.col("p").alias("a"), F.col("node").alias("b")).unionAll(shared.select(F.col("q").alias("a"), F.col("node").alias("b")))
-    star = star.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    checked = kit.checkpoint(_verified(star, elements, similarity))
-    linked = checked.where("linked").select("a", "b")
+    star = shared.where("node <> p").select(F.least("p", "node").alias("a"), F.greatest("p", "node").alias("b")).distinct()
+    linked = kit.checkpoint(_verified(star, elements, similarity).where("linked").select("a", "b"))
     roots = kit.connected_components(linked)
 
-    # Second step: members whose component is not their bucket's pivot's, against the rest of the bucket.
-    known = shared.select("bucket", "node", "p").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    # Second step: members whose component is not their bucket's pivot's, against the rest of the bucket, block by block.
+    known = shared.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     heads = roots.select(F.col("node").alias("p"), F.col("root").alias("p_root"))
-    known = kit.checkpoint(known.join(heads, "p", "left").withColumn("p_root", F.coalesce("p_root", "p")))
-    rest = known.where("root <> p_root").select("bucket", F.col("node").alias("a"), F.col("root").alias("ra"))
-    across = rest.join(known.select("bucket", F.col("node").alias("b"), F.col("root").alias("rb")), "bucket").where("ra <> rb")
-    across = across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    across = across.join(checked.select("a", "b"), ["a", "b"], "left_anti")
-    more = kit.checkpoint(_verified(across, elements, similarity).where("linked").select("a", "b"))
+    known = kit.checkpoint(known.join(heads, "p", "left").withColumn("apart", F.col("root") != F.coalesce("p_root", "p")).select("bucket", "node", "root", "n", "apart"))
+    open_ = known.where("apart").groupBy("bucket").agg(F.count("*").alias("r"), F.max("n").alias("n"))
+    cuts = open_.select("bucket", F.ceil(F.col("r") / BLOCK).cast("int").alias("rows"), F.ceil(F.col("n") / BLOCK).cast("int").alias("columns"))
+    at = known.select("bucket", "node", "root", "apart").join(cuts, "bucket")
+    place = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = at.where("apart").select("bucket", "node", "root", F.lit(True).alias("left"), place("rows").alias("i"), spread("columns").alias("j"))
+    right = at.select("bucket", "node", "root", F.lit(False).alias("left"), spread("rows").alias("i"), place("columns").alias("j"))
+    groups = left.unionAll(right).join(elements, "node")
+    more = kit.checkpoint(groups.groupBy("bucket", "i", "j").applyInPandas(_across(similarity), "a long, b long"))
     if not more.isEmpty():
         roots = kit.connected_components(linked.unionAll(more))
 
