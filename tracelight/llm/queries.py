@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tracelight.llm import bag_minhash, licenses, line_dedup, pii, pivot_topk, poisson_mix, pstable, resample, sparse_suffix, tree_bpe
+from tracelight.llm import bag_minhash, licenses, line_dedup, oracles, pii, pivot_topk, poisson_mix, pstable, resample, sparse_suffix, tree_bpe
 from tracelight.llm.kit import table
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -61,4 +61,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(oracles.SQL)
