@@ -255,6 +255,16 @@ def test_largest(spark):
 # --- 7 ---
 
 
+@pytest.mark.parametrize("total", [0, 10, 3000, 10**9])
+def test_fewest(spark, total):
+    """Whatever the bound starts from, the rows of the smallest hashes are returned."""
+    rows = spark.range(3000).select("id", F.xxhash64("id").alias("h"))
+    want = [r["id"] for r in rows.orderBy("h", "id").limit(20).collect()]
+    assert [r["id"] for r in kit.fewest(rows, total, F.col("h"), 20, "id")] == want
+    assert len(kit.fewest(rows.where("id < 7"), total, F.col("h"), 20, "id")) == 7
+    assert kit.fewest(rows.where("id < 0"), total, F.col("h"), 20, "id") == []
+
+
 def test_topk(spark, monkeypatch):
     monkeypatch.setattr(pivot_topk, "BLOCK", 50)
     rng = np.random.default_rng(4)

@@ -39,6 +39,21 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def fewest(rows: DataFrame, total: int, hashed: F.Column, n: int, *order: str) -> list:
+    """The n of rows (about total of them) with the smallest hashes, ties by order; collected, so n must be a bounded parameter.
+
+    Only rows under a bound of the hash reach the sort, about 8 n of them however many there are; where fewer than n lie
+    under it, the bound is widened, at last to all.
+    """
+    share = min(1.0, 8 * n / max(total, 1))
+    while True:
+        bound = min(int(share * 2.0**64) - 2**63, 2**63 - 1)
+        found = rows.where(hashed <= F.lit(bound)).orderBy(hashed, *order).limit(n).collect()
+        if len(found) >= n or share >= 1:
+            return found
+        share = min(1.0, share * 16)
+
+
 def null_columns(df: DataFrame, prefix: str, names: list[str]) -> dict[str, str]:
     """A free column name for each of names, so that clashing columns of the input stay untouched."""
     have, out = {c.lower() for c in df.columns}, {}

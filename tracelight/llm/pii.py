@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracelight.llm.char_crf import KINDS, Tagger, codes, trained
+from tracelight.llm.kit import fewest
 
 SIZE, STRIDE, BACKGROUNDS, WINDOWS, HIDDEN, EPOCHS = 96, 64, 64, 1500, 12, 8
 
@@ -160,7 +161,8 @@ def _line(spans: list[tuple[int, int, int]]) -> str:
 
 
 def fit(docs: DataFrame, backgrounds: int = BACKGROUNDS, windows: int = WINDOWS, hidden: int = HIDDEN, epochs: int = EPOCHS, size: int = SIZE) -> Tagger:
-    some = docs.where("text is not null and doc_id is not null").orderBy(F.xxhash64("doc_id"), "doc_id", "text").select(F.substring("text", 1, 2000).alias("text")).limit(backgrounds).collect()  # bounded, for training only
+    rows = docs.where("text is not null and doc_id is not null").select("doc_id", F.substring("text", 1, 2000).alias("text"))  # for training only
+    some = fewest(rows, docs.where("doc_id is not null").count(), F.xxhash64("doc_id"), backgrounds, "doc_id", "text")
     clean = sorted({re.sub(r"[0-9@+]+", "", r["text"]) for r in some} - {""}) or ["lorem ipsum dolor sit amet "]
     return trained(tuple(clean), windows, size, hidden, epochs)
 
