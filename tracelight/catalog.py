@@ -346,6 +346,18 @@ def _propagated(spark, d):
     return w, poi, rep.select("node", _r("reputation"))
 
 
+def _converged(spark, d):
+    """Weighted edges, point of interest and the reputations at convergence, which no SQL expresses."""
+    w, poi = _weighted(spark, d)
+    return w, poi, checkpoint(ranking.propagate(w, ranking.initial_reputation(w, [poi], []), [poi]))
+
+
+def _ranks(w, poi, rep, ranked=ranking.ranked_candidates):
+    """Rankings of converged reputations; those equal to 12 places stand by name, so that reruns agree."""
+    out = ranked(ranking.entry_candidates(w, poi), rep.select("node", _r("reputation", places=12)))
+    return out.select("node", "kind", _r("reputation"), F.col("rank").cast("long").alias("rank"))
+
+
 @query("p1_initial_reputation", START + " SELECT node, rep AS reputation FROM p0")
 def _(spark, d):
     e, poi = _poi(spark, d)
@@ -403,9 +415,39 @@ def _(spark, d):
     return ranking.without_unreputed(w, rep).select("src", "dst", "start_t", "end_t")
 
 
+# SQL chains ROUNDS rounds: the queries above are held against it, these run to convergence.
+
+
+@query("p2_converged")
+def _(spark, d):
+    return _converged(spark, d)[2].select("node", _r("reputation"))
+
+
+@query("p4_converged_ranked")
+def _(spark, d):
+    return _ranks(*_converged(spark, d))
+
+
+@query("p5_converged_top")
+def _(spark, d):
+    return _ranks(*_converged(spark, d), ranking.top_candidates)
+
+
+@query("p6_converged_highlighted")
+def _(spark, d):
+    names = ranking.highlighted(["N:cust#1 ", ""], _ranks(*_converged(spark, d), ranking.top_candidates))
+    return spark.createDataFrame([(n,) for n in names], "node string")
+
+
+@query("p9_converged_without_unreputed")
+def _(spark, d):
+    w, _, rep = _converged(spark, d)
+    return ranking.without_unreputed(w, rep).select("src", "dst", "start_t", "end_t")
+
+
 @query("t10_reputation_walk")
 def _(spark, d):
-    w, poi, rep = _propagated(spark, d)
+    w, poi, rep = _converged(spark, d)
     return slicing.reputation_walk(w, rep, poi, 0.9, False).select("src", "dst", "start_t", "end_t", "weight")
 
 
@@ -423,7 +465,7 @@ def flagship(spark, d):
 
 @query("out1_dot")
 def _(spark, d):
-    w, poi, rep = _propagated(spark, d)
+    w, poi, rep = _converged(spark, d)
     return snapshot.dot_lines(w.where((F.col("src") == poi) | (F.col("dst") == poi)), rep, poi)
 
 
