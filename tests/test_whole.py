@@ -5,6 +5,7 @@ import collections
 import pytest
 
 from tracelight import catalog
+from tracelight.operators import slicing
 
 DATA = "/root/testdata/sf0.001"
 
@@ -64,3 +65,47 @@ def test_converged_filters(spark, case):
     while more := {e.src for e in ok if e.dst in seen} - seen:
         seen |= more
     assert key(run(spark, "t10_reputation_walk")) == key(e for e in ok if e.dst in seen)
+
+
+def arrivals(edges, root, until, steps=None):
+    """Earliest arrivals from one root by plain rounds over all edges."""
+    arr = {root: slicing.LOW}
+    while steps is None or steps:
+        steps = steps and steps - 1
+        new = dict(arr)
+        for e in edges:
+            if e.src in arr and arr[e.src] <= e.start_t < until:
+                new[e.dst] = min(new.get(e.dst, e.start_t), e.start_t)
+        if new == arr:
+            break
+        arr = new
+    return arr
+
+
+def test_forward_from_all_roots(spark, case):
+    edges, poi, _ = case
+    until = max(e.end_t for e in edges if e.dst == poi)
+    roots = sorted({e.src for e in edges if e.src[0] == "N"})
+    assert len(roots) > slicing.MOST_ROOTS
+    for name, steps in (("t7_forward_all", None), ("t6_forward_all_steps", 3)):
+        got = collections.defaultdict(dict)
+        for r in run(spark, name):
+            got[r.root][r.node] = r.arr
+        assert sorted(got) == roots
+        for root in roots[::10]:
+            assert got[root] == arrivals(edges, root, until, steps)
+
+
+def test_merged_from_all_candidates(spark, case):
+    _, poi, _ = case
+    e = catalog.graph(spark, DATA)
+    s = slicing.slice_edges(e, slicing.back_track(e, poi)).collect()
+    until = max(x.end_t for x in s if x.dst == poi)
+    fed, entered, nodes = {x.dst for x in s if x.src[0] in "NP"}, {x.dst for x in s}, {n for x in s for n in (x.src, x.dst)} - {poi}
+    pairs = set()
+    for n in nodes:
+        if n[0] == "N" or (n[0] == "P" and n not in fed) or (n[0] == "F" and n not in entered):
+            arr = arrivals(s, n, until)
+            pairs |= {(x.src, x.dst) for x in s if x.src in arr and arr[x.src] <= x.start_t < until}
+    key = lambda rows: sorted((x.src, x.dst, x.start_t, x.end_t) for x in rows)
+    assert key(run(spark, "t8_merged_candidates")) == key(x for x in s if (x.src, x.dst) in pairs)

@@ -252,6 +252,37 @@ def _(spark, d):
     return slicing.merged_forward(s, _roots(s, 3), slicing.latest_in(s, poi)).select("src", "dst", "event", "start_t", "end_t", "size")
 
 
+# SQL takes 1 or 3 roots: the queries above are held against it, these take all.
+
+
+def _all_roots(e: DataFrame) -> DataFrame:
+    return e.where(F.col("src").startswith("N:")).select(F.col("src").alias("node")).distinct()
+
+
+def _forward_all(spark, d, rounds=None):
+    e, poi = _poi(spark, d)
+    return slicing.forward(e, _all_roots(e), slicing.latest_in(e, poi), rounds)
+
+
+@query("t6_forward_all_steps")
+def _(spark, d):
+    return _forward_all(spark, d, 3)
+
+
+@query("t7_forward_all")
+def _(spark, d):
+    return _forward_all(spark, d)
+
+
+@query("t8_merged_candidates")
+def _(spark, d):
+    """From all entry candidates, so that their order by converged reputation does not matter."""
+    e, poi = _poi(spark, d)
+    s = checkpoint(slicing.slice_edges(e, slicing.back_track(e, poi)))
+    starts = ranking.entry_candidates(s, poi)
+    return slicing.merged_forward(s, starts, slicing.latest_in(s, poi)).select("src", "dst", "event", "start_t", "end_t", "size")
+
+
 # --- weights ---------------------------------------------------------------------------------
 
 FEATURES = """, c AS (SELECT max(end_t) AS pt, count(*) AS n FROM edges), det AS (SELECT CASE WHEN i > 0 THEN i ELSE coalesce(o, 0) END AS det FROM (SELECT max(size) FILTER (dst = poi) AS i, max(size) FILTER (src = poi) AS o FROM edges, poi)),

@@ -7,6 +7,7 @@ bound) are iterated in one process, larger ones by distributed delta rounds; bot
 from __future__ import annotations
 
 from collections import deque
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -70,6 +71,8 @@ def slice_edges(edges: DataFrame, reached: DataFrame) -> DataFrame:
 
 
 MOST_ROOTS = 64
+#: Stands before all starts of a walk; nodes begin with their kind and a colon.
+START = "*"
 
 
 def forward(edges: DataFrame, roots: DataFrame, until: int | None = None, max_rounds: int | None = None, kernel_edges: int = KERNEL_EDGES) -> DataFrame:
@@ -80,7 +83,9 @@ def forward(edges: DataFrame, roots: DataFrame, until: int | None = None, max_ro
     narrow = edges.select(F.col("src").alias("node"), "dst", "start_t")
     if until is not None:
         narrow = narrow.where(F.col("start_t") < until)
-    if small(roots, MOST_ROOTS) and small(edges, kernel_edges):
+    if small(edges, kernel_edges):
+        if not small(roots, MOST_ROOTS):
+            return _forward_tasks(edges, roots, until, max_rounds)
         names_of_roots = sorted({r[0] for r in roots.select("node").collect()})
         pdf, names, _, number = _codes(edges, "start_t")
         if until is not None:
@@ -115,6 +120,36 @@ def forward(edges: DataFrame, roots: DataFrame, until: int | None = None, max_ro
     return iterate(start, step, lambda s: s.groupBy("root", "node").agg(F.min("arr").alias("arr")), max_rounds)
 
 
+def _forward_tasks(edges: DataFrame, roots: DataFrame, until: int | None, max_rounds: int | None) -> DataFrame:
+    """forward() over any number of roots: each task walks its roots over the edges of a small graph, sorted by start."""
+    sc = edges.sparkSession.sparkContext
+    pdf, names, _, number = _codes(edges if until is None else edges.where(F.col("start_t") < until), "start_t")
+    shared = sc.broadcast((*(pdf.sort_values("start_t", kind="stable")[c].to_numpy() for c in ("s", "d", "start_t")), names, number))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        s, d, start, names, number = shared.value
+        never = np.int64(1 << 62)
+        for batch in batches:
+            for root in batch["node"]:
+                if root not in number:
+                    yield pd.DataFrame({"root": [root], "node": [root], "arr": [LOW]})
+                    continue
+                arr = np.full(len(names), never)
+                arr[number[root]] = LOW
+                rounds, fresh = 0, np.arange(len(names)) == number[root]
+                while fresh.any() and (max_rounds is None or rounds < max_rounds):
+                    rounds += 1
+                    at = np.flatnonzero(fresh[s])
+                    at = at[start[at] >= arr[s[at]]]
+                    new = arr.copy()
+                    np.minimum.at(new, d[at], start[at])
+                    fresh, arr = new < arr, new
+                hit = arr < never
+                yield pd.DataFrame({"root": root, "node": names[hit].astype(str), "arr": arr[hit]})
+
+    return roots.select("node").distinct().repartition(4 * sc.defaultParallelism, "node").mapInPandas(run, "root string, node string, arr long")
+
+
 def forward_edges(edges: DataFrame, arrived: DataFrame, until: int | None = None) -> DataFrame:
     out = edges.join(arrived.select("root", F.col("node").alias("src"), "arr"), "src").where("start_t >= arr")
     if until is not None:
@@ -123,8 +158,14 @@ def forward_edges(edges: DataFrame, arrived: DataFrame, until: int | None = None
 
 
 def merged_forward(slice_: DataFrame, starts: DataFrame, until: int) -> DataFrame:
-    """Edges of the slice between any pair that a forward walk from a start takes; the whole slice if there is none."""
-    pairs = forward_edges(slice_, forward(slice_, starts, until), until).select("src", "dst").distinct()
+    """Edges of the slice between any pair that a forward walk from a start takes; the whole slice if there is none.
+
+    Some walk takes an edge if the one that reached its source first does, so all starts are walked as one.
+    """
+    away = starts.select(F.lit(START).alias("src"), F.col("node").alias("dst"), F.lit(LOW).alias("start_t")).distinct()
+    linked = checkpoint(slice_.select("src", "dst", "start_t").unionByName(away))
+    arrived = forward(linked, slice_.sparkSession.createDataFrame([(START,)], "node string"), until)
+    pairs = forward_edges(slice_, arrived, until).select("src", "dst").distinct()
     out = checkpoint(slice_.join(pairs, ["src", "dst"], "left_semi").select(*slice_.columns))
     return slice_ if out.isEmpty() else out
 
