@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import pickle
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracelight.plans.fixpoint import checkpoint, small
+from tracelight.plans.fixpoint import KERNEL_EDGES, checkpoint, small
 
 SEC = 1_000_000.0
 FEATURES = ("w_time", "w_amount", "w_struct")
@@ -119,27 +122,127 @@ def projection(n: tuple[int, int], mean: tuple[np.ndarray, np.ndarray], within:
     return -v if mean[high] @ v < mean[1 - high] @ v else v
 
 
-def two_means(x: np.ndarray, tries: int = 20, seed: int = 1) -> np.ndarray:
-    """k-means++ with k = 2, the best of several starts; labels."""
-    rng, best, cost = np.random.default_rng(seed), np.zeros(len(x), int), np.inf
-    for _ in range(tries):
-        a = x[rng.integers(len(x))]
-        d = ((x - a) ** 2).sum(axis=1)
-        if d.sum() == 0:
-            return best
-        c = np.stack([a, x[rng.choice(len(x), p=d / d.sum())]])
-        label = None
-        for _ in range(200):
-            far = ((x[:, None] - c[None]) ** 2).sum(axis=2)
-            new = far.argmin(axis=1)
-            if label is not None and (new == label).all():
-                break
-            label = new
-            c = np.stack([x[label == k].mean(axis=0) if (label == k).any() else c[k] for k in range(2)])
-        total = far[np.arange(len(x)), label].sum()
-        if total < cost - 1e-15:
-            best, cost = label, total
-    return best
+def _hash(ids: np.ndarray, salt: int) -> np.ndarray:
+    """64 bits of each id (splitmix64), the same wherever the row lies."""
+    z = ids.astype(np.int64).view(np.uint64) + np.uint64((salt * 0x9E3779B97F4A7C15) % (1 << 64))
+    for shift, by in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        z = (z ^ (z >> np.uint64(shift))) * np.uint64(by)
+    return z ^ (z >> np.uint64(31))
+
+
+def _race(ids: np.ndarray, salt: int) -> np.ndarray:
+    """Exponential variates: the least of them over weights draws a row in proportion to its weight."""
+    return -np.log((_hash(ids, salt).astype(np.float64) + 0.5) / 2.0**64)
+
+
+def _least(race: np.ndarray, x: np.ndarray, ids: np.ndarray) -> tuple | None:
+    """(value, id, point) of the least value, the smallest id among equals; None without a finite one."""
+    if not len(race) or not np.isfinite(race.min()):
+        return None
+    at = np.flatnonzero(race == race.min())
+    i = at[ids[at].argmin()]
+    return float(race[i]), int(ids[i]), x[i]
+
+
+def _squares(x: np.ndarray, c: np.ndarray) -> np.ndarray:
+    gap = x - c
+    return gap[:, 0] * gap[:, 0] + gap[:, 1] * gap[:, 1] + gap[:, 2] * gap[:, 2]
+
+
+def _nearer(x: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Label of each row, 0 where both centres are equally near, and its squared distance."""
+    far = np.stack([_squares(x, c[0]), _squares(x, c[1])])
+    return far.argmin(axis=0), far.min(axis=0)
+
+
+def _firsts(x: np.ndarray, ids: np.ndarray, tries: int, seed: int) -> list:
+    return [_least(_race(ids, seed * 1000 + 2 * t), x, ids) for t in range(tries)]
+
+
+def _seconds(x: np.ndarray, ids: np.ndarray, firsts: list, seed: int) -> list:
+    out = []
+    for t, a in enumerate(firsts):
+        d = _squares(x, a)
+        race = np.divide(_race(ids, seed * 1000 + 2 * t + 1), d, out=np.full(len(d), np.inf), where=d > 0)
+        out.append(_least(race, x, ids))
+    return out
+
+
+def _drawn(parts: list[list]) -> list:
+    return [min(filter(None, p), key=lambda r: r[:2], default=None) for p in zip(*parts)]
+
+
+def _round(x: np.ndarray, ids: np.ndarray, centres: dict) -> dict:
+    """For each start the counts, sums, cost and a digest of the labels."""
+    out, mark = {}, _hash(ids, 7)
+    for t, c in centres.items():
+        label, near = _nearer(x, c)
+        sums = np.stack([x[label == k].sum(axis=0) for k in range(2)])
+        out[t] = (np.bincount(label, minlength=2), sums, float(near.sum()), int(mark[label == 1].sum(dtype=np.uint64)))
+    return out
+
+
+def _summed(parts: list[dict]) -> dict:
+    return {t: (sum(p[t][0] for p in parts), sum(p[t][1] for p in parts), sum(p[t][2] for p in parts), sum(p[t][3] for p in parts) % (1 << 64)) for t in parts[0]}
+
+
+def _two_centres(ask: Callable, tries: int, seed: int) -> np.ndarray | None:
+    """k-means++ with k = 2 until labels repeat, the best of several starts; ask(f, join, ...) joins f of each part of the rows.
+
+    Draws depend on ids alone; between divisions into parts only the last bits of sums differ, so costs are compared loosely.
+    """
+    firsts = [r[2] for r in ask(_firsts, _drawn, tries, seed)]
+    seconds = ask(_seconds, _drawn, firsts, seed)
+    live = {t: np.stack([a, r[2]]) for t, (a, r) in enumerate(zip(firsts, seconds)) if r is not None}
+    seen, done = {t: set() for t in live}, {}
+    while live:
+        for t, (n, sums, cost, mark) in ask(_round, _summed, live).items():
+            if mark in seen[t]:
+                done[t] = (cost, live.pop(t))
+                continue
+            seen[t].add(mark)
+            live[t] = np.stack([sums[k] / n[k] if n[k] else live[t][k] for k in range(2)])
+    best = None
+    for cost, c in (done[t] for t in sorted(done)):
+        if best is None or cost < best[0] * (1 - 1e-9):
+            best = (cost, c)
+    return None if best is None else best[1]
+
+
+def two_means(x: np.ndarray, ids: np.ndarray, tries: int = 20, seed: int = 1) -> np.ndarray:
+    """Labels of rows in one process."""
+    c = _two_centres(lambda f, join, *args: f(x, ids, *args), tries, seed)
+    return np.zeros(len(x), int) if c is None else _nearer(x, c)[0]
+
+
+def two_means_of(rows: DataFrame, tries: int = 20, seed: int = 1) -> DataFrame:
+    """rows (edge_id and the features) with column _k, the label: rounds of one aggregate a partition."""
+    kept = checkpoint(rows)
+
+    def arrays(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        return pdf[list(FEATURES)].to_numpy(float), pdf["edge_id"].to_numpy()
+
+    def ask(f: Callable, join: Callable, *args):
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            parts = None
+            for pdf in batches:
+                if len(pdf):
+                    told = f(*arrays(pdf), *args)
+                    parts = told if parts is None else join([parts, told])
+            if parts is not None:
+                yield pd.DataFrame({"told": [pickle.dumps(parts)]})
+
+        return join([pickle.loads(r[0]) for r in kept.select("edge_id", *FEATURES).mapInPandas(run, "told binary").collect()])  # a row of some hundred numbers a partition
+
+    c = _two_centres(ask, tries, seed)
+    if c is None:
+        return kept.withColumn("_k", F.lit(0))
+
+    def label(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame({"edge_id": pdf["edge_id"], "_k": _nearer(arrays(pdf)[0], c)[0].astype(np.int32)})
+
+    return kept.join(kept.select("edge_id", *FEATURES).mapInPandas(label, "edge_id long, _k int"), "edge_id")
 
 
 def rescale(values: np.ndarray) -> np.ndarray:
@@ -150,12 +253,12 @@ def rescale(values: np.ndarray) -> np.ndarray:
     return (values - u[0] + (u[1] - u[0]) / 100) / (u[-1] - u[0])
 
 
-def _clustered(edges: DataFrame, seeds: list[str], tries: int) -> DataFrame:
-    """edges with column `score`. Beyond a checked size: k-means in Spark ML, moments by aggregation, 3 x 3 algebra on the driver."""
-    if small(edges):
+def _clustered(edges: DataFrame, seeds: list[str], tries: int, kernel_edges: int = KERNEL_EDGES) -> DataFrame:
+    """edges with column `score`. Beyond a checked size: the same k-means and moments by aggregation, 3 x 3 algebra on the driver."""
+    if small(edges, kernel_edges):
         pdf = edges.toPandas()
         x = pdf[list(FEATURES)].fillna(0.0).to_numpy()
-        label = two_means(x, tries)
+        label = two_means(x, pdf["edge_id"].to_numpy(), tries)
         if len(np.unique(label)) < 2:
             return heuristic(edges).withColumnRenamed("weight", "score")
         groups = [x[label == k] for k in range(2)]
@@ -164,15 +267,7 @@ def _clustered(edges: DataFrame, seeds: list[str], tries: int) -> DataFrame:
         seeded = tuple(bool(pdf["src"][label == k].isin(seeds).any()) for k in range(2))
         pdf["score"] = rescale(x @ projection((len(groups[0]), len(groups[1])), means, within, seeded))
         return edges.join(edges.sparkSession.createDataFrame(pdf[["edge_id", "score"]]), "edge_id")
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.feature import VectorAssembler
-
-    x = VectorAssembler(inputCols=list(FEATURES), outputCol="_v").transform(edges.na.fill(0.0, list(FEATURES)))
-    x = x.cache()
-    models = [KMeans(k=2, seed=s, featuresCol="_v", predictionCol="_k").fit(x) for s in range(1, tries + 1)]
-    best = min(models, key=lambda m: m.summary.trainingCost)
-    told = checkpoint(best.transform(x).drop("_v"))
-    x.unpersist()
+    told = checkpoint(two_means_of(edges.na.fill(0.0, list(FEATURES)), tries))
     names = list(FEATURES)
     moments = told.groupBy("_k").agg(F.count("*").alias("n"), F.max(F.col("src").isin(seeds)).alias("seeded"), *[F.avg(c).alias(f"m{i}") for i, c in enumerate(names)]).collect()
     if len(moments) < 2:
@@ -194,7 +289,7 @@ def _clustered(edges: DataFrame, seeds: list[str], tries: int) -> DataFrame:
     return scored.withColumn("score", (F.col("score") - low + (second - low) / 100) / (high - low))
 
 
-def cluster_all(edges: DataFrame, poi_time: int, detection: float, seeds: list[str], tries: int = 20, only_busy: bool = False, factor: float = 0.99) -> DataFrame:
+def cluster_all(edges: DataFrame, poi_time: int, detection: float, seeds: list[str], tries: int = 20, only_busy: bool = False, factor: float = 0.99, kernel_edges: int = KERNEL_EDGES) -> DataFrame:
     """`clusterall`; with only_busy `nonoutlier`, which clusters edges whose target has several in-edges."""
     x = normalised(raw_features(edges, poi_time, detection, seeds))
     x = checkpoint(x.withColumn("w_struct", F.when(F.col("dst").isin(seeds), 1.0).otherwise(F.col("w_struct"))))
@@ -205,18 +300,18 @@ def cluster_all(edges: DataFrame, poi_time: int, detection: float, seeds: list[s
     if chosen.limit(2).count() < 2:
         scored = heuristic(x).withColumnRenamed("weight", "score")
     else:
-        scored = _clustered(chosen, seeds, tries)
+        scored = _clustered(chosen, seeds, tries, kernel_edges)
         if only_busy:
             scored = x.join(scored.select("edge_id", "score"), "edge_id", "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
     total = F.sum("score").over(Window.partitionBy("src"))
     return scored.withColumn("weight", F.when(total < 1e-8, F.col("score")).otherwise(F.col("score") / F.when(total != 0, total) * factor)).drop("score")
 
 
-def individual(edges: DataFrame, poi_time: int, detection: float, seeds: list[str], tries: int = 20) -> DataFrame:
+def individual(edges: DataFrame, poi_time: int, detection: float, seeds: list[str], tries: int = 20, kernel_edges: int = KERNEL_EDGES) -> DataFrame:
     """`localtime`, `localamount`, `localstruct`: the structure feature is 0 but into seeds, then as cluster_all without 0.99."""
     x = normalised(raw_features(edges, poi_time, detection, seeds))
     x = checkpoint(x.withColumn("w_struct", F.when(F.col("dst").isin(seeds), 1.0).otherwise(0.0)))
-    scored = _clustered(x, seeds, tries) if x.limit(2).count() > 1 else heuristic(x).withColumnRenamed("weight", "score")
+    scored = _clustered(x, seeds, tries, kernel_edges) if x.limit(2).count() > 1 else heuristic(x).withColumnRenamed("weight", "score")
     total = F.sum("score").over(Window.partitionBy("src"))
     return scored.withColumn("weight", F.when(total < 1e-8, F.col("score")).otherwise(F.col("score") / F.when(total != 0, total))).drop("score")
 
@@ -225,7 +320,7 @@ def local_kernel(pdf: pd.DataFrame, seeds: frozenset, tries: int) -> pd.DataFram
     x = pdf[list(FEATURES)].fillna(0.0).to_numpy()
     if len(pdf) == 1:
         return pdf.assign(weight=1.0)
-    label = two_means(x, tries)
+    label = two_means(x, pdf["edge_id"].to_numpy(), tries)
     if len(np.unique(label)) < 2:
         t, a, s = x.T
         score = 0.5 * t + 0.5 * s if pdf["size"].sum() == 0 else 0.3333 * t + 0.3333 * s + 0.3334 * a
