@@ -109,3 +109,10 @@ def test_merged_from_all_candidates(spark, case):
             pairs |= {(x.src, x.dst) for x in s if x.src in arr and arr[x.src] <= x.start_t < until}
     key = lambda rows: sorted((x.src, x.dst, x.start_t, x.end_t) for x in rows)
     assert key(run(spark, "t8_merged_candidates")) == key(x for x in s if (x.src, x.dst) in pairs)
+
+
+def test_dot_of_the_whole_graph(spark, case):
+    edges, _, rep = case
+    out = run(spark, "out1_dot")
+    assert sum(r.part == 1 for r in out) == len(edges)
+    assert sorted(r.line.split('"')[1] for r in out if r.part == 0) == sorted(rep)

@@ -497,7 +497,7 @@ def flagship(spark, d):
 @query("out1_dot")
 def _(spark, d):
     w, poi, rep = _converged(spark, d)
-    return snapshot.dot_lines(w.where((F.col("src") == poi) | (F.col("dst") == poi)), rep, poi)
+    return snapshot.dot_lines(w, rep, poi)
 
 
 # --- set operations --------------------------------------------------------------------------
