@@ -17,8 +17,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A source's boilerplate lines go from its texts; n_chars follows."""
-    out = line_dedup.without_boilerplate(docs)
+    """A source's boilerplate lines go from its texts, from two pages on; n_chars follows."""
+    out = line_dedup.without_boilerplate(docs, least_pages=2)
     return out.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.char_length("text").cast("long")))
 
 

@@ -391,6 +391,14 @@ def test_line_dedup(spark):
 # --- pipeline ---
 
 
+def test_pipeline_lines_of_small_hosts(spark):
+    import corpus_pipeline
+
+    df = docs(spark, [(i, f"menu\nunique {i}", "h") for i in range(4)] + [(9, "menu", "other")]).withColumn("n_chars", F.lit(0).cast("long"))
+    got = {r.doc_id: r.text for r in corpus_pipeline.lines(spark, df, "").collect()}
+    assert got == {i: f"unique {i}" for i in range(4)} | {9: "menu"}
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
