@@ -103,6 +103,15 @@ def test_propagation_forms_agree(edges):
     assert all(abs(x[1] - y[1]) < 1e-9 and -1e-9 <= x[1] <= 1 + 1e-9 for x, y in zip(a, b))
 
 
+def test_merged_is_connected(spark):
+    from tracelight.plans import attack
+
+    e = spark.createDataFrame([(1, "N:a", "P:b", 1, 2), (2, "P:b", "F:p", 3, 9), (3, "N:c", "F:d", 5, 6), (4, "F:d", "P:b", 1, 7)], "edge_id long, src string, dst string, start_t long, end_t long")
+    rep = spark.createDataFrame([("F:p", 1.0), ("P:b", 0.9)], "node string, reputation double")
+    case = attack.Result(e, e, e, rep, None, spark.createDataFrame([("N:a",), ("N:c",)], "node string"), 9)
+    assert rows(case.merged(), "edge_id") == [(1,), (2,), (3,), (4,)]
+
+
 def test_connectivity(edges, spark):
     kept = edges.where("edge_id % 10 = 0")
     out = slicing.connected_to_poi(edges, kept, ["N:2"], "F:0")

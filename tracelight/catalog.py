@@ -494,6 +494,12 @@ def flagship(spark, d):
     return attack.investigate(e, attack.Case(poi)).top
 
 
+@query("investigation_merged")
+def _(spark, d):
+    e, poi = _poi(spark, d)
+    return attack.investigate(e, attack.Case(poi)).merged().select("src", "dst", "event", "start_t", "end_t", "size", "weight")
+
+
 @query("out1_dot")
 def _(spark, d):
     w, poi, rep = _converged(spark, d)
