@@ -132,6 +132,20 @@ def test_tagger_learns_and_reconciles(spark):
         assert set(line.split(",")) <= set(r.spans.split(","))
 
 
+def test_spans_across_windows():
+    class Marks:
+        def decode(self, block):
+            at, z, gap = (block == char_crf.codes(c)[0] for c in "@z ")
+            near = np.roll(at, 1, axis=1) | np.roll(at, -1, axis=1)
+            return np.where(at | z | (gap & near), 2, 0).astype(np.int8)
+
+    for before in range(100, 170):
+        for local, host in ((40, 5), (5, 40)):
+            text = "a" * before + " " + "z" * local + " @ " + "z" * host + " " + "a" * 200
+            span = (0, before + 1, before + 4 + local + host)
+            assert pii.found([text], Marks())[0][1] == [span]
+
+
 def test_gradients():
     t = char_crf.Tagger(3)
     t.p = {k: v.astype(np.float64) for k, v in t.p.items()}

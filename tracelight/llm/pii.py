@@ -1,8 +1,8 @@
 """Personal data in texts: fixed patterns, and a character BiLSTM-CRF that adds spans of looser forms.
 
 The base spans (email, ip, card, phone) come from linear scans of the whole text and always stay. The tagger reads windows
-of SIZE characters that overlap by SIZE - STRIDE. A span of any kind must hold a digit or '@'; in a window without one the
-only admissible path is all-outside, so such windows are decoded without arithmetic, the others by Viterbi. Windows are
+of SIZE characters that overlap by SIZE - STRIDE. A span of any kind must hold a digit or '@' and is at most a window long;
+windows without one inside or within a window of their ends are all-outside without arithmetic, the others go by Viterbi. Windows are
 reconciled over the whole text: of two windows over a character the one in which it stands further inside decides, the
 tags are joined to one sequence and read as spans. A tagger span that overlaps a base span gives way to it, and one that
 overlaps a match which a base rule rejected (length, Luhn, parts above 255) is dropped for that kind.
@@ -95,10 +95,10 @@ def _overlaps(span: tuple[int, int], others: list[tuple[int, int]]) -> bool:
 
 
 def window_starts(x: np.ndarray, size: int, stride: int, anchor: np.ndarray) -> np.ndarray:
-    """Starts of the windows that hold an anchor."""
+    """Starts of the windows with an anchor inside or within a span (at most a window long) of either end."""
     starts = np.arange(0, max(1, len(x) - size + stride), stride)
     seen = np.concatenate([[0], np.cumsum(anchor)])
-    return starts[seen[np.minimum(starts + size, len(x))] > seen[starts]]
+    return starts[seen[np.minimum(starts + 2 * size, len(x))] > seen[np.maximum(starts - size, 0)]]
 
 
 def reconcile(length: int, starts: np.ndarray, paths: np.ndarray, size: int, stride: int) -> np.ndarray:
