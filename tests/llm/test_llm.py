@@ -333,6 +333,15 @@ def test_near_duplicates(spark, corpus):
     assert bag_minhash.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_near_duplicates_of_shared_ids(spark):
+    r = random.Random(8)
+    a, b = prose(r, 200), prose(r, 200)
+    df = docs(spark, [(1, a), (1, b), (1, b), (2, b + " tail"), (3, a + " tail"), (4, prose(r, 90))])
+    got = sorted((x.doc_id, x.component_id, x.kept) for x in bag_minhash.near_duplicates(df).collect())
+    assert got == [(1, 1, True)] * 3 + [(2, 1, False), (3, 1, False), (4, 4, True)]
+    assert sorted(x.text for x in bag_minhash.deduplicated(df).where("doc_id < 4").collect()) == sorted([a, b])
+
+
 def test_signatures_estimate_weighted_jaccard():
     rng, m = np.random.default_rng(6), 2000
     el = rng.integers(0, 2**63, 60).astype(np.uint64)

@@ -13,7 +13,7 @@ of the bucket, in blocks of BLOCK by BLOCK that are compared in memory, so that
 component cannot change it, so none that matters is lost.
 
 Defined results. Null or wordless text: no class, linked with nothing, kept. Fewer words than a shingle: all words are the
-one shingle. Null doc_id: takes no part, kept. Rows sharing a doc_id are one node. Repeated rows: one class. Empty table:
+one shingle. Null doc_id: takes no part, kept. Rows sharing a doc_id are linked by their texts like any others. Repeated rows: one class. Empty table:
 empty result. Only doc_id and text are read, so other columns may have any names.
 """
 
@@ -113,8 +113,8 @@ def _sketcher(bands: int, rows: int, k: int):
                         acc = kit.mix(acc * np.uint64(0x9E3779B97F4A7C15) + sig[:, r::rows])
                     values = kit.longs(acc.ravel())
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(lo, hi - lo).cast(pa.int64()), pa.array(keys, pa.binary()), kit.list_column(values, sizes, pa.int64())],
-                    ["doc_id", "class", "bands"],
+                    [batch.column("doc_id").slice(lo, hi - lo).cast(pa.int64()), batch.column("key").slice(lo, hi - lo), pa.array(keys, pa.binary()), kit.list_column(values, sizes, pa.int64())],
+                    ["doc_id", "key", "class", "bands"],
                 )
 
     return run
@@ -125,9 +125,14 @@ def _elementer(k: int):
         for batch in batches:
             for lo, hi, data, offs in kit.text_chunks(batch.column("text")):
                 _, _, h, first = kit.words(data, offs)
-                sets = [multiset(shingles(h[a:b], k)) for a, b in zip(first[:-1].tolist(), first[1:].tolist())]
+                cuts, want = list(zip(first[:-1].tolist(), first[1:].tolist())), batch.column("class").slice(lo, hi - lo).to_pylist()
+                # Of rows that share a doc_id, those with the words of the class.
+                mine = [i for i, (a, b) in enumerate(cuts) if a < b and kit.digest(h[a:b]) == want[i]]
+                if not mine:
+                    continue
+                sets = [multiset(shingles(h[slice(*cuts[i])], k)) for i in mine]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("node").slice(lo, hi - lo).cast(pa.int64()), kit.list_column(kit.longs(np.concatenate(sets)), np.array([len(s) for s in sets]), pa.int64())],
+                    [batch.column("node").slice(lo, hi - lo).take(pa.array(mine, pa.int64())), kit.list_column(kit.longs(np.concatenate(sets)), np.array([len(s) for s in sets]), pa.int64())],
                     ["node", "elements"],
                 )
 
@@ -198,12 +203,19 @@ def _across(similarity: float):
     return run
 
 
-def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, words: int = WORDS, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """doc_id, component_id (smallest doc_id of its group), kept, class_id (smallest doc_id with the same words), n_copies."""
+def _grouped(docs: DataFrame, similarity: float = SIMILARITY, words: int = WORDS, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """near_duplicates() with key (of the text) and root (of the group, null without words)."""
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sketch = kit.checkpoint(ids.mapInArrow(_sketcher(bands, rows, words), "doc_id long, class binary, bands array<long>"))
+    sketch = kit.checkpoint(ids.withColumn("key", F.xxhash64("text")).mapInArrow(_sketcher(bands, rows, words), "doc_id long, key long, class binary, bands array<long>"))
     real = sketch.where("class is not null and doc_id is not null")
-    classes = kit.checkpoint(real.groupBy("class").agg(F.min("doc_id").alias("node"), F.count("*").alias("n"), F.first("bands").alias("bands")))
+    classes = kit.checkpoint(real.groupBy("class").agg(F.min("doc_id").alias("id"), F.count("*").alias("n"), F.first("bands").alias("bands")))
+    # A class is named by its smallest doc_id; classes that share it, by their digests.
+    several = kit.checkpoint(classes.groupBy("id").count().where("count > 1").select("id", F.lit(True).alias("several")))
+    unique = several.isEmpty()
+    if unique:
+        classes = classes.withColumn("node", F.col("id"))
+    else:
+        classes = kit.checkpoint(classes.join(several, "id", "left").withColumn("node", F.when(F.col("several"), F.xxhash64("class")).otherwise(F.col("id"))))
 
     slots = kit.checkpoint(classes.select("node", F.explode("bands").alias("bucket")))
     sizes = slots.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
@@ -214,7 +226,8 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, words: int
     shared = kit.checkpoint(members.join(pivots, "bucket").select("bucket", "node", "p", "n"))
     wanted = shared.select("node").distinct()
     # Only texts of shared buckets are read again; the small side is hashed, so texts are not sorted.
-    texts = ids.join(wanted.withColumnRenamed("node", "doc_id").hint("shuffle_hash"), "doc_id", "left_semi").withColumnRenamed("doc_id", "node")
+    wanted = classes.join(wanted, "node", "left_semi").select(F.col("id").alias("doc_id"), "node", "class")
+    texts = ids.join(wanted.hint("shuffle_hash"), "doc_id").select("node", "class", "text")
     elements = kit.checkpoint(texts.mapInArrow(_elementer(words), "node long, elements array<long>").dropDuplicates(["node"]))
 
     star = shared.where("node <> p").select(F.least("p", "node").alias("a"), F.greatest("p", "node").alias("b")).distinct()
@@ -237,8 +250,13 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, words: int
     if not more.isEmpty():
         roots = kit.connected_components(linked.unionAll(more))
 
-    named = classes.select("class", "node", "n").join(roots, "node", "left").select("class", F.col("node").alias("class_id"), F.col("n").alias("n_copies"), F.coalesce("root", "node").alias("component_id"))
-    out = sketch.select("doc_id", "class").join(named, "class", "left")
+    named = classes.select("class", "node", "id", "n").join(roots, "node", "left").select("class", F.col("id").alias("class_id"), F.col("n").alias("n_copies"), F.coalesce("root", "node").alias("root"))
+    if unique:
+        named = named.withColumn("component_id", F.col("root"))
+    else:
+        named = kit.checkpoint(named)
+        named = named.join(named.groupBy("root").agg(F.min("class_id").alias("component_id")), "root")
+    out = sketch.select("doc_id", "key", "class").join(named, "class", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return out.select(
         "doc_id",
@@ -246,17 +264,31 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, words: int
         F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"),
         F.coalesce("class_id", "doc_id").alias("class_id"),
         F.coalesce("n_copies", F.lit(1)).cast("long").alias("n_copies"),
+        "key",
+        "root",
     )
 
 
+def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, words: int = WORDS, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """doc_id, component_id (smallest doc_id of its group), kept, class_id (smallest doc_id with the same words), n_copies."""
+    return _grouped(docs, similarity, words, bands, rows).drop("key", "root")
+
+
 def deduplicated(docs: DataFrame, **options) -> DataFrame:
-    """docs with one document of each group: the one with the smallest doc_id (of rows sharing it, one)."""
-    found = kit.checkpoint(near_duplicates(docs, **options))
-    gone = found.where("not kept").select("doc_id").distinct()
-    out = docs.join(gone.hint("shuffle_hash"), "doc_id", "left_anti").select(*docs.columns)
-    again = found.where("kept and doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    again = kit.checkpoint(again)
+    """docs with one document of each group: the one with the smallest doc_id (of rows of a group sharing it, one)."""
+    found = kit.checkpoint(_grouped(docs, **options))
+
+    def joined(left: DataFrame, rows: DataFrame, how: str) -> DataFrame:
+        own = kit.null_columns(docs, "_", ["id", "key"])
+        rows = rows.select(F.col("doc_id").alias(own["id"]), F.col("key").alias(own["key"])).hint("shuffle_hash")
+        return left.join(rows, (F.col("doc_id") == F.col(own["id"])) & (F.xxhash64("text") == F.col(own["key"])), how)
+
+    out = joined(docs, found.where("not kept").select("doc_id", "key").distinct(), "left_anti").select(*docs.columns)
+    kept = found.where("kept and doc_id is not null")
+    again = kit.checkpoint(kept.groupBy("doc_id").count().where("count > 1").select("doc_id"))
     if again.isEmpty():
         return out
-    repeated = out.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    one = kept.join(again, "doc_id", "left_semi").groupBy("doc_id", "root").agg(F.min("key").alias("key")).select("doc_id", "key").distinct()
+    own = kit.null_columns(docs, "_", ["key"])["key"]
+    repeated = joined(out, one, "left_semi").withColumn(own, F.xxhash64("text")).dropDuplicates(["doc_id", own]).select(*docs.columns)
     return out.join(again, "doc_id", "left_anti").select(*docs.columns).unionByName(repeated)
