@@ -50,8 +50,8 @@ class Tagger:
             self.p |= {f"x{d}": f(CLASSES, 4 * hidden), f"h{d}": f(hidden, 4 * hidden)}
             self.p[f"x{d}"][:, hidden : 2 * hidden] += 1  # forget gates start open
 
-    def _direction(self, x: np.ndarray, d: str, keep: bool) -> tuple[np.ndarray, list]:
-        """Hidden states (steps, n, h) for codes (n, steps)."""
+    def _direction(self, x: np.ndarray, d: str) -> tuple[np.ndarray, list]:
+        """Hidden states (steps, n, h) for codes (n, steps), with the tape that the gradients need."""
         n, steps = x.shape
         wx, wh, k = self.p[f"x{d}"], self.p[f"h{d}"], self.h
         h, c = np.zeros((n, k), np.float32), np.zeros((n, k), np.float32)
@@ -66,34 +66,51 @@ class Tagger:
             tc = np.tanh(c)
             h = o * tc
             out[t] = h
-            if keep:
-                tape.append((t, before, i, f, o, g, tc))
+            tape.append((t, before, i, f, o, g, tc))
         return out, tape
 
+    def _hidden(self, x: np.ndarray, d: str) -> np.ndarray:
+        """The same hidden states without a tape. Gates are 0.5 + 0.5 tanh(z / 2), so that one tanh serves all four."""
+        n, steps, k = *x.shape, self.h
+        half = np.concatenate([np.full(3 * k, 0.5, np.float32), np.ones(k, np.float32)])
+        wx, wh = self.p[f"x{d}"] * half, self.p[f"h{d}"] * half
+        h, c, z = np.zeros((n, k), np.float32), np.zeros((n, k), np.float32), np.empty((n, 4 * k), np.float32)
+        out, at = np.empty((steps, n, k), np.float32), np.ascontiguousarray(x.T)
+        for t in range(steps) if d == "f" else range(steps - 1, -1, -1):
+            np.take(wx, at[t], axis=0, out=z)
+            z += h @ wh
+            np.tanh(z, out=z)
+            gates = z[:, : 3 * k] * np.float32(0.5) + np.float32(0.5)
+            c *= gates[:, k : 2 * k]
+            c += gates[:, :k] * z[:, 3 * k :]
+            h = np.multiply(gates[:, 2 * k :], np.tanh(c), out=out[t])
+        return out
+
     def emissions(self, x: np.ndarray) -> np.ndarray:
-        both = np.concatenate([self._direction(x, "f", False)[0], self._direction(x, "b", False)[0]], axis=2)
-        return both @ self.p["out"] + self.p["bias"]
+        """Scores of the tags (steps, n, tags)."""
+        k = self.h
+        return self._hidden(x, "f") @ self.p["out"][:k] + self._hidden(x, "b") @ self.p["out"][k:] + self.p["bias"]
 
     def decode(self, x: np.ndarray) -> np.ndarray:
-        """Viterbi paths (n, steps)."""
-        e, move = self.emissions(x), self.p["move"] + BARRED
-        steps, n, _ = e.shape
-        v, back = e[0] + BARRED[0], np.empty((steps, n, TAGS), np.int8)
+        """Viterbi paths (n, steps). Best scores of all steps are kept; the path back asks only for the tag it is in."""
+        n, steps = x.shape
+        e, move = np.ascontiguousarray(self.emissions(x).transpose(0, 2, 1)), (self.p["move"] + BARRED).astype(np.float32)
+        best, into = np.empty((steps, TAGS, n), np.float32), np.empty((TAGS, TAGS, n), np.float32)
+        best[0] = e[0] + BARRED[0][:, None]
         for t in range(1, steps):
-            m = v[:, :, None] + move[None]
-            back[t] = m.argmax(axis=1)
-            v = np.take_along_axis(m, back[t][:, None, :].astype(np.int64), axis=1)[:, 0] + e[t]
-        path = np.empty((n, steps), np.int8)
-        path[:, -1] = v.argmax(axis=1)
-        rows = np.arange(n)
+            np.add(best[t - 1][:, None, :], move[:, :, None], out=into)
+            np.max(into, axis=0, out=best[t])
+            best[t] += e[t]
+        path = np.empty((steps, n), np.int8)
+        path[-1] = best[-1].argmax(axis=0)
         for t in range(steps - 1, 0, -1):
-            path[:, t - 1] = back[t][rows, path[:, t]]
-        return path
+            path[t - 1] = (best[t - 1] + move[:, path[t]]).argmax(axis=0)
+        return np.ascontiguousarray(path.T)
 
     def step(self, x: np.ndarray, y: np.ndarray) -> tuple[float, dict]:
         """Mean negative log likelihood and its gradients."""
         n, steps = x.shape
-        (hf, tf), (hb, tb) = self._direction(x, "f", True), self._direction(x, "b", True)
+        (hf, tf), (hb, tb) = self._direction(x, "f"), self._direction(x, "b")
         both = np.concatenate([hf, hb], axis=2)
         e = both @ self.p["out"] + self.p["bias"]
         move = self.p["move"]

@@ -1,17 +1,18 @@
 """Personal data in texts: fixed patterns, and a character BiLSTM-CRF that adds spans of looser forms.
 
-The base spans (email, ip, card, phone) come from linear scans of the whole text and always stay. The tagger reads windows
-of SIZE characters that overlap by SIZE - STRIDE. A span of any kind must hold a digit or '@' and is at most a window long;
-windows without one inside or within a window of their ends are all-outside without arithmetic, the others go by Viterbi. Windows are
-reconciled over the whole text: of two windows over a character the one in which it stands further inside decides, the
-tags are joined to one sequence and read as spans. A tagger span that overlaps a base span gives way to it, and one that
-overlaps a match which a base rule rejected (length, Luhn, parts above 255) is dropped for that kind.
+The base spans (email, ip, card, phone) come from linear scans of the whole text and always stay. The tagger decodes every
+window of SIZE characters, each SIZE - STRIDE into the next, by Viterbi. Windows are reconciled over the whole text: of two
+windows over a character the one in which it stands further inside decides, so a span of up to (SIZE - STRIDE) / 2
+characters lies whole in some window that decides it; the tags are joined to one sequence and read as spans. A tagger span
+that overlaps a base span gives way to it, one that lies within a match which a base rule rejected (length, Luhn, parts
+above 255) is dropped for that kind, and one without the digits or marks of its kind is dropped.
 
-Training: labelled spans set into pieces of at most BACKGROUNDS texts (those of the smallest hashes of doc_id), on the
-driver, once for each set of parameters.
+Training: labelled spans set into pieces of BACKGROUNDS texts (those of the smallest hashes of doc_id; a stretch of STRETCH
+characters of each, from a hashed position), on the driver, once for each set of parameters.
 
 Defined results. Null text: empty, no spans. Positions are code points, end exclusive. Null doc_id: kept as null. Repeated
-rows each get their row. Very long texts are handled whole. Empty table: empty result. Only doc_id and text are read.
+rows and equal texts each get their row. Very long texts are handled whole. Empty table: empty result. Only doc_id and text
+are read, so other columns may have any names.
 """
 
 from __future__ import annotations
@@ -28,14 +29,14 @@ from pyspark.sql import functions as F
 from tracelight.llm.char_crf import KINDS, Tagger, codes, trained
 from tracelight.llm.kit import fewest
 
-SIZE, STRIDE, BACKGROUNDS, WINDOWS, HIDDEN, EPOCHS = 96, 64, 64, 1500, 12, 8
+SIZE, STRIDE, BATCH, SPACE = 320, 224, 1024, codes(" ")[0]
+BACKGROUNDS, STRETCH, TRAINED, WINDOWS, HIDDEN, EPOCHS = 64, 2000, 96, 3000, 12, 8
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"(?<![0-9])[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-_ANCHOR = re.compile(r"[0-9@]")
 _PLUS_DIGIT = re.compile(r"\+[0-9]")
 
 
@@ -87,18 +88,14 @@ def _plausible(kind: int, span: str) -> bool:
         return "@" in span and len(span) >= 6
     if kind == 1:
         return 4 <= n <= 12 and span.count(".") >= 3
-    return 13 <= n <= 19 if kind == 2 else 9 <= n <= 15
+    if kind == 2:
+        return 13 <= n <= 19 and luhn("".join(c for c in span if "0" <= c <= "9"))
+    return 9 <= n <= 15
 
 
-def _overlaps(span: tuple[int, int], others: list[tuple[int, int]]) -> bool:
-    return any(a < span[1] and span[0] < b for a, b in others)
-
-
-def window_starts(x: np.ndarray, size: int, stride: int, anchor: np.ndarray) -> np.ndarray:
-    """Starts of the windows with an anchor inside or within a span (at most a window long) of either end."""
-    starts = np.arange(0, max(1, len(x) - size + stride), stride)
-    seen = np.concatenate([[0], np.cumsum(anchor)])
-    return starts[seen[np.minimum(starts + 2 * size, len(x))] > seen[np.maximum(starts - size, 0)]]
+def window_starts(length: int, size: int, stride: int) -> np.ndarray:
+    """Starts of the windows that cover a text; none for an empty one."""
+    return np.arange(0, max(1, length - size + stride), stride) if length else np.zeros(0, np.int64)
 
 
 def reconcile(length: int, starts: np.ndarray, paths: np.ndarray, size: int, stride: int) -> np.ndarray:
@@ -118,41 +115,45 @@ def tag_spans(tags: np.ndarray) -> list[tuple[int, int, int]]:
     return [(int(kind[a]) - 1, int(a), int(b)) for a, b in zip(cut[:-1], cut[1:]) if kind[a]]
 
 
+def decoded(tagger: Tagger, pieces: list[np.ndarray]) -> list[np.ndarray]:
+    """A path for each window, BATCH windows of like length at once; shorter ones are filled with spaces."""
+    out: list[np.ndarray] = [np.zeros(0, np.int8)] * len(pieces)
+    order = sorted(range(len(pieces)), key=lambda i: len(pieces[i]))
+    for lo in range(0, len(order), BATCH):
+        some = order[lo : lo + BATCH]
+        block = np.full((len(some), len(pieces[some[-1]])), SPACE, np.uint8)
+        for r, i in enumerate(some):
+            block[r, : len(pieces[i])] = pieces[i]
+        for i, path in zip(some, tagger.decode(block)):
+            out[i] = path
+    return out
+
+
 def found(texts: list[str], tagger: Tagger, size: int = SIZE, stride: int = STRIDE) -> list[tuple[list, list]]:
-    """For each text the base spans by kind and the tagger's further spans (kind, start, end)."""
-    base, work = [], []
-    for i, text in enumerate(texts):
-        if not _ANCHOR.search(text):
-            base.append(([[], [], [], []], [[], [], [], []]))
-            continue
-        base.append(base_spans(text))
-        x = codes(text)
-        work.append((i, x, window_starts(x, size, stride, (x == 26) | (x == 27))))
+    """For each text the base spans by kind and the tagger's further spans (kind, start, end). All windows are decoded."""
+    base = [base_spans(text) for text in texts]
+    work = [(x, window_starts(len(x), size, stride)) for x in map(codes, texts)]
+    paths = decoded(tagger, [x[s : s + size] for x, starts in work for s in starts.tolist()])
     more: list[list] = [[] for _ in texts]
-    # Windows of all texts are decoded together, 1024 at once.
-    flat = [(i, x, int(s)) for i, x, starts in work for s in starts]
-    paths = []
-    for lo in range(0, len(flat), 1024):
-        block = np.full((len(flat[lo : lo + 1024]), size), codes(" ")[0], np.uint8)
-        for r, (_, x, s) in enumerate(flat[lo : lo + 1024]):
-            piece = x[s : s + size]
-            block[r, : len(piece)] = piece
-        paths.append(tagger.decode(block))
-    paths = np.concatenate(paths) if paths else np.zeros((0, size), np.int8)
     at = 0
-    for i, x, starts in work:
+    for i, (x, starts) in enumerate(work):
         tags = reconcile(len(x), starts, paths[at : at + len(starts)], size, stride)
         at += len(starts)
         if not tags.any():
             continue
         good, bad = base[i]
-        taken = [s for kind in good for s in kind]
+        taken, judged = np.zeros(len(x), bool), np.zeros((len(KINDS), len(x)), np.int64)
+        for kind in range(len(KINDS)):
+            for a, b in good[kind]:
+                taken[a:b] = True
+            for a, b in bad[kind]:
+                judged[kind, a:b] = b
         for kind, a, b in tag_spans(tags):
             piece = texts[i][a:b]
             a, b = a + len(piece) - len(piece.lstrip()), b - (len(piece) - len(piece.rstrip()))
-            if _plausible(kind, texts[i][a:b]) and not _overlaps((a, b), taken) and not _overlaps((a, b), bad[kind]):
+            if _plausible(kind, texts[i][a:b]) and judged[kind, a] < b and not taken[a:b].any():
                 more[i].append((kind, a, b))
-                taken.append((a, b))
+                taken[a:b] = True
     return [(good, extra) for (good, _), extra in zip(base, more)]
 
 
@@ -160,8 +161,10 @@ def _line(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for k, a, b in sorted(spans))
 
 
-def fit(docs: DataFrame, backgrounds: int = BACKGROUNDS, windows: int = WINDOWS, hidden: int = HIDDEN, epochs: int = EPOCHS, size: int = SIZE) -> Tagger:
-    rows = docs.where("text is not null and doc_id is not null").select("doc_id", F.substring("text", 1, 2000).alias("text"))  # for training only
+def fit(docs: DataFrame, backgrounds: int = BACKGROUNDS, stretch: int = STRETCH, windows: int = WINDOWS, hidden: int = HIDDEN, epochs: int = EPOCHS, size: int = TRAINED) -> Tagger:
+    """The tagger trained on `windows` generated windows over a stretch of each of `backgrounds` texts, drawn by hash."""
+    at = 1 + F.pmod(F.xxhash64(F.lit("at"), "doc_id"), F.greatest(F.lit(1), F.char_length("text") - stretch + 1)).cast("int")
+    rows = docs.where("text is not null and doc_id is not null").select("doc_id", F.substring("text", at, F.lit(stretch)).alias("text"))
     some = fewest(rows, docs.where("doc_id is not null").count(), F.xxhash64("doc_id"), backgrounds, "doc_id", "text")
     clean = sorted({re.sub(r"[0-9@+]+", "", r["text"]) for r in some} - {""}) or ["lorem ipsum dolor sit amet "]
     return trained(tuple(clean), windows, size, hidden, epochs)
