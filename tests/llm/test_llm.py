@@ -195,24 +195,47 @@ def test_bpe_rows(spark, reference, corpus):
 # --- 4 ---
 
 
-def test_passages(spark, corpus):
+def brute_passages(rows, length=50):
+    """Spans of each document: the union of its windows of `length` words that another document holds too."""
     seen, want = collections.defaultdict(set), set()
-    rows = [(i, words(t)) for i, t in corpus if i is not None]
+    rows = [(i, words(t)) for i, t in rows if i is not None]
     for i, w in rows:
-        for s in range(len(w) - 49):
-            seen[tuple(w[s : s + 50])].add(i)
+        for s in range(len(w) - length + 1):
+            seen[tuple(w[s : s + length])].add(i)
     for i, w in rows:
         span = None
-        for s in range(len(w) - 49):
-            if len(seen[tuple(w[s : s + 50])]) > 1:
-                if span and s - span[1] <= 50:
+        for s in range(len(w) - length + 1):
+            if len(seen[tuple(w[s : s + length])]) > 1:
+                if span and s - span[1] <= length:
                     span[1] = s
                 else:
-                    want |= {(i, span[0], span[1] + 50)} if span else set()
+                    want |= {(i, span[0], span[1] + length)} if span else set()
                     span = [s, s]
-        want |= {(i, span[0], span[1] + 50)} if span else set()
-    got = sparse_suffix.repeated_passages(docs(spark, corpus)).collect()
-    assert {(r.doc_id, r.start_word, r.end_word) for r in got} == want and {200, 201, 202} <= {r.doc_id for r in got} and 203 not in {r.doc_id for r in got}
+        want |= {(i, span[0], span[1] + length)} if span else set()
+    return want
+
+
+@pytest.mark.parametrize("seams", [False, True])
+def test_passages(spark, corpus, seams):
+    r = random.Random(6)
+    rows = list(corpus)
+    hot = prose(r, 64)  # a passage of a third of all documents, with the same or other words around
+    rows += [(300 + i, " ".join([prose(r, r.randrange(40)), *(["a b c d e f g"] * (i % 3 == 0)), hot, *(["h i j k"] * (i % 2)), prose(r, r.randrange(40))])) for i in range(30)]
+    family = prose(r, 400).split()
+    for i in range(12):  # edits close together: long matches to one side are in other documents than those to the other
+        w = list(family)
+        for _ in range(10):
+            w[r.randrange(len(w))] = prose(r, 1)
+        rows.append((400 + i, " ".join(w)))
+    settings = {"spark.sql.shuffle.partitions": "13", "spark.sql.adaptive.coalescePartitions.enabled": "false"} if seams else {}
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    got = sparse_suffix.repeated_passages(docs(spark, rows)).collect()
+    for k, v in before.items():
+        spark.conf.set(k, v)
+    assert {(x.doc_id, x.start_word, x.end_word) for x in got} == brute_passages(rows) and {200, 201, 202} <= {x.doc_id for x in got} and 203 not in {x.doc_id for x in got}
+    assert len(got) == len({tuple(x) for x in got}) and all(x.n_words == x.end_word - x.start_word for x in got)
     assert sparse_suffix.repeated_passages(docs(spark, corpus).limit(0)).count() == 0
 
 

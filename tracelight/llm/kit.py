@@ -66,11 +66,30 @@ def null_columns(df: DataFrame, prefix: str, names: list[str]) -> dict[str, str]
     return out
 
 
-def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+HOT = 1024
+
+
+def hot_join(rows: DataFrame, unique: DataFrame, keys: str | list[str], count: str, total: int | None = None) -> DataFrame:
+    """rows joined to unique, which has one row a key and in column `count` the number of rows with it.
+
+    Keys with more than a HOT-th of all rows are fewer than HOT: these are broadcast and their rows stay where they are;
+    the other rows are shuffled, so no task gets more than a HOT-th of them by one key.
+    """
+    total = rows.count() if total is None else total
+    many = F.col(count) > max(total / HOT, 1)
+    hot = checkpoint(unique.where(many))
+    if hot.isEmpty():
+        return rows.join(unique, keys)
+    cold = rows.join(F.broadcast(hot.select(keys)), keys, "left_anti").join(unique.where(~many), keys)
+    return cold.unionByName(rows.join(F.broadcast(hot), keys))
+
+
+def connected_components(edges: DataFrame) -> DataFrame:
     """Columns node, root from edges (a, b): root is the smallest node that links reach.
 
-    Alternating large-star and small-star steps on the distributed edge list; nothing is collected but
-    one count and one checksum a round. Nodes without an edge to another node do not appear.
+    Alternating large-star and small-star steps on the distributed edge list until it stands; nothing is collected but
+    counts and a checksum a round. A node that many edges meet is joined by broadcast, see hot_join. Nodes without an edge
+    to another node do not appear.
     """
     e = (
         edges.where("a is not null and b is not null and a <> b")
@@ -79,19 +98,18 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     )
     e = checkpoint(e)
     seen = None
-    for _ in range(rounds):
+    while True:
         state = e.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")).first()
         if state == seen or not state["n"]:
             break
         seen = state
         both = e.unionAll(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        low = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("met")).select("u", F.least("u", "m").alias("m"), "met")
+        large = hot_join(both, low, "u", "met", 2 * state["n"]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = checkpoint(large)
+        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("met"))
+        small = hot_join(large, low, "u", "met", 2 * state["n"]).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         e = checkpoint(small.unionAll(low.select("u", F.col("m").alias("v"))).distinct())
-    else:
-        raise RuntimeError("components did not settle")
     return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 

@@ -1,21 +1,29 @@
 """Repeated passages by sparse suffix arrays over words.
 
 Suffixes are retained only where a text's own content selects them: at the minimisers of its rolling word 8-gram hashes
-over windows of WINDOW positions. Two texts that share a passage of LENGTH words retain the same suffixes inside it, the
-first within its first WINDOW words, so these share their next LENGTH - WINDOW + 1 words at least. Retained suffixes are
-ordered by the hash of these words: suffixes that agree on them become neighbours, which Spark finds by partial and final
-aggregation, so that a passage of a third of all documents is pre-aggregated where it is read. Suffixes without a
-neighbour in another document fall away.
+over windows of WINDOW positions. Every passage of LENGTH words holds a minimiser within its first WINDOW words, the same in
+every text that holds the passage, and at least LENGTH - WINDOW + 1 words of it follow: the suffix's key. Keys that only
+one document has fall away by partial and final aggregation.
 
-Matches are then extended from the surviving positions to the left, up to WINDOW - 1 words, and to the right, as far as
-windows of LENGTH words occur in another document as well. The windows' hashes are aggregated in the same way. Adjoining
-windows form the maximal spans. All repeated passages of LENGTH words or more are found, and nothing shorter.
+The remaining suffixes are sorted by key, then by the words that follow, then by the words before them, read leftwards:
+range partitions in order are the sparse suffix array. Neighbours are compared word by word. Neighbours that agree on all
+q words after the key are an interval of depth q; members of an interval that also agree on the t = WINDOW - 1 - q words
+before the suffix hold the same passage of LENGTH words. Doing so for each t from 0 to WINDOW - 1 extends every match to
+the left and to the right as far as it goes; longer passages hold further minimisers, whose matches overlap, so that the
+union is the maximal span. All repeated passages of LENGTH words or more are found, and nothing shorter.
+
+The first and the last key of a partition can go on in the next one. Their passages are compared across the seams by hash:
+each that a partition holds is told once, and the documents of those that it has found in one document only ask. A key of a
+third of all documents is thus many partitions; each holds its own part, nothing more.
 
 Documents with equal words are one class first; in a class of several, the whole text is a span.
 
+Words before and after are compared by 32 bits, the rest by 64 bits: of 2^32 comparisons one takes a span one word too far.
+A task holds one range partition, WIDTH bytes a suffix, as many as spark.sql.shuffle.partitions makes it.
+
 Defined results. Only repetition between different doc_ids counts. Null or empty text, or below LENGTH words: no rows.
-Null doc_id: takes no part. Rows sharing a doc_id are one document with all their spans. Empty table: empty result. Only
-doc_id and text are read.
+Null doc_id: takes no part. Rows sharing a doc_id are one document with all their spans. Texts of any length are whole.
+Empty table: empty result. Only doc_id and text are read, so other columns may have any names.
 """
 
 from __future__ import annotations
@@ -30,6 +38,7 @@ from pyspark.sql import functions as F
 from tracelight.llm import kit
 
 LENGTH, GRAM, WINDOW = 50, 8, 26
+WIDTH = 8 + 8 + 4 + 2 * 4 * (WINDOW - 1)
 
 
 def minimisers(g: np.ndarray, window: int) -> np.ndarray:
@@ -81,9 +90,9 @@ def _suffixes(length: int, gram: int, window: int):
     return run
 
 
-def _windows(length: int, gram: int, window: int):
-    """Hashes of the length-word windows that can hold a surviving suffix, with their first words."""
-    rest = length - window + 1
+def _contexts(length: int, gram: int, window: int):
+    """The live suffixes of each text: key, the words after it and those before it (leftwards) as bytes, node, place."""
+    rest, side = length - window + 1, window - 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -94,60 +103,144 @@ def _windows(length: int, gram: int, window: int):
                     continue
                 at = minimisers(kit.grams(h, gram), window)
                 at = at[at + rest <= len(h)]
-                live = np.asarray(batch.column("live")[row].values, np.int64).view(np.uint64)
-                at = at[np.isin(kit.grams(h, rest, salt=1)[at], live)]
-                if not len(at):
-                    continue
-                edge = np.zeros(len(h) + 1, np.int64)
-                np.add.at(edge, np.maximum(at - window + 1, 0), 1)
-                np.add.at(edge, at + 1, -1)
-                starts = np.flatnonzero(np.cumsum(edge[: len(h) - length + 1]) > 0)
-                hashes = kit.longs(kit.grams(h, length, salt=2)[starts])
-                for s in range(0, len(starts), 50_000):
-                    part = starts[s : s + 50_000]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), batch.column("node")[row].as_py()), pa.int64()), pa.array(part, pa.int32()), pa.array(hashes[s : s + 50_000], pa.int64())], ["node", "start", "window"])
+                keys = kit.grams(h, rest, salt=1)[at]
+                live = np.isin(keys, np.asarray(batch.column("live")[row].values, np.int64).view(np.uint64))
+                at, keys = at[live], keys[live]
+                word = (h >> np.uint64(32)).astype(">u4")
+                node = batch.column("node")[row].as_py()
+                for s in range(0, len(at), 20_000):
+                    some = at[s : s + 20_000].tolist()
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array(kit.longs(keys[s : s + 20_000])), pa.array([word[p + rest : p + length].tobytes() for p in some], pa.binary()),
+                            pa.array([word[max(0, p - side) : p][::-1].tobytes() for p in some], pa.binary()), pa.array(np.full(len(some), node), pa.int64()), pa.array(some, pa.int32()),
+                        ],
+                        ["key", "after", "before", "node", "place"],
+                    )
 
     return run
 
 
-def repeated_passages(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, window: int = WINDOW) -> DataFrame:
-    """doc_id, start_word, end_word (exclusive), n_words, first_doc_id: one row for each maximal repeated span.
+def _sides(column: pa.Array, side: int) -> tuple[np.ndarray, np.ndarray]:
+    """Words (n, side), zero beyond the end, and their numbers."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    offs = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    data = np.frombuffer(column.buffers()[2], np.uint8) if column.buffers()[2] is not None else np.zeros(0, np.uint8)
+    n, out = np.diff(offs) // 4, np.zeros((len(column), side * 4), np.uint8)
+    row = np.repeat(np.arange(len(column)), np.diff(offs))
+    out[row, np.arange(offs[-1] - offs[0]) - np.repeat(offs[:-1] - offs[0], np.diff(offs))] = data[offs[0] : offs[-1]]
+    return out.view(">u4").astype(np.uint32), n
+
+
+def _held_by(ids: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each row whether its id is also held by another node; the first row and the least node of each id."""
+    order = np.argsort(ids, kind="stable")
+    new = np.flatnonzero(np.concatenate([[True], ids[order][1:] != ids[order][:-1]]))
+    low, high = np.minimum.reduceat(node[order], new), np.maximum.reduceat(node[order], new)
+    size = np.diff(np.append(new, len(ids)))
+    out = np.empty(len(ids), bool)
+    out[order] = np.repeat(low != high, size)
+    return out, order[new], low
+
 
-    first_doc_id: the smallest doc_id that holds the span's first window; is_first: it is this document.
+def matched(key: np.ndarray, after: np.ndarray, n_after: np.ndarray, before: np.ndarray, n_before: np.ndarray, node: np.ndarray, seam: bool = True) -> tuple[np.ndarray, list[tuple]]:
+    """For sorted suffixes which (row, t) passages another document holds, and what is to be compared across the seams.
+
+    The second: (row, t, hash, least node, whether it asks), for rows of the first and the last key.
     """
+    n, side = after.shape
+    same = np.concatenate([[False], key[1:] == key[:-1]])
+    # Words after the key that a suffix shares with the one before it in order.
+    agree = np.concatenate([[0], np.minimum((np.cumprod(after[1:] == after[:-1], axis=1)).sum(axis=1), np.minimum(n_after[1:], n_after[:-1]))])
+    edge = np.zeros(n, bool)
+    if seam:
+        edge = (key == key[0]) | (key == key[-1])
+    covered, open_ = np.zeros((n, side + 1), bool), []
+    left = np.zeros(n, np.uint64)
+    right = [np.zeros(n, np.uint64)]
+    for q in range(side):
+        right.append(kit.mix(right[-1] * np.uint64(0x9E3779B97F4A7C15) + after[:, q].astype(np.uint64) + np.uint64(1)))
+    for t in range(side + 1):
+        q = side - t
+        if t:
+            left = kit.mix(left * np.uint64(0x9E3779B97F4A7C15) + before[:, t - 1].astype(np.uint64) + np.uint64(1))
+        interval = np.cumsum(~(same & (agree >= q)))
+        able = (n_after >= q) & (n_before >= t)
+        many = np.bincount(interval, able, interval[-1] + 1)[interval] > 1
+        at = np.flatnonzero(able & many)
+        if len(at):
+            hit, _, _ = _held_by(kit.mix(left[at] + interval[at].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), node[at])
+            covered[at[hit], t] = True
+        at = np.flatnonzero(able & edge)
+        if len(at):
+            h = kit.mix(kit.mix(left[at] ^ kit.mix(right[q][at] + np.uint64(t))) + key[at].view(np.uint64))
+            _, first, low = _held_by(h, node[at])
+            lone = ~covered[at, t]
+            asks = np.flatnonzero(lone)
+            tell = first[~lone[first]]
+            open_.append((at[asks], np.full(len(asks), t), h[asks], node[at[asks]], np.ones(len(asks), bool)))
+            least = np.zeros(len(at), np.int64)
+            least[first] = low
+            open_.append((at[tell], np.full(len(tell), t), h[tell], least[tell], np.zeros(len(tell), bool)))
+    return covered, open_
+
+
+def _neighbours(length: int, window: int):
+    """Of one range partition: spans (kind 0) and what is open at its seams (kind 1: tells, 2: asks)."""
+    side, names = window - 1, ["kind", "node", "start", "end", "passage"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        whole = [b for b in batches if len(b)]
+        if not whole:
+            return
+        rows = pa.Table.from_batches(whole)
+        key, node, place = (rows.column(c).to_numpy() for c in ("key", "node", "place"))
+        (after, n_after), (before, n_before) = _sides(rows.column("after"), side), _sides(rows.column("before"), side)
+        covered, open_ = matched(key, after, n_after, before, n_before, node)
+        # Runs of t along a row: a span from the largest t's start to the smallest t's end.
+        grown = np.diff(np.pad(covered, ((0, 0), (1, 1))).astype(np.int8), axis=1)
+        (row, low), (_, high) = np.nonzero(grown == 1), np.nonzero(grown == -1)
+        parts = [(np.zeros(len(row), np.int8), node[row], place[row] - (high - 1), place[row] - low + length, np.zeros(len(row), np.int64))]
+        parts += [(np.where(asks, 2, 1).astype(np.int8), who, place[r] - t, place[r] - t + length, kit.longs(h)) for r, t, h, who, asks in open_]
+        for kind, who, start, end, h in parts:
+            yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(who, pa.int64()), pa.array(start, pa.int32()), pa.array(end, pa.int32()), pa.array(h, pa.int64())], names)
+
+    return run
+
+
+def repeated_passages(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, window: int = WINDOW) -> DataFrame:
+    """doc_id, start_word, end_word (exclusive), n_words: one row for each maximal span of repeated passages."""
     if not gram <= length - window + 1:
         raise ValueError("the window leaves no room for a gram")
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
     read = kit.checkpoint(ids.mapInArrow(_suffixes(length, gram, window), "doc_id long, class binary, n_words int, suffixes array<long>").where(F.col("n_words") >= length))
     classes = kit.checkpoint(read.groupBy("class").agg(F.min("doc_id").alias("node"), F.max("doc_id").alias("last"), F.first("n_words").alias("n_words"), F.first("suffixes").alias("suffixes")))
     suffixes = classes.select("node", F.explode("suffixes").alias("suffix"))
-    shared = suffixes.groupBy("suffix").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("suffix")
-    live = suffixes.join(shared, "suffix").groupBy("node").agg(F.collect_set("suffix").alias("live"))
-    live = kit.checkpoint(live)
+    shared = suffixes.groupBy("suffix").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("n")).where("low <> high").select("suffix", "n")
+    shared = kit.checkpoint(shared)
+    live = kit.hot_join(suffixes, shared, "suffix", "n").groupBy("node").agg(F.collect_set("suffix").alias("live"))
     texts = ids.withColumnRenamed("doc_id", "node").join(live.hint("shuffle_hash"), "node").select("node", "text", "live")
-    windows = kit.checkpoint(texts.mapInArrow(_windows(length, gram, window), "node long, start int, window long"))
-    found = windows.groupBy("window").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("window", "low")
-    hits = windows.join(found, "window").select("node", "start", "low")
-    per = hits.groupBy("node").agg(F.sort_array(F.collect_set(F.struct("start", "low"))).alias("hits"))
-    # Starts that follow within `length` adjoin: their windows overlap or touch.
-    kind = "array<struct<start:int,last:int,low:bigint>>"
+    order = ["key", "after", "before", "node", "place"]
+    array = texts.mapInArrow(_contexts(length, gram, window), "key long, after binary, before binary, node long, place int")
+    array = array.repartitionByRange(*order).sortWithinPartitions(*order)
+    found = kit.checkpoint(array.mapInArrow(_neighbours(length, window), "kind byte, node long, start int, end int, passage long"))
+    seams = found.where("kind > 0")
+    several = seams.groupBy("passage").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("n")).where("low <> high").select("passage", "n")
+    across = kit.hot_join(seams, several, "passage", "n").where("kind = 2")
+    spans = found.where("kind = 0").select("node", "start", "end").unionAll(across.select("node", "start", "end"))
+    per = spans.groupBy("node").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("hits"))
+    # Spans that overlap or touch are one.
+    kind = "array<struct<start:int,end:int>>"
 
     def merge(acc, x):
-        last = F.try_element_at(acc, F.lit(-1))
-        near = F.coalesce(x["start"] - last["last"] <= length, F.lit(False))
-        return F.when(near, F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.struct(last["start"].alias("start"), x["start"].alias("last"), last["low"].alias("low"))))).otherwise(
-            F.concat(acc, F.array(F.struct(x["start"].alias("start"), x["start"].alias("last"), x["low"].alias("low"))))
-        ).cast(kind)
-
-    spans = per.select("node", F.aggregate("hits", F.array().cast(kind), merge).alias("spans"))
-    whole = F.struct(F.lit(0).alias("start"), (F.col("n_words") - length).alias("last"), F.col("node").alias("low"))
-    both = classes.join(spans, "node", "left").select("class", "node", F.when(F.col("node") != F.col("last"), F.array(whole).cast(kind)).otherwise(F.col("spans")).alias("spans")).where("spans is not null")
+        near = F.coalesce(x["start"] <= acc["end"], F.lit(False))
+        flush = F.when(acc["start"].isNull(), acc["done"]).otherwise(F.concat(acc["done"], F.array(F.struct(acc["start"].alias("start"), acc["end"].alias("end")))))
+        return F.struct(F.when(near, acc["start"]).otherwise(x["start"]).alias("start"), F.when(near, F.greatest(acc["end"], x["end"])).otherwise(x["end"]).alias("end"), F.when(near, acc["done"]).otherwise(flush).cast(kind).alias("done"))
+
+    start = F.struct(F.lit(None).cast("int").alias("start"), F.lit(None).cast("int").alias("end"), F.array().cast(kind).alias("done"))
+    finish = lambda acc: F.concat(acc["done"], F.array(F.struct(acc["start"].alias("start"), acc["end"].alias("end"))).cast(kind))
+    merged = per.select("node", F.aggregate("hits", start, merge, finish).alias("spans"))
+    whole = F.struct(F.lit(0).alias("start"), F.col("n_words").alias("end"))
+    both = classes.join(merged, "node", "left").select("class", "node", F.when(F.col("node") != F.col("last"), F.array(whole).cast(kind)).otherwise(F.col("spans")).alias("spans")).where("spans is not null")
     out = read.select("doc_id", "class").distinct().join(both, "class").select("doc_id", F.explode("spans").alias("s"))
-    return out.select(
-        "doc_id",
-        F.col("s.start").cast("long").alias("start_word"),
-        (F.col("s.last") + length).cast("long").alias("end_word"),
-        (F.col("s.last") + length - F.col("s.start")).cast("long").alias("n_words"),
-        F.col("s.low").alias("first_doc_id"),
-        (F.col("s.low") == F.col("doc_id")).alias("is_first"),
-    )
+    return out.select("doc_id", F.col("s.start").cast("long").alias("start_word"), F.col("s.end").cast("long").alias("end_word"), (F.col("s.end") - F.col("s.start")).cast("long").alias("n_words"))
