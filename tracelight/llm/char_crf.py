@@ -70,20 +70,26 @@ class Tagger:
         return out, tape
 
     def _hidden(self, x: np.ndarray, d: str) -> np.ndarray:
-        """The same hidden states without a tape. Gates are 0.5 + 0.5 tanh(z / 2), so that one tanh serves all four."""
+        """The same hidden states without a tape. Gates are 0.5 + 0.5 tanh(z / 2), so that one tanh serves all four.
+
+        Each gate is a block of its own, so that all arithmetic runs over contiguous memory.
+        """
         n, steps, k = *x.shape, self.h
-        half = np.concatenate([np.full(3 * k, 0.5, np.float32), np.ones(k, np.float32)])
-        wx, wh = self.p[f"x{d}"] * half, self.p[f"h{d}"] * half
-        h, c, z = np.zeros((n, k), np.float32), np.zeros((n, k), np.float32), np.empty((n, 4 * k), np.float32)
-        out, at = np.empty((steps, n, k), np.float32), np.ascontiguousarray(x.T)
+        half = np.array([0.5, 0.5, 0.5, 1], np.float32)[:, None, None]
+        wx, wh = (np.ascontiguousarray(self.p[f"{m}{d}"].astype(np.float32).reshape(-1, 4, k).transpose(1, 0, 2) * half) for m in "xh")
+        z, wide, c, tmp, h = np.empty((4, n, k), np.float32), np.empty((4, n, k), np.float32), np.zeros((n, k), np.float32), np.empty((n, k), np.float32), np.zeros((n, k), np.float32)
+        out, at = np.empty((steps, n, k), np.float32), x.T.astype(np.intp)
         for t in range(steps) if d == "f" else range(steps - 1, -1, -1):
-            np.take(wx, at[t], axis=0, out=z)
-            z += h @ wh
+            np.take(wx, at[t], axis=1, out=z, mode="clip")
+            np.matmul(h, wh, out=wide)
+            z += wide
             np.tanh(z, out=z)
-            gates = z[:, : 3 * k] * np.float32(0.5) + np.float32(0.5)
-            c *= gates[:, k : 2 * k]
-            c += gates[:, :k] * z[:, 3 * k :]
-            h = np.multiply(gates[:, 2 * k :], np.tanh(c), out=out[t])
+            i, f, o, g = z
+            z[:3] *= np.float32(0.5)
+            z[:3] += np.float32(0.5)
+            c *= f
+            c += np.multiply(i, g, out=tmp)
+            h = np.multiply(o, np.tanh(c, out=tmp), out=out[t])
         return out
 
     def emissions(self, x: np.ndarray) -> np.ndarray:
@@ -92,20 +98,28 @@ class Tagger:
         return self._hidden(x, "f") @ self.p["out"][:k] + self._hidden(x, "b") @ self.p["out"][k:] + self.p["bias"]
 
     def decode(self, x: np.ndarray) -> np.ndarray:
-        """Viterbi paths (n, steps). Best scores of all steps are kept; the path back asks only for the tag it is in."""
+        """Viterbi paths (n, steps). Best scores of all steps are kept; the path back asks only for the tag it is in.
+
+        Tags are taken in the order outside, begins, continuations: a continuation has two tags before it, the others any.
+        """
         n, steps = x.shape
-        e, move = np.ascontiguousarray(self.emissions(x).transpose(0, 2, 1)), (self.p["move"] + BARRED).astype(np.float32)
-        best, into = np.empty((steps, TAGS, n), np.float32), np.empty((TAGS, TAGS, n), np.float32)
-        best[0] = e[0] + BARRED[0][:, None]
+        order = np.array([0, *range(1, TAGS, 2), *range(2, TAGS, 2)])
+        k = len(KINDS)
+        e = np.ascontiguousarray(self.emissions(x).transpose(0, 2, 1)[:, order])
+        move = (self.p["move"] + BARRED).astype(np.float32)[np.ix_(order, order)]
+        free, begun, held = move[:, : k + 1, None], np.diagonal(move[1 : k + 1, k + 1 :])[:, None], np.diagonal(move[k + 1 :, k + 1 :])[:, None]
+        best, into = np.empty((steps, TAGS, n), np.float32), np.empty((TAGS, k + 1, n), np.float32)
+        best[0] = e[0] + BARRED[0][order][:, None]
         for t in range(1, steps):
-            np.add(best[t - 1][:, None, :], move[:, :, None], out=into)
-            np.max(into, axis=0, out=best[t])
+            v = best[t - 1]
+            np.max(np.add(v[:, None, :], free, out=into), axis=0, out=best[t, : k + 1])
+            np.maximum(v[1 : k + 1] + begun, v[k + 1 :] + held, out=best[t, k + 1 :])
             best[t] += e[t]
         path = np.empty((steps, n), np.int8)
         path[-1] = best[-1].argmax(axis=0)
         for t in range(steps - 1, 0, -1):
             path[t - 1] = (best[t - 1] + move[:, path[t]]).argmax(axis=0)
-        return np.ascontiguousarray(path.T)
+        return order.astype(np.int8)[path].T
 
     def step(self, x: np.ndarray, y: np.ndarray) -> tuple[float, dict]:
         """Mean negative log likelihood and its gradients."""

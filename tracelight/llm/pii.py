@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from tracelight.llm.char_crf import KINDS, Tagger, codes, trained
 from tracelight.llm.kit import fewest
 
-SIZE, STRIDE, BATCH, SPACE = 320, 224, 1024, codes(" ")[0]
+SIZE, STRIDE, BATCH, SPACE = 512, 416, 1024, codes(" ")[0]
 BACKGROUNDS, STRETCH, TRAINED, WINDOWS, HIDDEN, EPOCHS = 64, 2000, 96, 3000, 12, 8
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
