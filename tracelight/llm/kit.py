@@ -75,13 +75,14 @@ def hot_join(rows: DataFrame, unique: DataFrame, keys: str | list[str], count: s
     Keys with more than a HOT-th of all rows are fewer than HOT: these are broadcast and their rows stay where they are;
     the other rows are shuffled, so no task gets more than a HOT-th of them by one key.
     """
-    total = rows.count() if total is None else total
-    many = F.col(count) > max(total / HOT, 1)
-    hot = checkpoint(unique.where(many))
-    if hot.isEmpty():
+    total, names = rows.count() if total is None else total, [keys] if isinstance(keys, str) else keys
+    hashed = F.xxhash64(F.lit(HOT), *names)
+    hot = [r[0] for r in unique.where(F.col(count) > max(total / HOT, 1)).select(hashed).distinct().collect()]  # fewer than HOT
+    if not hot:
         return rows.join(unique, keys)
-    cold = rows.join(F.broadcast(hot.select(keys)), keys, "left_anti").join(unique.where(~many), keys)
-    return cold.unionByName(rows.join(F.broadcast(hot), keys))
+    cold = rows.where(~hashed.isin(hot)).join(unique.where(~hashed.isin(hot)), keys)
+    # Keys whose hash is that of a hot one go with it: as many as collide.
+    return cold.unionByName(rows.where(hashed.isin(hot)).join(F.broadcast(unique.where(hashed.isin(hot))), keys))
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
