@@ -1,6 +1,6 @@
 """Byte-level BPE by monoid tree reduction.
 
-A text is cut in halves down to leaves; a leaf is split by the tokenizer's pattern and its pieces are encoded. Joining two
+A text is cut in halves down to leaves of at most LEAF characters; a leaf is split by the tokenizer's pattern. Joining two
 neighbours re-splits a window around the seam: it opens at the last left piece whose start cannot depend on what follows
 the seam, and grows to the right until the fresh pieces meet a piece start of the right part. The splitter reads from left
 to right and keeps no state between pieces, so all pieces outside the window stand. Within one long piece the same is done
@@ -12,7 +12,9 @@ window are then final.
 Decoding concatenates the tokens' bytes up a tree of the same shape.
 
 Defined results: null and empty texts have no tokens; any text, of any length, is handled whole; special tokens' strings
-are ordinary text. Repeated rows and ties need no care, as rows do not meet. The file of ranks is a parameter.
+are ordinary text. Null doc_id: kept as null. Repeated rows and equal ids each get their row; rows do not meet, so there
+are no ties. Empty table: empty result. Only doc_id and text are read, so other columns may have any names. The file of
+ranks is a parameter.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-LEAF = 1 << 15  # characters of a text leaf
+LEAF = 512  # characters of a text leaf, tokens of a decoding leaf
 SHORT = 64  # bytes of a piece leaf
 CACHED = 400_000  # pieces remembered by a worker
 
@@ -96,10 +98,8 @@ class Codec:
     def _halves(self, piece: bytes) -> list[int]:
         if len(piece) <= SHORT:
             return self._merge(piece)
-        parts = [self._merge(piece[i : i + SHORT]) for i in range(0, len(piece), SHORT)]
-        while len(parts) > 1:
-            parts = [self._join(parts[i], parts[i + 1]) if i + 1 < len(parts) else parts[i] for i in range(0, len(parts), 2)]
-        return parts[0]
+        half = len(piece) // 2
+        return self._join(self._halves(piece[:half]), self._halves(piece[half:]))
 
     def piece(self, piece: str) -> tuple[int, ...]:
         ids = self.cache.get(piece)
@@ -114,42 +114,34 @@ class Codec:
 
     # --- one text ---
 
-    def _seam(self, text: str, left: list[str], right: list[str], start: int, cut: int) -> list[str]:
-        """Pieces of text[start:...] from those of its halves that meet at cut."""
+    def _seam(self, text: str, left: list[str], right: list[str], cut: int, end: int) -> list[str]:
+        """The pieces of left and right, which meet at cut, with those around the seam split afresh."""
         at, keep = cut, len(left)
         # A piece's end was settled by characters up to one past it, or four from its start: all must lie left of the cut.
-        while keep and not (at + 2 <= cut and (keep < 1 or at - len(left[keep - 1]) + 4 <= cut)):
+        while keep and not (at + 2 <= cut and at - len(left[keep - 1]) + 4 <= cut):
             keep -= 1
             at -= len(left[keep])
-        starts, pos = {}, cut
-        for n, p in enumerate(right):
-            starts[pos] = n
-            pos += len(p)
-        end, fresh, scan = pos, [], at
-        match = self.split.match
-        while scan < end:
-            if scan >= cut and scan in starts:
-                return left[:keep] + fresh + right[starts[scan] :]
-            m = match(text, scan, end)
+        fresh, match, n, start = left[:keep], self.split.match, 0, cut
+        while at < end:
+            while n < len(right) and start < at:
+                start += len(right[n])
+                n += 1
+            if start == at:
+                return fresh + right[n:]
+            m = match(text, at, end)
             fresh.append(m.group())
-            scan = m.end()
-        return left[:keep] + fresh
+            at = m.end()
+        return fresh
+
+    def _pieces(self, text: str, start: int, end: int) -> list[str]:
+        if end - start <= LEAF:
+            return self.split.findall(text, start, end)
+        cut = (start + end) // 2
+        return self._seam(text, self._pieces(text, start, cut), self._pieces(text, cut, end), cut, end)
 
     def pieces(self, text: str) -> list[str]:
-        """The pattern's matches over the whole text, by tree reduction over leaves."""
-        if len(text) <= LEAF:
-            return self.split.findall(text)
-        level = [(i, min(i + LEAF, len(text)), self.split.findall(text[i : i + LEAF])) for i in range(0, len(text), LEAF)]
-        while len(level) > 1:
-            up = []
-            for i in range(0, len(level), 2):
-                if i + 1 == len(level):
-                    up.append(level[i])
-                else:
-                    (a, b, left), (_, c, right) = level[i], level[i + 1]
-                    up.append((a, c, self._seam(text, left, right, a, b)))
-            level = up
-        return level[0][2]
+        """The pattern's matches over the whole text, by halves."""
+        return self._pieces(text, 0, len(text))
 
     def encode(self, text: str) -> list[int]:
         out: list[int] = []
@@ -175,11 +167,11 @@ class Codec:
         return " ".join(words), n
 
     def decode(self, ids: list[int]) -> bytes:
-        """Concatenation up the tree: leaves of tokens, then neighbours."""
-        level = [b"".join(map(self.token.__getitem__, ids[i : i + LEAF])) for i in range(0, len(ids), LEAF)] or [b""]
-        while len(level) > 1:
-            level = [b"".join(level[i : i + 2]) for i in range(0, len(level), 2)]
-        return level[0]
+        """Concatenation up a tree of halves."""
+        if len(ids) <= LEAF:
+            return b"".join(map(self.token.__getitem__, ids))
+        half = len(ids) // 2
+        return b"".join((self.decode(ids[:half]), self.decode(ids[half:])))
 
 
 def encode_documents(docs: DataFrame, path: str, pattern: str, ids: bool = False) -> DataFrame:
