@@ -6,11 +6,12 @@ in the text minus place in the template). Votes are aggregated by text, template
 on; neighbouring diagonals (an inserted or lost word) are merged; a span is verified by the share of the template's k-grams
 that its diagonals hold - for the base phrases all of them, on one diagonal, which is equality of the words.
 
-The templates are fixed in this module or given by the caller: their positions are broadcast, MOST_POSITIONS at most, which
-is checked. The texts are read once and never shuffled: only hits and one short row a text are.
+The templates are fixed in this module or given by the caller: up to MOST_POSITIONS of their positions are broadcast, more
+are joined by a shuffle. The texts are read once and never shuffled: only hits and one short row a text are.
 
 Defined results. Null text: as empty, no words, no labels, score 0. Repeated rows each get their row. Null doc_id: treated
-like any value. Very long texts are whole rows of word hashes. Empty table: empty result. Other columns are not read.
+like any value. Very long texts are whole rows of word hashes. Ties: a label found in several ways stands once. Empty
+table: empty result. Only doc_id and text are read, so other columns may have any names.
 """
 
 from __future__ import annotations
@@ -52,8 +53,6 @@ def positions(spark, base: dict[str, str], templates: dict[str, str]) -> DataFra
         if len(w) < k:
             raise ValueError(f"a template needs {k} words: {text!r}")
         rows += [(number, label, is_base, len(w) - k + 1, i, w[i : i + k]) for i in range(len(w) - k + 1)]
-    if len(rows) > MOST_POSITIONS:
-        raise ValueError(f"more than {MOST_POSITIONS} template positions")
     t = spark.createDataFrame(rows, "template int, label string, base boolean, grams int, place int, w array<string>")
     h = [F.xxhash64(F.get("w", F.lit(i))) for i in range(LONG)]
     return t.select("template", "label", "base", "grams", "place", F.when(F.col("base"), F.xxhash64(F.lit(SHORT), *h[:SHORT])).otherwise(F.xxhash64(F.lit(LONG), *h)).alias("gram"))
@@ -77,7 +76,10 @@ def scan(docs: DataFrame, base: dict[str, str] | None = None, templates: dict[st
     four = F.when(F.col("w3").isNotNull(), F.xxhash64(F.lit(LONG), "w0", "w1", "w2", "w3"))
     found = rows.select("doc_id", "h1", "h2", "n_words", "at", two.alias("two"), four.alias("four"))
     hits = table.groupBy("gram").agg(F.collect_list(F.struct("template", "label", "base", "grams", "place")).alias("hits"))
-    short, long = (F.broadcast(hits.select(F.col("gram").alias(k), F.col("hits").alias(f"hits_{k}"))) for k in ("two", "four"))
+    few = table.limit(MOST_POSITIONS + 1).count() <= MOST_POSITIONS
+    short, long = (hits.select(F.col("gram").alias(k), F.col("hits").alias(f"hits_{k}")) for k in ("two", "four"))
+    if few:
+        short, long = F.broadcast(short), F.broadcast(long)
     found = found.join(short, "two", "left").join(long, "four", "left").where("at < 0 or hits_two is not null or hits_four is not null")
     none = F.array().cast("array<struct<template:int,label:string,base:boolean,grams:int,place:int>>")
     found = found.select("doc_id", "h1", "h2", "n_words", "at", F.explode_outer(F.concat(F.coalesce("hits_two", none), F.coalesce("hits_four", none))).alias("hit"))

@@ -5,6 +5,7 @@ Each states the query's result plainly (all pairs, whole groups) and so suits sm
 
 from __future__ import annotations
 
+from tracelight.llm import licenses
 from tracelight.llm.line_dedup import LEAST_PAGES, RATIO
 from tracelight.llm.poisson_mix import PART, SEED
 from tracelight.llm.pstable import COSINE
@@ -33,6 +34,45 @@ select v.vec_id, coalesce(n_links, 0)::bigint as n_links, least(v.vec_id, coales
 from embeddings v left join per on per.a = v.vec_id left join low on low.a = v.vec_id
 """
 
+def _quoted(texts: list[str]) -> str:
+    return "[" + ", ".join(f"'{t}'" for t in texts) + "]"
+
+
+_PHRASES = ", ".join(
+    f"({number}, {_quoted(licenses.phrase_words(text))}, '{label}', {str(base).lower()})"
+    for number, (text, label, base) in enumerate([*((t, x, True) for t, x in licenses.BASE.items()), *((t, x, False) for t, x in licenses.TEMPLATES.items())])
+)
+
+OP5 = f"""
+with phrases(template, words, label, base) as (values {_PHRASES}),
+d as (
+  select row_number() over () as r, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{licenses.UPPER}', '{licenses.LOWER}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') as w from documents
+), places as (
+  select r, w, unnest(range(len(w))) as pos from d
+), stands as (
+  select r, pos, label from places join phrases on base and w[pos + 1] = words[1] and list_slice(w, pos + 1, pos + len(words)) = words
+), base_of as (
+  select r, count(*) as n_base, min(pos) as first_word, max(pos) as last_word, list_sort(list(distinct label)) as base_labels from stands group by r
+), grams as (
+  select template, label, len(words) - {licenses.LONG - 1} as grams, p as place, list_slice(words, p + 1, p + {licenses.LONG}) as gram
+  from (select *, unnest(range(len(words) - {licenses.LONG - 1})) as p from phrases where not base)
+), votes as (
+  select r, template, label, grams, pos - place as diagonal, count(distinct place) as places
+  from (select r, pos, list_slice(w, pos + 1, pos + {licenses.LONG}) as gram from places) join grams using (gram) group by all
+), runs as (
+  select *, sum(fresh) over (partition by r, template order by diagonal) as run
+  from (select *, case when diagonal - lag(diagonal) over (partition by r, template order by diagonal) > {licenses.NEAR} then 1 else 0 end as fresh from votes)
+), spans as (
+  select r, label, sum(places) as votes, any_value(grams) as grams from runs group by r, template, label, run having sum(places) >= {licenses.SHARE}::double * any_value(grams)
+), long_of as (
+  select r, list(distinct label) as labels, max(least(votes / grams, 1.0::double)) as score from spans group by r
+)
+select doc_id, len(w)::bigint as n_words, coalesce(n_base, 0)::bigint as n_base, first_word, last_word, array_to_string(coalesce(base_labels, []), ',') as base_labels,
+  array_to_string(list_sort(list_distinct(list_concat(coalesce(base_labels, []), coalesce(labels, [])))), ',') as labels,
+  case when n_base > 0 then 1.0::double else coalesce(score, 0.0)::double end as score
+from d left join base_of using (r) left join long_of using (r)
+"""
+
 OP7 = f"""
 with v as (
   select vec_id, list_transform(embedding, lambda x: floor(x::double * 1024)) as v from embeddings where {_USABLE}
@@ -92,4 +132,4 @@ select doc_id, source, coalesce(len(parts), 0)::bigint as n_lines, coalesce(len(
 from kept
 """
 
-SQL = {"op1_embedding_near_dedup": OP1, "op7_exact_topk": OP7, "op9_mixing": OP9, "op10_line_dedup": OP10}
+SQL = {"op1_embedding_near_dedup": OP1, "op5_license_scan": OP5, "op7_exact_topk": OP7, "op9_mixing": OP9, "op10_line_dedup": OP10}
