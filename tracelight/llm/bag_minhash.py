@@ -4,7 +4,8 @@ Signature: every distinct shingle owns, for each dyadic block of its multiplicit
 a Poisson process whose points carry a time, a signature component and a level within the block. Points whose level lies
 under the shingle's multiplicity count; the earliest point of each component is the signature. Processes of blocks that
 start above the multiplicity are never opened and a process stops at the horizon beyond which all components are filled,
-so a text costs about m ln m points, however long it is. Two signatures agree in a component with probability equal to
+so a text costs about m ln m points, however long it is. The blocks of an axis are independent processes side by side
+rather than a tree whose nodes split their points; their superposition is the same process. Two signatures agree in a component with probability equal to
 the weighted Jaccard similarity of the multisets.
 
 Then: texts with equal word sequences collapse into classes; signature bands bucket the classes; each bucket's members
@@ -219,11 +220,11 @@ def _grouped(docs: DataFrame, similarity: float = SIMILARITY, words: int = WORDS
 
     slots = kit.checkpoint(classes.select("node", F.explode("bands").alias("bucket")))
     sizes = slots.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-    members = kit.checkpoint(slots.join(sizes, "bucket").select("bucket", "node", "n"))
+    members = kit.checkpoint(kit.hot_join(slots, sizes, "bucket", "n").select("bucket", "node", "n"))
     # The pivot is the member that shares buckets with the most others: the least edited of a family of copies.
     central = members.groupBy("node").agg(F.sum("n").alias("score"))
-    pivots = members.join(central, "node").groupBy("bucket").agg(F.max_by("node", F.struct("score", -F.col("node"))).alias("p"))
-    shared = kit.checkpoint(members.join(pivots, "bucket").select("bucket", "node", "p", "n"))
+    pivots = members.join(central, "node").groupBy("bucket").agg(F.max_by("node", F.struct("score", -F.col("node"))).alias("p"), F.max("n").alias("met"))
+    shared = kit.checkpoint(kit.hot_join(members, pivots, "bucket", "met").select("bucket", "node", "p", "n"))
     wanted = shared.select("node").distinct()
     # Only texts of shared buckets are read again; the small side is hashed, so texts are not sorted.
     wanted = classes.join(wanted, "node", "left_semi").select(F.col("id").alias("doc_id"), "node", "class")

@@ -8,8 +8,9 @@ hot host costs no more than any other. A host has at most (lines a page / ratio)
 by host, as a broadcast if all of them together are few, else as a shuffled join that Spark can split where it is skewed.
 
 Defined results. Null text: stays null. Blank lines stay and are not counted. Null hosts are one host. Rows are pages:
-repeated rows count each and each get a result. A text that loses all lines becomes empty. Empty table: empty result.
-Columns other than the text and host column pass through under any name.
+repeated rows count each and each get a result. A text that loses all lines becomes empty. A line whose frequency equals
+the ratio stays. Very long texts are split whole. Empty table: empty result. Columns other than the text and host column
+pass through under any name; n_lines and n_dropped, if asked for, take the place of input columns of these names.
 """
 
 from __future__ import annotations
@@ -49,7 +50,7 @@ def without_boilerplate(docs: DataFrame, host: str = "source", text: str = "text
     kept = F.when(gone.isNull(), _lines(text)).otherwise(F.filter(_lines(text), lambda x: (F.trim(x) == "") | ~F.array_contains(gone, F.xxhash64(x))))
     joined = joined.withColumn(own["kept"], kept)
     columns = [(F.concat_ws("\n", F.when(F.col(text).isNotNull(), F.col(own["kept"]))) if c == text else F.col(f"`{c}`")).alias(c) for c in docs.columns]
-    columns = [F.when(F.col(text).isNotNull(), c).alias(text) if n == text else c for n, c in zip(docs.columns, columns)]
+    columns = [F.when(F.col(text).isNotNull(), c).alias(text) if n == text else c for n, c in zip(docs.columns, columns) if not (counts and n.lower() in ("n_lines", "n_dropped"))]
     if counts:
         n = F.coalesce(F.size(_lines(text)), F.lit(0)).cast("long")
         left = F.coalesce(F.size(own["kept"]), F.lit(0)).cast("long")

@@ -13,7 +13,9 @@ Weights: a map source -> weight; sources without one get `other` (default: 1, so
 are divided by their sum. Rows wanted: the number of input rows unless given.
 
 Defined results. Null sources are one source. A null text or id is hashed as empty. Repeated rows draw alike. Weight 0 or
-a draw of 0: no copy. Empty table: empty result. Other columns pass through; copy_no counts from 0 if asked for.
+a draw of 0: no copy. Very long texts are copied whole. Rows whose order hashes tie stand next to each other. Empty table:
+empty result. Other columns pass through under any name; copy_no, if asked for, counts from 0 and takes the place of an
+input column of that name.
 """
 
 from __future__ import annotations
@@ -87,5 +89,5 @@ def mixed(docs: DataFrame, weights: dict[str, float] | None = None, other: float
     out = out.withColumn(own["copy"], F.explode(F.when(F.col(own["copies"]) > 0, F.sequence(F.lit(0), F.col(own["copies"]) - 1))))
     if shuffle:
         out = out.withColumn(own["order"], F.xxhash64(own["key"], own["copy"])).repartition(own["order"]).sortWithinPartitions(own["order"])
-    columns = [F.col(f"`{c}`") for c in docs.columns]
+    columns = [F.col(f"`{c}`") for c in docs.columns if not (numbered and c.lower() == "copy_no")]
     return out.select(*columns, *([F.col(own["copy"]).cast("long").alias("copy_no")] if numbered else []))

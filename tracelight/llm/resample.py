@@ -3,16 +3,17 @@
 Tokens are runs of word characters or of punctuation, case kept; a text's features are its hashed token 1- and 2-grams.
 Two bag models with additive smoothing are counted: the target from labelled good documents, the raw one from all
 documents. A document's log weight is the sum of log(target / raw) over its features. It takes part in a Gumbel top-k draw
-(log weight plus Gumbel noise from a hash of its id and text), which samples without replacement in proportion to the
+(log weight plus Gumbel noise from a hash of its id and its weight), which samples without replacement in proportion to the
 weights. k is the number of documents whose log weight reaches a level fitted on labelled documents that the target model
 has not seen.
 
-Bounds: the models read at most LABELLED labelled documents (those with the smallest hash of doc_id); counts of the raw
-model, the draw and its threshold cover all documents. The driver gets 2 x BUCKETS counts and histogram bins.
+Bounds: the models read at most LABELLED labelled documents (those with the smallest hash of doc_id; of rows that share a
+doc_id the smallest text); counts of the raw model, the draw and its threshold cover all documents. The driver gets
+2 x BUCKETS counts, histogram bins and the weights of at most LABELLED documents.
 
-Defined results. Null or empty text: no features, log weight 0, takes part like any other. Null doc_id: hashed as empty.
-Ties at the threshold all stay. Repeated rows score and draw alike. No labels of either class: k is all rows. Empty table:
-empty result. Other columns pass through.
+Defined results. Null or empty text: no features, log weight 0, takes part like any other. Null doc_id: hashed as 0. Very
+long texts count whole. Ties at the threshold all stay, so repeated rows, which score and draw alike, stay or go together.
+No labels of either class: k is all rows. Empty table: empty result. Other columns pass through under any name.
 """
 
 from __future__ import annotations
@@ -88,8 +89,8 @@ def log_ratio(target: np.ndarray, raw: np.ndarray, smooth: float = SMOOTH) -> np
 
 def score(docs: DataFrame, table: np.ndarray, seed: int = 5) -> DataFrame:
     """docs with log_weight, n_features and draw (the Gumbel key)."""
-    have = {c.lower() for c in docs.columns}
-    assert not have & {"log_weight", "n_features", "draw"}, "score() works on doc_id and text"
+    if taken := {c.lower() for c in docs.columns} & {"log_weight", "n_features", "draw"}:
+        raise ValueError(f"score() makes the columns {sorted(taken)} itself")
     from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
     schema = StructType([*docs.schema.fields, StructField("log_weight", DoubleType()), StructField("n_features", LongType()), StructField("draw", DoubleType())])
@@ -102,7 +103,7 @@ def largest(keys: DataFrame, k: int) -> float:
     if low is None:
         return float("-inf")
     above = 0
-    for _ in range(6):
+    while True:
         width = (high - low) / BINS
         if width <= 0 or low + width == low:
             return low
@@ -115,14 +116,13 @@ def largest(keys: DataFrame, k: int) -> float:
             above += n
         if above + n == k or low == high:
             return low
-    return low
 
 
 def fit(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, labelled: int = LABELLED) -> tuple[np.ndarray, float]:
     """(log ratio of each bucket, level of the log weight that parts good from bad)."""
     known = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
     picked = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(labelled)  # bounded by the parameter
-    sample = kit.checkpoint(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(picked.withColumn("doc_id", F.col("doc_id").cast("long"))), "doc_id"))
+    sample = kit.checkpoint(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(picked.withColumn("doc_id", F.col("doc_id").cast("long"))), "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text")))
     held = F.pmod(F.xxhash64(F.lit("held"), "doc_id"), F.lit(3)) == 0
     table = log_ratio(counts(sample.where(~held & (F.col("quality") == 1)), buckets), counts(docs, buckets))
     told = score(sample.where(held).select("doc_id", "text", "quality"), table).select("quality", "log_weight").collect()

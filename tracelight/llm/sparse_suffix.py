@@ -12,7 +12,7 @@ before the suffix hold the same passage of LENGTH words. Doing so for each t fro
 the left and to the right as far as it goes; longer passages hold further minimisers, whose matches overlap, so that the
 union is the maximal span. All repeated passages of LENGTH words or more are found, and nothing shorter.
 
-The first and the last key of a partition can go on in the next one. Their passages are compared across the seams by hash:
+The first and the last key of a partition can go on in others. Their passages are compared across the seams by hash:
 each that a partition holds is told once, and the documents of those that it has found in one document only ask. A key of a
 third of all documents is thus many partitions; each holds its own part, nothing more.
 
@@ -222,7 +222,8 @@ def repeated_passages(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, w
     texts = ids.withColumnRenamed("doc_id", "node").join(live.hint("shuffle_hash"), "node").select("node", "text", "live")
     order = ["key", "after", "before", "node", "place"]
     array = texts.mapInArrow(_contexts(length, gram, window), "key long, after binary, before binary, node long, place int")
-    array = array.repartitionByRange(*order).sortWithinPartitions(*order)
+    # A key that is more than a partition is dealt by its next words and its documents; the bounds drawn for it are short.
+    array = array.repartitionByRange("key", F.substring("after", 1, 16), "node").sortWithinPartitions(*order)
     found = kit.checkpoint(array.mapInArrow(_neighbours(length, window), "kind byte, node long, start int, end int, passage long"))
     seams = found.where("kind > 0")
     several = seams.groupBy("passage").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("n")).where("low <> high").select("passage", "n")
