@@ -20,7 +20,27 @@ def test_labels_agree(spark):
     assert not weights.two_means(np.ones((5, 3)), np.arange(5)).any()
 
 
-@pytest.mark.parametrize("form", [weights.cluster_all, lambda *a, **k: weights.cluster_all(*a, only_busy=True, **k), weights.individual])
-def test_forms_agree(edges, form):  # noqa: F811
-    a, b = ({r.edge_id: r.weight for r in form(edges, 430, 3.0, ["F:0"], kernel_edges=k).select("edge_id", F.col("weight")).collect()} for k in (10**6, 0))
-    assert a.keys() == b.keys() and all(abs(a[i] - b[i]) < 1e-9 for i in a)
+def test_score_of_all_edges(edges):
+    """nonoutlier: edges into nodes with one in-edge are not clustered, but projected and rescaled like the others."""
+    out = weights.cluster_all(edges, 430, 3.0, ["F:0"], only_busy=True)
+    x = weights.normalised(weights.raw_features(edges, 430, 3.0, ["F:0"]))
+    x = x.withColumn("w_struct", F.when(F.col("dst") == "F:0", 1.0).otherwise(F.col("w_struct"))).toPandas()
+    busy = x["dst"].map(x["dst"].value_counts()) > 1
+    c = x.loc[busy, list(weights.FEATURES)].to_numpy()
+    label = weights.two_means(c, x.loc[busy, "edge_id"].to_numpy())
+    parts = [c[label == k] for k in range(2)]
+    mean = tuple(p.mean(axis=0) for p in parts)
+    within = sum((p - m).T @ (p - m) for p, m in zip(parts, mean))
+    seeded = tuple(bool((x.loc[busy, "src"].to_numpy()[label == k] == "F:0").any()) for k in range(2))
+    score = weights.rescale(x[list(weights.FEATURES)].to_numpy() @ weights.projection((len(parts[0]), len(parts[1])), mean, within, seeded))
+    x["want"] = score / x.assign(s=score).groupby("src")["s"].transform("sum") * 0.99
+    got = {r.edge_id: r.weight for r in out.collect()}
+    assert (~busy).sum() >= 0 and all(abs(got[i] - w) < 1e-9 for i, w in zip(x["edge_id"], x["want"]))
+
+
+@pytest.mark.parametrize("mode", ["clusterall", "nonoutlier", "localtime"])
+def test_few_edges(edges, mode):  # noqa: F811
+    """One edge, or edges that are all alike, have no two groups: the rescaled heuristic."""
+    one = edges.limit(1)
+    assert [r.weight for r in weights.weighted(one, mode, 430, 3.0, []).collect()] == [1.0 if mode == "localtime" else 0.99]
+    assert weights.weighted(edges.limit(0), mode, 430, 3.0, []).count() == 0

@@ -1,11 +1,13 @@
-"""Properties of the operators, and the distributed rounds against the in-process kernels."""
+"""The operators against brute force and by their properties."""
 
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tracelight.operators import ranking, reduction, slicing, weights
+from tracelight import graph
+from tracelight.operators import dependence, ranking, reduction, slicing, weights
 
 SCHEMA = "edge_id long, src string, dst string, etype string, event string, start_t long, end_t long, size long"
 
@@ -25,35 +27,94 @@ def rows(df, *c):
     return sorted(map(tuple, df.select(*c).collect()))
 
 
-def test_back_track_forms_agree(edges):
-    poi = "F:0"
-    a = slicing.back_track(edges, poi)
-    assert rows(a, "node", "thr") == rows(slicing.back_track(edges, poi, kernel_edges=0), "node", "thr")
+def brute_back_track(items, poi):
+    thr = {poi: max((e["end_t"] for e in items if e["dst"] == poi), default=0)}
+    while True:
+        new = dict(thr)
+        for e in items:
+            if e["dst"] in thr and e["start_t"] <= thr[e["dst"]]:
+                new[e["src"]] = max(new.get(e["src"], slicing.LOW), min(e["end_t"], thr[e["dst"]]))
+        if new == thr:
+            return thr
+        thr = new
+
+
+def test_back_track_by_brute_force(edges):
+    poi, items = "F:0", [r.asDict() for r in edges.collect()]
+    a, thr = slicing.back_track(edges, poi), brute_back_track(items, poi)
+    assert rows(a, "node", "thr") == sorted(thr.items())
     kept = {r[0] for r in rows(slicing.slice_edges(edges, a), "edge_id")}
+    assert kept == {e["edge_id"] for e in items if e["dst"] in thr and e["start_t"] <= thr[e["dst"]]}
     fifo = {r[0] for r in rows(slicing.back_track_fifo(edges, poi), "edge_id")}
     assert fifo and fifo <= kept
+    step, front, n = {poi: 1}, {poi}, 1
+    while front:
+        n += 1
+        front = {e["src"] for e in items if e["edge_id"] in kept and e["dst"] in front} - step.keys()
+        step |= dict.fromkeys(front, n)
+    assert {r.node: r.step for r in slicing.back_track_steps(edges, poi).collect()} == step
 
 
-def test_back_track_of_a_missing_or_entry_node(edges):
-    assert rows(slicing.back_track(edges, "F:none"), "node", "thr") == [("F:none", 0)]
+def test_scan_by_brute_force(edges):
+    for poi in ("F:0", "P:1", "N:5"):
+        items = sorted((r.asDict() for r in edges.collect()), key=lambda e: (-e["start_t"], e["edge_id"]))
+        thr, kept = {poi: max((e["end_t"] for e in items if e["dst"] == poi), default=0)}, []
+        for e in items:
+            if e["dst"] in thr and e["start_t"] < thr[e["dst"]]:
+                kept.append((e["edge_id"],))
+                thr.setdefault(e["src"], min(e["end_t"], thr[e["dst"]]))
+        assert rows(slicing.back_track_scan(edges, poi), "edge_id") == sorted(kept)
 
 
-def test_forward_forms_agree(edges, spark):
-    roots = spark.createDataFrame([("N:2",), ("P:1",)], "node string")
-    a, b = (rows(slicing.forward(edges, roots, 300, kernel_edges=k), "root", "node", "arr") for k in (10**6, 0))
-    assert a == b and len(a) > 2
+def test_back_track_of_a_missing_or_entry_node(edges):
+    assert rows(slicing.back_track(edges, "F:none"), "node", "thr") == [("F:none", 0)]
 
 
-def test_components_agree(edges):
-    some = edges.where("edge_id % 9 = 0")
-    assert rows(slicing.weak_components(some), "node", "component") == rows(slicing.weak_components(some, kernel_edges=0), "node", "component")
+def test_rounds_are_bounded(edges):
+    assert rows(slicing.back_track(edges, "F:0", max_rounds=0), "node") == [("F:0",)]
+    one = {r[0] for r in rows(slicing.back_track(edges, "F:0", max_rounds=1), "node")}
+    assert one == {"F:0"} | {r.src for r in edges.where("dst = 'F:0'").collect()}
+
+
+@pytest.mark.parametrize("bound", [10**6, 0])
+def test_forward_by_brute_force(edges, spark, bound):
+    names = ["N:2", "P:1", "F:none"]
+    roots = spark.createDataFrame([(n,) for n in names], "node string")
+    items, want = [r.asDict() for r in edges.collect()], []
+    for n in names:
+        arr = {n: slicing.LOW}
+        while True:
+            new = dict(arr)
+            for e in items:
+                if e["src"] in arr and arr[e["src"]] <= e["start_t"] < 300:
+                    new[e["dst"]] = min(new.get(e["dst"], e["start_t"]), e["start_t"])
+            if new == arr:
+                break
+            arr = new
+        want += [(n, *x) for x in arr.items()]
+    assert rows(slicing.forward_many(edges, roots, 300, broadcast_edges=bound), "root", "node", "arr") == sorted(want)
+
+
+def test_components_by_brute_force(edges, spark):
+    chain = spark.createDataFrame([(1000 + i, f"P:{1000 + i}", f"P:{1001 + i}", "", "", 0, 0, 0) for i in range(60)] + [(2000, "F:9", "F:9", "", "", 0, 0, 0)], SCHEMA)
+    some = edges.where("edge_id % 9 = 0").unionByName(chain)
+    label = {n: n for r in some.collect() for n in (r.src, r.dst)}
+    changed = True
+    while changed:
+        changed = False
+        for r in some.collect():
+            low = min(label[r.src], label[r.dst])
+            changed |= (label[r.src], label[r.dst]) != (low, low)
+            label[r.src] = label[r.dst] = low
+    assert rows(slicing.weak_components(some), "node", "component") == sorted(label.items())
+    assert rows(slicing.component_of(some, "P:1005"), "node") == sorted((n,) for n, c in label.items() if c == label["P:1005"])
 
 
 @pytest.mark.parametrize("mode", ["windowed_sequence", "full_merge", "standard_cpr", "no_merge"])
 def test_reduction_keeps_sizes(edges, mode):
     out = reduction.reduced(edges, mode, 20)
     assert out.agg(F.sum("size")).first() == edges.agg(F.sum("size")).first()
-    assert rows(ranking.nodes_of(out), "node") == rows(ranking.nodes_of(edges), "node")
+    assert rows(graph.nodes_of(out), "node") == rows(graph.nodes_of(edges), "node")
 
 
 def brute_cpr(items):
@@ -83,11 +144,82 @@ def test_standard_cpr_by_brute_force(edges):
     assert rows(reduction.standard_cpr(edges), "edge_id", "start_t", "end_t", "size") == brute_cpr([r.asDict() for r in edges.collect()])
 
 
+def naive_dependence(items, sources=False):
+    """The definition read off: for each edge a look back over all kept edges before it."""
+    items = sorted((dict(e) for e in items), key=lambda e: (e["start_t"], e["end_t"], e["edge_id"]))
+    starts = {e["src"] for e in items} - {e["dst"] for e in items}
+    kept = []
+
+    def since(u):
+        return max((i for i, e in kept if e["dst"] == u), default=-1)
+
+    def knows(u):
+        told = {u: {u} if u in starts else set() for u in {x for e in items for x in (e["src"], e["dst"])}}
+        for _, e in kept:
+            told[e["dst"]] |= told[e["src"]]
+        return told[u]
+
+    for i, e in enumerate(items):
+        u, v = e["src"], e["dst"]
+        if e["etype"] != "PtoP" and u != v:
+            if any(k["src"] == v and k["dst"] == u and j > since(v) for j, k in kept):
+                continue
+            again = [k for j, k in kept if k["src"] == u and k["dst"] == v and j > since(u)]
+            if again:
+                for k in again[:0] + [k for k in again if k["etype"] == e["etype"]][:1]:
+                    k["end_t"], k["size"] = e["end_t"], k["size"] + e["size"]
+                continue
+            if sources and knows(u) <= knows(v):
+                continue
+        kept.append((i, e))
+    return sorted((k["edge_id"], k["end_t"], k["size"]) for _, k in kept)
+
+
+@pytest.fixture(scope="module")
+def busy(spark):
+    """Few nodes, many repeated edges: thousands of merges."""
+    r, rows_ = random.Random(8), []
+    for i in range(700):
+        a, b = r.choice([("P:1", "F:1"), ("F:1", "P:1"), ("P:2", "F:1"), ("F:1", "P:3"), ("P:3", "F:4"), ("N:1", "P:1"), ("F:4", "P:2"), ("P:1", "P:2"), ("P:2", "P:2"), ("F:4", "F:1"), ("N:5", "P:3")])
+        s = r.randrange(900)
+        rows_.append((i, a, b, f"{a[0]}to{b[0]}" if a[0] + b[0] != "FF" else "ObjectFlow", "e", s, s + r.randrange(20), r.randrange(9)))
+    return spark.createDataFrame(rows_, SCHEMA).cache()
+
+
+def test_full_dependence_by_definition(edges, busy, monkeypatch):
+    for g in (edges, busy):
+        items = [r.asDict() for r in g.collect()]
+        want = naive_dependence(items)
+        assert len(want) < len(items)
+        assert rows(reduction.reduced(g, "fd"), "edge_id", "end_t", "size") == want
+        one = dependence.in_order(g.toPandas(), False, -1, -1)
+        assert sorted(map(tuple, one[["edge_id", "end_t", "size"]].to_numpy().tolist())) == want
+
+
+def test_source_dependence_by_definition(edges, busy):
+    for g in (edges, busy):
+        items = [r.asDict() for r in g.collect()]
+        want = naive_dependence(items, True)
+        assert len(want) <= len(naive_dependence(items))
+        assert rows(reduction.reduced(g, "sd"), "edge_id", "end_t", "size") == want
+        assert rows(reduction.reduced(g, "sd", sd_limit=10**6), "edge_id") == [(i,) for i, *_ in want]
+
+
+def test_bounded_memory_keeps_more(busy):
+    free, one = (reduction.reduced(busy, "fd", fd_window=n).count() for n in (10**6, 1))
+    assert free == reduction.reduced(busy, "fd").count() and one >= free
+
+
 def test_dependence_reduction(spark):
     e = spark.createDataFrame([(1, "P:a", "F:x", "PtoF", "write", 1, 2, 5), (2, "P:a", "F:x", "PtoF", "write", 3, 9, 7), (3, "F:x", "P:a", "FtoP", "read", 4, 5, 1), (4, "F:x", "P:b", "FtoP", "read", 6, 7, 1)], SCHEMA)
     assert rows(reduction.reduced(e, "fd"), "edge_id", "end_t", "size") == [(1, 9, 12), (4, 7, 1)]
 
 
+def test_standard_cpr_with_many_merges(busy):
+    got = rows(reduction.standard_cpr(busy), "edge_id", "start_t", "end_t", "size")
+    assert got == brute_cpr([r.asDict() for r in busy.collect()]) and len(got) < 700
+
+
 @pytest.mark.parametrize("mode", ["nonml", "nonmlrandom", "clusterall", "nonoutlier", "clusterlocal", "localtime"])
 def test_weights_share_a_source(edges, mode):
     out = weights.weighted(edges, mode, 430, 3.0, ["F:0"])
@@ -98,24 +230,115 @@ def test_weights_share_a_source(edges, mode):
 def test_propagation_forms_agree(edges):
     w = weights.nonml(edges, 430, 3.0, ["F:0"]).cache()
     start = ranking.initial_reputation(w, ["F:0"], ["N:2"])
-    a, b = (ranking.propagate(w, start, ["F:0", "N:2"], max_rounds=6, kernel_edges=k).orderBy("node").collect() for k in (10**6, 0))
-    assert [r[0] for r in a] == [r[0] for r in b]
-    assert all(abs(x[1] - y[1]) < 1e-9 and -1e-9 <= x[1] <= 1 + 1e-9 for x, y in zip(a, b))
+    for rounds in (6, 3000):
+        a, b = (ranking.propagate(w, start, ["F:0", "N:2"], tol=1e-3, max_rounds=rounds, in_process=k).orderBy("node").collect() for k in (10**6, 0))
+        assert [r[0] for r in a] == [r[0] for r in b]
+        assert all(abs(x[1] - y[1]) < 1e-9 and -1e-9 <= x[1] <= 1 + 1e-9 for x, y in zip(a, b))
 
 
 def test_merged_is_connected(spark):
     from tracelight.plans import attack
 
-    e = spark.createDataFrame([(1, "N:a", "P:b", 1, 2), (2, "P:b", "F:p", 3, 9), (3, "N:c", "F:d", 5, 6), (4, "F:d", "P:b", 1, 7)], "edge_id long, src string, dst string, start_t long, end_t long")
+    e = spark.createDataFrame([(1, "N:a", "P:b", 1, 2), (2, "P:b", "F:p", 3, 8), (3, "N:c", "F:d", 5, 6), (4, "F:d", "P:b", 1, 7)], "edge_id long, src string, dst string, start_t long, end_t long")
     rep = spark.createDataFrame([("F:p", 1.0), ("P:b", 0.9)], "node string, reputation double")
-    case = attack.Result(e, e, e, rep, None, spark.createDataFrame([("N:a",), ("N:c",)], "node string"), 9)
+    top = spark.createDataFrame([("N:a",), ("N:c",)], "node string")
+    case = attack.Result("F:p", e, e, e, rep, top, top, top, 9)
     assert rows(case.merged(), "edge_id") == [(1,), (2,), (3,), (4,)]
 
 
-def test_connectivity(edges, spark):
+def reach(pairs, a):
+    seen, front = {a}, {a}
+    while front:
+        front = {d for s, d in pairs if s in front} - seen
+        seen |= front
+    return seen
+
+
+def shortest(pairs, a, goals):
+    """Number of links from a to the nearest goal, None without a way."""
+    seen, front, n = {a}, {a}, 0
+    while front:
+        if front & goals:
+            return n
+        front, n = {d for s, d in pairs if s in front} - seen, n + 1
+        seen |= front
+    return None
+
+
+def test_connected_to_poi(edges, spark):
+    every = [(r.src, r.dst) for r in edges.collect()]
+    kept = edges.where("edge_id % 30 = 7")
+    for entries in (["N:2", "P:4", "N:none"], []):
+        out = slicing.connected_to_poi(edges, kept, entries, "F:0")
+        got = {(r.src, r.dst) for r in out.collect()}
+        nodes = {n for p in got for n in p}
+        both = got | {(d, s) for s, d in got}
+        assert reach(both, min(nodes)) == nodes  # one weak component
+        assert {r.edge_id for r in kept.collect()} <= {r.edge_id for r in out.collect()}  # all of kept can be bridged here
+        for e in entries:
+            if "F:0" in reach(every, e):
+                assert "F:0" in reach(got, e)
+        assert out.count() == out.dropDuplicates(["edge_id"]).count()
+
+
+def test_bridges_and_pruning(spark):
+    whole = spark.createDataFrame([(1, "P:a", "F:p"), (2, "F:x", "P:a"), (3, "F:x", "P:y"), (4, "P:y", "F:z"), (5, "N:1", "N:2"), (6, "P:y", "F:z")], "edge_id long, src string, dst string")
+    kept = whole.where("edge_id in (1, 4, 5)")
+    out = slicing.connected_to_poi(whole, kept, [], "F:p")
+    assert rows(out, "edge_id") == [(1,), (2,), (3,), (4,)]  # F:z is bridged over F:x against and along edges, N:1 goes
+    assert rows(slicing.connected_to_poi(whole, kept, ["P:a"], "F:p"), "edge_id") == [(1,), (2,), (3,), (4,)]
+    largest = slicing.connected_to_poi(whole, whole.where("edge_id in (3, 4, 5)"), [], "F:none")
+    assert rows(largest, "edge_id") == [(3,), (4,)]
+
+
+def test_repaired(edges, spark):
     kept = edges.where("edge_id % 10 = 0")
-    out = slicing.connected_to_poi(edges, kept, ["N:2"], "F:0")
-    nodes = {r[0] for r in rows(ranking.nodes_of(out), "node")}
-    assert "F:0" in nodes and "N:2" in nodes
     rep = spark.createDataFrame([("F:0", 1.0)], "node string, reputation double")
-    assert slicing.repaired(kept, ranking.nodes_of(edges), edges, rep).count() >= kept.count()
+    out = slicing.repaired(kept, graph.nodes_of(edges), edges, rep)
+    every, old, new = ({(r.src, r.dst) for r in df.collect()} for df in (edges, kept, out))
+    label = {r.node: r.component for r in slicing.weak_components(kept).collect()}
+    main = {n for n, c in label.items() if c == label["F:0"]}
+    for n in {x for p in every for x in p} - main:
+        n_links = shortest(every, n, main)
+        assert n_links == shortest(new, n, main)
+    assert old <= new and rows(kept, "edge_id") == rows(out.where("edge_id % 10 = 0").join(kept.select("edge_id"), "edge_id", "left_semi"), "edge_id")
+
+
+def test_resolved_names(edges):
+    assert graph.resolved(edges, ["F:0", "0", "nothing", ""]) == ["F:0"]
+    assert graph.resolved(edges, ["1", "N:2"]) == ["P:1", "N:2"]
+
+
+def test_larger_graph_by_plain_code(spark):
+    """110,000 edges through the distributed rounds, held against plain Python."""
+    import numpy as np
+
+    r = np.random.default_rng(3)
+    n = 110_000
+    a, b, s = r.integers(0, 20_000, n), r.integers(0, 20_000, n), r.integers(0, 10**6, n)
+    pdf = pd.DataFrame({"src": [f"P:{x}" for x in a], "dst": [f"P:{x}" for x in b], "start_t": s, "end_t": s + r.integers(0, 1000, n)})
+    g, poi = spark.createDataFrame(pdf), "P:7"
+    thr, into = {poi: int(pdf.loc[pdf["dst"] == poi, "end_t"].max())}, {}
+    for e in pdf.itertuples():
+        into.setdefault(e.dst, []).append(e)
+    todo = [poi]
+    while todo:
+        v = todo.pop()
+        for e in into.get(v, []):
+            if e.start_t <= thr[v] and min(e.end_t, thr[v]) > thr.get(e.src, slicing.LOW):
+                thr[e.src] = min(e.end_t, thr[v])
+                todo.append(e.src)
+    assert rows(slicing.back_track(g, poi), "node", "thr") == sorted(thr.items())
+    pairs = set(zip(pdf["src"], pdf["dst"]))
+    both = {}
+    for x, y in pairs:
+        both.setdefault(x, []).append(y)
+        both.setdefault(y, []).append(x)
+    seen, todo = {poi}, [poi]
+    while todo:
+        for x in both.get(todo.pop(), []):
+            if x not in seen:
+                seen.add(x)
+                todo.append(x)
+    found = slicing.weak_components(g)
+    assert {x.node for x in found.where(F.col("component") == min(seen)).collect()} == seen

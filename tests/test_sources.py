@@ -167,7 +167,7 @@ def test_write_reaches_poi(spark, tmp_path, suffix):
     write_avro(tmp_path / f"case1.{suffix}", [subject(1, 31337, "python3"), file(2, LOGF), event("EVENT_WRITE", 1, 2, LOGF, size=128)])
     e = audit_graph.edges(load(spark, tmp_path), poi=[LOGF])
     r = e.first()
-    assert shape(e) == (2, 1) and (r.src, r.etype, r.event, r.size, r.start_t) == ("31337@00000001python3", "PtoF", "WRITE", 128, T0)
+    assert shape(e) == (2, 1) and (r.src, r.etype, r.event, r.size, r.start_t) == ("P:31337@00000001python3", "PtoF", "WRITE", 128, T0)
 
 
 def test_several_points_of_interest(spark, tmp_path):
@@ -183,7 +183,7 @@ def test_execute_parents_across_files(spark, tmp_path):
     write_avro(tmp_path / "case10.avro", [event("EVENT_EXECUTE", 2, 3, "/tmp/payload.py")])
     assert [os.path.basename(p) for p in manifest.input_files(str(tmp_path), "case*")] == ["case1.avro", "case2.avro", "case10.avro"]
     e = audit_graph.edges(load(spark, tmp_path), poi=["200@00000002python3"])
-    assert shape(e) == (3, 2) and "100@00000001bash" in {r.src for r in e.collect()}
+    assert shape(e) == (3, 2) and "P:100@00000001bash" in {r.src for r in e.collect()}
 
 
 def test_path_stands_for_a_missing_object(spark, tmp_path):

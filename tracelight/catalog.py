@@ -8,12 +8,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracelight.functions import audit, syscall
+from tracelight.graph import SECOND, kind, nodes_of
 from tracelight.operators import ranking, reduction, slicing, statistics, weights
 from tracelight.plans import attack, testgraph
 from tracelight.plans.fixpoint import checkpoint
 from tracelight.sources import audit_graph, snapshot, syslog
 
-DAY = 86_400_000_000
+DAY = 86_400 * SECOND
 G = testgraph.SQL
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -52,7 +53,7 @@ def _(spark, d):
 
 @query("ing11_graph_nodes", "SELECT substr(node, 1, 1) AS kind, node FROM (SELECT src AS node FROM edges UNION SELECT dst FROM edges)")
 def _(spark, d):
-    return ranking.nodes_of(graph(spark, d)).select(F.substring("node", 1, 1).alias("kind"), "node")
+    return nodes_of(graph(spark, d)).select(kind("node").alias("kind"), "node")
 
 
 @query("a1_detection_size", ", m AS (SELECT max(size) FILTER (dst = poi) AS i, max(size) FILTER (src = poi) AS o FROM edges, poi) SELECT CASE WHEN i > 0 THEN i ELSE coalesce(o, 0) END AS detection_size FROM m")
@@ -101,9 +102,9 @@ def _(spark, d):
     return statistics.compression(e, reduction.full_merge(e))
 
 
-@query("a13_time_index", "SELECT event_type AS file, epoch_us(min(ts)) AS least, epoch_us(max(ts)) AS greatest, count(*) AS n_events FROM events GROUP BY 1", graph=False)
+@query("a13_time_index", "SELECT event_type AS file, 1000 * epoch_us(min(ts)) AS least, 1000 * epoch_us(max(ts)) AS greatest, count(*) AS n_events FROM events GROUP BY 1", graph=False)
 def _(spark, d):
-    e = spark.read.parquet(f"{d}/events.parquet").select("event_type", F.unix_micros(F.col("ts").cast("timestamp")).alias("t"))
+    e = spark.read.parquet(f"{d}/events.parquet").select("event_type", testgraph.nanos("ts").alias("t"))
     return statistics.time_index(e, "event_type", "t")
 
 
@@ -125,11 +126,11 @@ def _(spark, d):
 
 
 def _event_edges(spark, d):
-    e = spark.read.parquet(f"{d}/events.parquet").select("event_id", "user_id", "event_type", F.unix_micros(F.col("ts").cast("timestamp")).alias("t"))
+    e = spark.read.parquet(f"{d}/events.parquet").select("event_id", "user_id", "event_type", testgraph.nanos("ts").alias("t"))
     return e.select(F.col("event_id").alias("edge_id"), F.concat(F.lit("P:user#"), "user_id").alias("src"), F.concat(F.lit("F:"), "event_type").alias("dst"), F.lit("PtoF").alias("etype"), F.col("event_type").alias("event"), F.col("t").alias("start_t"), F.col("t").alias("end_t"), F.lit(1).cast("long").alias("size"))
 
 
-EV = "ev AS MATERIALIZED (SELECT event_id AS edge_id, 'P:user#' || user_id AS src, 'F:' || event_type AS dst, event_type AS event, epoch_us(ts) AS start_t, epoch_us(ts) AS end_t, 1 AS size FROM events)"
+EV = "ev AS MATERIALIZED (SELECT event_id AS edge_id, 'P:user#' || user_id AS src, 'F:' || event_type AS dst, event_type AS event, 'PtoF' AS etype, 1000 * epoch_us(ts) AS start_t, 1000 * epoch_us(ts) AS end_t, 1 AS size FROM events)"
 
 
 @query("c1_event_runs", f"""WITH {EV}, b AS (SELECT *, CASE WHEN start_t - lag(end_t) OVER (PARTITION BY event, src, dst ORDER BY start_t, end_t, edge_id) > {DAY // 2} THEN 1 ELSE 0 END AS brk FROM ev),
@@ -189,6 +190,12 @@ def _(spark, d):
     return slicing.slice_edges(e, slicing.back_track(e, poi)).select("src", "dst", "event", "start_t", "end_t", "size")
 
 
+@query("t2_steps", BACK + """, tr AS MATERIALIZED (SELECT DISTINCT src, dst FROM sl), st(node, step) AS (SELECT poi, 1 FROM poi UNION SELECT src, step + 1 FROM st JOIN tr ON dst = node WHERE step < 60)
+SELECT thr.node, thr, min(step) AS step FROM st JOIN thr ON thr.node = st.node GROUP BY thr.node, thr""", recursive=True)
+def _(spark, d):
+    return slicing.back_track_steps(*_poi(spark, d))
+
+
 @query("t2_back_track_fifo")
 def _(spark, d):
     e = checkpoint(graph(spark, d, ids=True))
@@ -209,6 +216,10 @@ def _(spark, d):
     return slicing.component_of(*_poi(spark, d))
 
 
+def _latest(e: DataFrame) -> int:
+    return statistics.poi_time(e).first()[0]
+
+
 def _roots(e: DataFrame, n: int) -> DataFrame:
     return e.where(F.col("src").startswith("N:")).select(F.col("src").alias("node")).distinct().orderBy("node").limit(n)
 
@@ -241,7 +252,7 @@ def _(spark, d):
     return _forward(spark, d, 3)
 
 
-@query("t8_merged_forward", BACK + f""", roots AS (SELECT DISTINCT src AS node FROM sl WHERE src LIKE 'N:%' ORDER BY 1 LIMIT 3), lim AS (SELECT max(end_t) AS t FROM sl, poi WHERE dst = poi),
+@query("t8_merged_forward", BACK + f""", roots AS (SELECT DISTINCT src AS node FROM sl WHERE src LIKE 'N:%' ORDER BY 1 LIMIT 3), lim AS (SELECT max(end_t) AS t FROM sl),
 fw(node, root, arr) AS (SELECT node, node, {slicing.LOW} FROM roots UNION SELECT e.dst, f.root, e.start_t FROM fw f JOIN sl e ON e.src = f.node, lim WHERE e.start_t >= f.arr AND e.start_t < lim.t),
 best AS (SELECT root, node, min(arr) AS arr FROM fw GROUP BY root, node),
 pairs AS (SELECT DISTINCT e.src, e.dst FROM best b JOIN sl e ON e.src = b.node, lim WHERE e.start_t >= b.arr AND e.start_t < lim.t)
@@ -249,7 +260,7 @@ SELECT src, dst, event, start_t, end_t, size FROM sl SEMI JOIN pairs USING (src,
 def _(spark, d):
     e, poi = _poi(spark, d)
     s = checkpoint(slicing.slice_edges(e, slicing.back_track(e, poi)))
-    return slicing.merged_forward(s, _roots(s, 3), slicing.latest_in(s, poi)).select("src", "dst", "event", "start_t", "end_t", "size")
+    return slicing.merged_forward(s, _roots(s, 3), _latest(s)).select("src", "dst", "event", "start_t", "end_t", "size")
 
 
 # SQL takes 1 or 3 roots: the queries above are held against it, these take all.
@@ -261,7 +272,7 @@ def _all_roots(e: DataFrame) -> DataFrame:
 
 def _forward_all(spark, d, rounds=None):
     e, poi = _poi(spark, d)
-    return slicing.forward(e, _all_roots(e), slicing.latest_in(e, poi), rounds)
+    return slicing.forward_many(e, _all_roots(e), slicing.latest_in(e, poi), rounds)
 
 
 @query("t6_forward_all_steps")
@@ -280,14 +291,14 @@ def _(spark, d):
     e, poi = _poi(spark, d)
     s = checkpoint(slicing.slice_edges(e, slicing.back_track(e, poi)))
     starts = ranking.entry_candidates(s, poi)
-    return slicing.merged_forward(s, starts, slicing.latest_in(s, poi)).select("src", "dst", "event", "start_t", "end_t", "size")
+    return slicing.merged_forward(s, starts, _latest(s)).select("src", "dst", "event", "start_t", "end_t", "size")
 
 
 # --- weights ---------------------------------------------------------------------------------
 
 FEATURES = """, c AS (SELECT max(end_t) AS pt, count(*) AS n FROM edges), det AS (SELECT CASE WHEN i > 0 THEN i ELSE coalesce(o, 0) END AS det FROM (SELECT max(size) FILTER (dst = poi) AS i, max(size) FILTER (src = poi) AS o FROM edges, poi)),
 deg AS (SELECT node, sum(i) AS n_in, sum(o) AS n_out FROM (SELECT src AS node, 0 AS i, 1 AS o FROM edges UNION ALL SELECT dst, 1, 0 FROM edges) GROUP BY node),
-f AS MATERIALIZED (SELECT e.*, ln(1 + CASE WHEN end_t = pt THEN 1e10 ELSE 1 / (abs(end_t - pt) / 1e6) END) AS w_time, 1 / (abs(size - det) + 1e-4) AS w_amount,
+f AS MATERIALIZED (SELECT e.*, ln(1 + CASE WHEN end_t = pt THEN 1e10 ELSE 1 / (abs(end_t - pt) / 1e9) END) AS w_time, 1 / (abs(size - det) + 1e-4) AS w_amount,
  CASE WHEN dst = poi THEN CAST(n AS DOUBLE) ELSE n_out / n_in END AS w_struct FROM edges e JOIN deg ON node = dst, c, det, poi)"""
 NONML = """, g AS (SELECT *, w_time / sum(w_time) OVER s AS t, w_amount / sum(w_amount) OVER s AS a,
  CASE WHEN src = poi THEN 1.0 WHEN sum(w_struct) OVER s > 1e-8 THEN w_struct / sum(w_struct) OVER s ELSE 1.0 END AS st, sum(size) OVER s < 1e-8 AS nodata FROM f, poi WINDOW s AS (PARTITION BY src)),
@@ -426,7 +437,7 @@ def _(spark, d):
 
 @query("p7_random_starts")
 def _(spark, d):
-    return ranking.random_starts(ranking.nodes_of(graph(spark, d)), 3)
+    return ranking.random_starts(nodes_of(graph(spark, d)), 3)
 
 
 @query("p8_edges_of_poi", FEATURES + NONML + " SELECT 'in' AS side, src, dst, start_t, end_t, round(weight, 6) AS weight FROM w WHERE dst = poi UNION ALL SELECT 'out', src, dst, start_t, end_t, round(weight, 6) FROM w WHERE src = poi")
@@ -491,13 +502,13 @@ def _(spark, d):
 @query("investigation_top_entries")
 def flagship(spark, d):
     e, poi = _poi(spark, d)
-    return attack.investigate(e, attack.Case(poi)).top
+    return attack.investigate(e, attack.Case(poi), weight_mode="nonml").top
 
 
 @query("investigation_merged")
 def _(spark, d):
     e, poi = _poi(spark, d)
-    return attack.investigate(e, attack.Case(poi)).merged().select("src", "dst", "event", "start_t", "end_t", "size", "weight")
+    return attack.investigate(e, attack.Case(poi), weight_mode="nonml").merged().select("src", "dst", "event", "start_t", "end_t", "size", "weight")
 
 
 @query("out1_dot")

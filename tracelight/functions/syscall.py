@@ -23,12 +23,16 @@ def descriptor(args: Column) -> Column:
     return F.regexp_extract(args, r"^(?:(?!fd=)[\s\S])*fd=[^<\s]*(<[0-9a-z]+>[^\s]*)", 1)
 
 
-def descriptor_file(args: Column) -> Column:
-    d = descriptor(args)
-    path = F.regexp_extract(d, r"^<f>(.+)$", 1)
+def file_of(token: Column) -> Column:
+    """The path of a file descriptor, else null."""
+    path = F.regexp_extract(token, r"^<f>(.+)$", 1)
     return F.when(path != "", unwrapped(path))
 
 
+def descriptor_file(args: Column) -> Column:
+    return file_of(descriptor(args))
+
+
 def filename(args: Column) -> Column:
     path = F.regexp_extract(args, r"^(?:(?!filename=)[\s\S])*filename=([^\s]+)", 1)
     return F.when(path != "", unwrapped(path))
@@ -51,6 +55,14 @@ def socket_signature(s: Column) -> Column:
     return F.concat(s["src_ip"], F.lit(":"), s["src_port"], F.lit("->"), s["dst_ip"], F.lit(":"), s["dst_port"])
 
 
+def socket_of(token: Column) -> Column:
+    """The signature of a socket descriptor, as socket_signature(socket()) has it, in one pass; else null."""
+    four = F.regexp_extract(token, r"^<[46][tu]>(.+:[^:]*->.+?:[^:]*?)\)?$", 1)
+    raw = F.regexp_extract(token, r"^<4r>(.+->.+?)\)?$", 1)
+    named = F.regexp_replace(four, r":domamin$", ":53")
+    return F.when(four != "", named).when(raw != "", F.concat(F.regexp_replace(raw, "->", ":UNKNOWN->"), F.lit(":UNKNOWN")))
+
+
 def epoch_nanos(stamp: Column) -> Column:
     """Seconds and a decimal fraction as nanoseconds; the fraction is padded or cut to nine digits."""
     seconds = F.substring_index(stamp, ".", 1).try_cast("long")
@@ -65,9 +77,10 @@ def nanos_text(nanos: Column) -> Column:
 
 
 def rename_paths(args: Column) -> Column:
-    old = F.regexp_extract(args, r"oldpath=(.*?) newpath", 1)
+    """old and new: from `oldpath=` to the last ` newpath`, from `newpath=` to the last blank; `a(b)` stands for b."""
+    old = F.regexp_extract(args, r"oldpath=(.*) newpath", 1)
     new = F.regexp_extract(args, r"newpath=(.*) ", 1)
-    inside = lambda c: F.when(c.endswith(")"), F.regexp_extract(c, r"\(([^()]*)\)$", 1)).otherwise(c)
+    inside = lambda c: F.when(c.endswith(")"), F.regexp_extract(c, r"^(?:[^(]*\()?(.*)\)$", 1)).otherwise(c)
     return F.struct(inside(old).alias("old"), inside(new).alias("new"))
 
 

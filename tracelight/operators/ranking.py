@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
+from tracelight import graph
+from tracelight.graph import nodes_of
 from tracelight.operators.weights import degrees
-from tracelight.plans.fixpoint import KERNEL_EDGES, checkpoint, small
-
-
-def nodes_of(edges: DataFrame) -> DataFrame:
-    return edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
+from tracelight.plans.fixpoint import checkpoint
 
 
 def initial_reputation(edges: DataFrame, high: list[str], low: list[str], default: float = 0.0) -> DataFrame:
@@ -21,45 +21,63 @@ def initial_reputation(edges: DataFrame, high: list[str], low: list[str], defaul
     return d.select("node", F.when(F.col("node").isin(high), 1.0).when(F.col("node").isin(low) | (F.col("n_in") == 0), 0.0).otherwise(default).alias("reputation"))
 
 
-def propagate(edges: DataFrame, reputation: DataFrame, fixed: list[str], tol: float = 1e-5, max_rounds: int = 3000, kernel_edges: int = KERNEL_EDGES) -> DataFrame:
+#: Edges up to which propagate() runs in one process, unless told otherwise; rounds of it that are one job beyond.
+IN_PROCESS, TOGETHER = 1_000_000, 4
+
+
+def propagate(edges: DataFrame, reputation: DataFrame, fixed: list[str], tol: float = 1e-5, max_rounds: int = 3000, in_process: int = IN_PROCESS) -> DataFrame:
     """node, reputation after synchronous rounds rep(v) = sum of rep(target) * weight over out-edges; no damping.
 
-    Parallel edges add up first. Nodes without out-edges become 0 unless fixed.
+    Rounds go on until all reputations together move by less than tol: often a thousand of them, each of which is little
+    work. A graph of at most in_process pairs of nodes (counted first) is therefore iterated in one process, a larger one by
+    jobs of TOGETHER rounds, of which the first that moves by less than tol counts; results agree but for rounding. Parallel
+    edges add up first. Nodes without out-edges become 0 unless fixed.
     """
-    spark = edges.sparkSession
-    pairs = checkpoint(edges.groupBy("src", "dst").agg(F.sum("weight").alias("weight")))
-    if small(pairs, kernel_edges):
-        e, r = pairs.orderBy("src", "dst").toPandas(), reputation.orderBy("node").toPandas()
-        at = pd.Series(np.arange(len(r)), index=r["node"])
-        s, d, w = at[e["src"]].to_numpy(), at[e["dst"]].to_numpy(), e["weight"].fillna(0.0).to_numpy()
-        rep, held = r["reputation"].to_numpy(float), r["node"].isin(fixed).to_numpy()
-        for _ in range(max_rounds):
-            new = np.where(held, rep, np.bincount(s, rep[d] * w, len(rep)))
-            moved = np.abs(new - rep).sum()
-            rep = new
-            if moved < tol:
-                break
-        return spark.createDataFrame(pd.DataFrame({"node": r["node"].astype(str), "reputation": rep}), "node string, reputation double")
-    rep = checkpoint(reputation)
+    pairs = edges.where("weight <> 0").groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
+    pairs = checkpoint(pairs.where(~F.col("src").isin(list(fixed))).select("src", F.col("dst").alias("node"), "weight").repartition("node"))
+    if pairs.limit(in_process + 1).count() <= in_process:
+        return _propagated_here(pairs, reputation, fixed, tol, max_rounds)
+    rep = checkpoint(reputation.select("node", "reputation"))
+    held = checkpoint(rep.where(F.col("node").isin(list(fixed))))
+    live, done = rep.where("reputation <> 0"), 0
+    while done < max_rounds:
+        k, rounds = min(TOGETHER, max_rounds - done), [live]
+        for _ in range(k):
+            told = pairs.join(rounds[-1], "node").groupBy(F.col("src").alias("node")).agg(F.sum(F.col("weight") * F.col("reputation")).alias("reputation"))
+            rounds.append(told.unionByName(held))
+        tagged = [r.select("node", F.lit(i).alias("i"), "reputation") for i, r in enumerate(rounds)]
+        wide = reduce(DataFrame.unionAll, tagged).groupBy("node").agg(*[F.coalesce(F.sum(F.when(F.col("i") == i, F.col("reputation"))), F.lit(0.0)).alias(f"r{i}") for i in range(k + 1)])
+        moved = Observation()
+        wide = checkpoint(wide.observe(moved, *[F.sum(F.abs(F.col(f"r{i + 1}") - F.col(f"r{i}"))).alias(f"m{i + 1}") for i in range(k)]))
+        last = next((i for i in range(1, k + 1) if (moved.get[f"m{i}"] or 0.0) < tol), None)
+        live, done = wide.select("node", F.col(f"r{last or k}").alias("reputation")).where("reputation <> 0"), done + k
+        if last:
+            break
+    return rep.select("node").join(live, "node", "left").select("node", F.coalesce("reputation", F.lit(0.0)).alias("reputation"))
+
+
+def _propagated_here(pairs: DataFrame, reputation: DataFrame, fixed: list[str], tol: float, max_rounds: int) -> DataFrame:
+    e, r = pairs.orderBy("src", "node").toPandas(), reputation.orderBy("node").toPandas()
+    at = pd.Series(np.arange(len(r)), index=r["node"])
+    s, d, w = at[e["src"]].to_numpy(), at[e["node"]].to_numpy(), e["weight"].to_numpy()
+    rep, held = r["reputation"].to_numpy(float), r["node"].isin(fixed).to_numpy()
     for _ in range(max_rounds):
-        told = pairs.join(rep.withColumnRenamed("node", "dst"), "dst").groupBy("src").agg(F.sum(F.col("weight") * F.col("reputation")).alias("new"))
-        new = rep.join(told.withColumnRenamed("src", "node"), "node", "left").select("node", F.col("reputation").alias("old"), F.when(F.col("node").isin(fixed), F.col("reputation")).otherwise(F.coalesce("new", F.lit(0.0))).alias("reputation"))
-        new = checkpoint(new)
-        moved = new.agg(F.sum(F.abs(F.col("reputation") - F.col("old")))).first()[0] or 0.0
-        rep = new.select("node", "reputation")
+        new = np.where(held, rep, np.bincount(s, rep[d] * w, len(rep)))
+        moved = np.abs(new - rep).sum()
+        rep = new
         if moved < tol:
             break
-    return rep
+    return pairs.sparkSession.createDataFrame(pd.DataFrame({"node": r["node"].astype(str), "reputation": rep}), "node string, reputation double")
 
 
 def entry_candidates(edges: DataFrame, poi: str, libraries: list[str] = ()) -> DataFrame:
     """node, kind: all N; P that no N or P leads to; F that nothing leads to and that are no known libraries; never poi."""
-    nodes = nodes_of(edges).where(F.col("node") != poi).withColumn("kind", F.substring("node", 1, 1))
-    fed = edges.where(F.substring("src", 1, 1).isin("N", "P")).select(F.col("dst").alias("node")).distinct()
+    nodes = nodes_of(edges).where(F.col("node") != poi).withColumn("kind", graph.kind("node"))
+    fed = edges.where(graph.kind("src").isin("N", "P")).select(F.col("dst").alias("node")).distinct()
     entered = edges.select(F.col("dst").alias("node")).distinct()
     network = nodes.where("kind = 'N'")
     process = nodes.where("kind = 'P'").join(fed, "node", "left_anti")
-    file = nodes.where("kind = 'F'").where(~F.col("node").isin(list(libraries))).join(entered, "node", "left_anti")
+    file = nodes.where("kind = 'F'").where(~(F.col("node").isin(list(libraries)) | graph.signature("node").isin(list(libraries)))).join(entered, "node", "left_anti")
     return network.unionAll(process).unionAll(file)
 
 
@@ -83,7 +101,7 @@ def random_starts(nodes: DataFrame, n: int, seed: int = 1, by_kind: bool = True)
     order = [F.xxhash64(F.lit(seed), "node"), F.col("node")]
     if not by_kind:
         return nodes.select("node").orderBy(*order).limit(n)
-    kinds = nodes.select("node", F.substring("node", 1, 1).alias("kind"))
+    kinds = nodes.select("node", graph.kind("node").alias("kind"))
     return kinds.withColumn("rank", F.row_number().over(Window.partitionBy("kind").orderBy(*order))).where(F.col("rank") <= n).select("node")
 
 
@@ -99,6 +117,11 @@ def without_light_edges(edges: DataFrame) -> DataFrame:
     return edges.crossJoin(F.broadcast(mean)).where(F.col("weight") >= F.col("mean") / 100).drop("mean")  # one row
 
 
+def without_isolated(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Nodes that some edge touches."""
+    return nodes.join(nodes_of(edges), "node", "left_semi")
+
+
 def without_unreputed(edges: DataFrame, reputation: DataFrame) -> DataFrame:
     """Edges between nodes whose reputation is not 0."""
     live = reputation.where("reputation <> 0").select("node")
@@ -108,7 +131,7 @@ def without_unreputed(edges: DataFrame, reputation: DataFrame) -> DataFrame:
 def read_only_stats(edges: DataFrame) -> DataFrame:
     """Counts before and after files that nothing enters, and their edges, are dropped."""
     entered = edges.select(F.col("dst").alias("src")).distinct()
-    plain = edges.where(F.col("src").startswith("F:")).join(entered, "src", "left_anti").select("src").distinct()
+    plain = edges.where(graph.kind("src") == "F").join(entered, "src", "left_anti").select("src").distinct()
     rest = edges.join(plain, "src", "left_anti")
     count = lambda df, n: df.agg(F.count("*").alias(n))
     return count(edges, "edges_before").crossJoin(count(rest, "edges_after")).crossJoin(count(nodes_of(edges), "nodes_before")).crossJoin(count(plain, "files_dropped"))  # single rows

@@ -5,15 +5,12 @@ A merged edge keeps the id and start of its first edge, takes the end of its las
 
 from __future__ import annotations
 
-from collections import deque
-
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracelight.operators.slicing import weak_components
-
-COLUMNS = ["edge_id", "src", "dst", "etype", "event", "start_t", "end_t", "size"]
+from tracelight.graph import COLUMNS, SECOND
+from tracelight.operators.dependence import preserving
+from tracelight.plans.fixpoint import earlier
 
 
 def windowed_sequence(edges: DataFrame, window: int) -> DataFrame:
@@ -46,9 +43,8 @@ def _touch(edges: DataFrame, probes: DataFrame, node: str) -> DataFrame:
     points = edges.select(F.col(node).alias("node"), F.col("start_t").alias("at"), F.lit(1).alias("s"), F.lit(0).alias("e"), F.lit(None).cast("long").alias("end_at"), F.lit(None).cast("long").alias("pid"))
     ends = edges.select(F.col(node).alias("node"), F.col("end_t").alias("at"), F.lit(0).alias("s"), F.lit(1).alias("e"), F.col("end_t").alias("end_at"), F.lit(None).cast("long").alias("pid"))
     asked = probes.select("node", "at", F.lit(0).alias("s"), F.lit(0).alias("e"), F.lit(None).cast("long").alias("end_at"), "pid")
-    before = Window.partitionBy("node").orderBy("at").rangeBetween(Window.unboundedPreceding, -1)
-    run = points.unionAll(ends).unionAll(asked).withColumns({"open": F.coalesce(F.sum(F.col("s") - F.col("e")).over(before), F.lit(0)), "last_end": F.max("end_at").over(before)})
-    return run.where("pid is not null").select("pid", "open", "last_end")
+    run = earlier(points.unionAll(ends).unionAll(asked), ["node"], "at", {"n_open": F.sum(F.col("s") - F.col("e")), "last_end": F.max("end_at")})
+    return run.where("pid is not null").select("pid", F.col("n_open").alias("open"), "last_end")
 
 
 def standard_cpr(edges: DataFrame) -> DataFrame:
@@ -66,89 +62,25 @@ def standard_cpr(edges: DataFrame) -> DataFrame:
     back_hit = F.coalesce((F.col("prev_end") < F.col("end_t")) & ((F.col("b_open") - own_open > 0) | (F.col("b_last") > F.col("prev_end"))), F.lit(False))
     item = F.struct("start_t", "end_t", "edge_id", "etype", "size", back_hit.alias("hit"), (F.col("f_open") > 0).alias("f_open"), "f_last")
     groups = both.groupBy("event", "src", "dst").agg(F.array_sort(F.collect_list(item)).alias("items"))
-    kind = "array<struct<edge_id:bigint,etype:string,start_t:bigint,end_t:bigint,size:bigint>>"
+    # The run at hand beside the finished ones, which only grow where a run ends.
+    run = "struct<edge_id:bigint,etype:string,start_t:bigint,end_t:bigint,size:bigint>"
 
     def fold(acc, x):
-        last = F.try_element_at(acc, F.lit(-1))
-        fore_hit = (last["start_t"] < x["start_t"]) & (x["f_open"] | F.coalesce(x["f_last"] > last["start_t"], F.lit(False)))
-        merge = (F.size(acc) > 0) & F.coalesce(~x["hit"] & ~fore_hit, F.lit(False))
-        grown = F.struct(last["edge_id"].alias("edge_id"), last["etype"].alias("etype"), last["start_t"].alias("start_t"), x["end_t"].alias("end_t"), (last["size"] + x["size"]).alias("size"))
+        now = acc["now"]
+        fore_hit = (now["start_t"] < x["start_t"]) & (x["f_open"] | F.coalesce(x["f_last"] > now["start_t"], F.lit(False)))
+        merge = now.isNotNull() & F.coalesce(~x["hit"] & ~fore_hit, F.lit(False))
+        grown = F.struct(now["edge_id"].alias("edge_id"), now["etype"].alias("etype"), now["start_t"].alias("start_t"), x["end_t"].alias("end_t"), (now["size"] + x["size"]).alias("size"))
         fresh = F.struct(x["edge_id"].alias("edge_id"), x["etype"].alias("etype"), x["start_t"].alias("start_t"), x["end_t"].alias("end_t"), x["size"].alias("size"))
-        return F.when(merge, F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(grown))).otherwise(F.concat(acc, F.array(fresh))).cast(kind)
+        done = F.when(merge | now.isNull(), acc["done"]).otherwise(F.concat(acc["done"], F.array(now)))
+        return F.struct(F.when(merge, grown).otherwise(fresh).cast(run).alias("now"), done.alias("done"))
 
-    merged = groups.select("event", "src", "dst", F.explode(F.aggregate("items", F.array().cast(kind), fold)).alias("m"))
+    start = F.struct(F.lit(None).cast(run).alias("now"), F.array().cast(f"array<{run}>").alias("done"))
+    folded = F.aggregate("items", start, fold, lambda acc: F.concat(acc["done"], F.array(acc["now"])))
+    merged = groups.select("event", "src", "dst", F.explode(folded).alias("m"))
     return merged.select("event", "src", "dst", "m.*").select(*COLUMNS)
 
 
-class _Version:
-    """What one state of a node has caused so far."""
-
-    def __init__(self) -> None:
-        self.caused = False
-        self.targets: set[str] = set()
-        self.recent: deque[str] = deque()
-        self.merged: dict[tuple[str, str], int] = {}
-
-    def depends(self, target: str, window: int) -> bool:
-        return target in (self.recent if window > 0 else self.targets)
-
-    def record(self, target: str, etype: str, row: int, mergeable: bool, window: int) -> None:
-        self.caused = True
-        self.targets.add(target)
-        if window > 0 and target not in self.recent:
-            self.recent.append(target)
-            if len(self.recent) > window:
-                self.recent.popleft()
-        if mergeable:
-            self.merged.setdefault((target, etype), row)
-
-
-def dependence_kernel(pdf: pd.DataFrame, sources: bool, window: int, limit: int) -> pd.DataFrame:
-    """Full-dependence (or source-dependence) preserving reduction of the edges of one weak component, in time order."""
-    pdf = pdf.sort_values(["start_t", "end_t", "edge_id"]).reset_index(drop=True)
-    nodes = set(pdf["src"]) | set(pdf["dst"])
-    now = {v: _Version() for v in nodes}
-    entered = set(pdf["dst"])
-    origin: dict[str, set[str]] = {v: set() if v in entered else {v} for v in nodes}
-    flooded: set[str] = set()
-    keep, out = [], pdf[COLUMNS].to_dict("records")
-    for i, e in enumerate(out):
-        s, d = e["src"], e["dst"]
-        plain = e["etype"] != "PtoP" and s != d
-        if plain and s in now[d].targets:
-            continue
-        if plain and now[s].depends(d, window):
-            first = now[s].merged.get((d, e["etype"]))
-            if first is not None:
-                out[first]["end_t"] = e["end_t"]
-                out[first]["size"] += e["size"]
-            continue
-        if sources and plain and s not in flooded and origin[s] <= origin[d]:
-            continue
-        from_ = now[s]
-        if now[d].caused:
-            now[d] = _Version()
-        keep.append(i)
-        from_.record(d, e["etype"], i, plain, window)
-        if sources:
-            for v in sorted(origin[s] - origin[d]):
-                if 0 < limit <= len(origin[d]):
-                    flooded.add(d)
-                    break
-                origin[d].add(v)
-            if s in flooded:
-                flooded.add(d)
-    return pd.DataFrame([out[i] for i in keep], columns=COLUMNS)
-
-
-def dependence_preserving(edges: DataFrame, sources: bool = False, window: int = -1, limit: int = -1) -> DataFrame:
-    """`fd`, and with sources `sd`. The state machine is sequential: one group for each weak component."""
-    parts = weak_components(edges).select(F.col("node").alias("src"), "component")
-    schema = "edge_id long, src string, dst string, etype string, event string, start_t long, end_t long, size long"
-    return edges.join(parts, "src").groupBy("component").applyInPandas(lambda pdf: dependence_kernel(pdf, sources, window, limit), schema)
-
-
-def reduced(edges: DataFrame, mode: str = "windowed_sequence", window: int = 10_000_000, fd_window: int = -1, sd_limit: int = -1) -> DataFrame:
+def reduced(edges: DataFrame, mode: str = "windowed_sequence", window: int = 10 * SECOND, fd_window: int = -1, sd_limit: int = -1) -> DataFrame:
     if mode == "windowed_sequence":
         return windowed_sequence(edges, window)
     if mode in ("standard_cpr", "causal_strict"):
@@ -156,7 +88,7 @@ def reduced(edges: DataFrame, mode: str = "windowed_sequence", window: int = 10_
     if mode in ("full_merge", "endpoint_aggregation"):
         return full_merge(edges)
     if mode in ("fd", "sd"):
-        return dependence_preserving(edges, mode == "sd", fd_window, sd_limit)
+        return preserving(edges, mode == "sd", fd_window, sd_limit)
     if mode == "no_merge":
         return edges.select(*COLUMNS)
     raise ValueError(f"unknown reduction mode {mode!r}")

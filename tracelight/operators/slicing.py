@@ -1,7 +1,7 @@
 """Temporal slices of a graph of timed edges (src, dst, start_t, end_t, ...).
 
-The default of each slice is the monotone fixpoint, which does not depend on the order of edges. Small graphs (a checked
-bound) are iterated in one process, larger ones by distributed delta rounds; both give the same rows.
+Each slice is a fixpoint that does not depend on the order of edges, iterated in distributed rounds at any size. Only
+back_track_fifo() and heavy_paths() follow the order of a queue: they are modes for comparison, in one process.
 """
 
 from __future__ import annotations
@@ -14,9 +14,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracelight.plans.fixpoint import KERNEL_EDGES, checkpoint, iterate, small
+from tracelight.plans.fixpoint import checkpoint, components, iterate, settled
 
 LOW = -(1 << 62)
+#: Stands before all starts of a walk; nodes begin with their kind and a colon.
+START = "*"
 
 
 def latest_in(edges: DataFrame, poi: str) -> int:
@@ -24,45 +26,19 @@ def latest_in(edges: DataFrame, poi: str) -> int:
     return edges.where(F.col("dst") == poi).agg(F.max("end_t")).first()[0] or 0
 
 
-def _codes(edges: DataFrame, *columns: str) -> tuple[pd.DataFrame, np.ndarray, np.ndarray, dict[str, int]]:
-    pdf = edges.select("src", "dst", *columns).toPandas()
-    codes, names = pd.factorize(pd.concat([pdf["src"], pdf["dst"]], ignore_index=True))
-    n = len(pdf)
-    pdf["s"], pdf["d"] = codes[:n], codes[n:]
-    return pdf, np.asarray(names, object), codes, {v: i for i, v in enumerate(names)}
+def _one(edges: DataFrame, schema: str, *row) -> DataFrame:
+    return edges.sparkSession.createDataFrame([row], schema)
 
 
-def back_track(edges: DataFrame, poi: str, max_rounds: int | None = None, kernel_edges: int = KERNEL_EDGES) -> DataFrame:
+def back_track(edges: DataFrame, poi: str, max_rounds: int | None = None) -> DataFrame:
     """node, thr: everything that can have reached poi, with the latest time at which it could still matter."""
-    spark = edges.sparkSession
-    top = latest_in(edges, poi)
-    if small(edges, kernel_edges):
-        pdf, names, _, number = _codes(edges, "start_t", "end_t")
-        thr = np.full(len(names), LOW, np.int64)
-        if poi not in number:
-            return spark.createDataFrame([(poi, top)], "node string, thr long")
-        thr[number[poi]] = top
-        s, d, start, end = (pdf[c].to_numpy() for c in ("s", "d", "start_t", "end_t"))
-        rounds = 0
-        while max_rounds is None or rounds < max_rounds:
-            rounds += 1
-            live = start <= thr[d]
-            new = thr.copy()
-            np.maximum.at(new, s[live], np.minimum(end[live], thr[d[live]]))
-            if (new == thr).all():
-                break
-            thr = new
-        hit = thr > LOW
-        return spark.createDataFrame(pd.DataFrame({"node": names[hit].astype(str), "thr": thr[hit]}), "node string, thr long")
-    narrow = checkpoint(edges.select("src", F.col("dst").alias("node"), "start_t", "end_t"))
-
-    def step(frontier: DataFrame, state: DataFrame) -> DataFrame:
-        reached = narrow.join(frontier, "node").where("start_t <= thr").groupBy("src").agg(F.max(F.least("end_t", "thr")).alias("new"))
-        known = state.select(F.col("node").alias("src"), "thr")
-        return reached.join(known, "src", "left").where("thr is null or new > thr").select(F.col("src").alias("node"), F.col("new").alias("thr"))
-
-    start = spark.createDataFrame([(poi, top)], "node string, thr long")
-    return iterate(start, step, lambda s: s.groupBy("node").agg(F.max("thr").alias("thr")), max_rounds)
+    narrow = checkpoint(edges.select("src", F.col("dst").alias("node"), "start_t", "end_t").repartition("node"))
+
+    def step(frontier: DataFrame) -> DataFrame:
+        reached = narrow.join(frontier, "node").where("start_t <= thr")
+        return reached.groupBy(F.col("src").alias("node")).agg(F.max(F.least("end_t", "thr")).alias("thr"))
+
+    return iterate(_one(edges, "node string, thr long", poi, latest_in(edges, poi)), step, ["node"], "thr", max_rounds=max_rounds)
 
 
 def slice_edges(edges: DataFrame, reached: DataFrame) -> DataFrame:
@@ -70,12 +46,35 @@ def slice_edges(edges: DataFrame, reached: DataFrame) -> DataFrame:
     return edges.join(reached.select(F.col("node").alias("dst"), "thr"), "dst").where("start_t <= thr").select(*edges.columns)
 
 
-MOST_ROOTS = 64
-#: Stands before all starts of a walk; nodes begin with their kind and a colon.
-START = "*"
+def back_track_steps(edges: DataFrame, poi: str) -> DataFrame:
+    """node, thr, step: the slice with each node's step, the fewest edges of the slice between it and poi; poi has step 1."""
+    reached = checkpoint(back_track(edges, poi))
+    pairs = checkpoint(slice_edges(edges, reached).select("src", F.col("dst").alias("node")).distinct().repartition("node"))
+    further = lambda frontier: pairs.join(frontier, "node").groupBy(F.col("src").alias("node")).agg((F.min("step") + 1).alias("step"))
+    return reached.join(iterate(_one(edges, "node string, step int", poi, 1), further, ["node"], "step", least=True), "node").select("node", "thr", "step")
+
 
+def back_track_scan(edges: DataFrame, poi: str) -> DataFrame:
+    """One scan by start time, latest first: an edge stays if its target is in the slice and it starts before its time.
+
+    A node enters with the latest edge that stays, of one start the one of the smallest id, and keeps the time of that edge.
+    What an edge meets was settled by later ones, so rounds over all edges at once stand when nothing changes any more.
+    """
+    at = F.struct(F.col("start_t").alias("t"), (-F.col("edge_id")).alias("id"))
+    far = F.struct(F.lit(1 << 62).alias("t"), F.lit(0).cast("long").alias("id"))
+    narrow = checkpoint(edges.select("edge_id", "src", "dst", "end_t", "start_t", at.alias("at")).repartition("dst"))
+    first = checkpoint(_one(edges, "node string, thr long", poi, latest_in(edges, poi)).select("node", far.cast(narrow.schema["at"].dataType).alias("at"), "thr"))
+    known = lambda state: state.select(F.col("node").alias("dst"), F.col("at").alias("entered"), "thr")
+    kept = lambda state: narrow.join(known(state), "dst").where((F.col("at") < F.col("entered")) & (F.col("start_t") < F.col("thr")))
+
+    def step(state: DataFrame) -> DataFrame:
+        made = kept(state).where(F.col("src") != poi).groupBy(F.col("src").alias("node")).agg(F.max("at").alias("at"), F.max_by(F.least("end_t", "thr"), "at").alias("thr"))
+        return first.unionByName(made)
 
-def forward(edges: DataFrame, roots: DataFrame, until: int | None = None, max_rounds: int | None = None, kernel_edges: int = KERNEL_EDGES) -> DataFrame:
+    return edges.join(kept(settled(first, step, ["node", "at", "thr"])).select("edge_id"), "edge_id", "left_semi").select(*edges.columns)
+
+
+def forward(edges: DataFrame, roots: DataFrame, until: int | None = None, max_rounds: int | None = None) -> DataFrame:
     """root, node, arr: earliest arrival of what leaves each root (column node of roots) before `until`.
 
     An edge is taken if it starts before `until` and not before its source was reached; a root is reached from the start.
@@ -83,48 +82,32 @@ def forward(edges: DataFrame, roots: DataFrame, until: int | None = None, max_ro
     narrow = edges.select(F.col("src").alias("node"), "dst", "start_t")
     if until is not None:
         narrow = narrow.where(F.col("start_t") < until)
-    if small(edges, kernel_edges):
-        if not small(roots, MOST_ROOTS):
-            return _forward_tasks(edges, roots, until, max_rounds)
-        names_of_roots = sorted({r[0] for r in roots.select("node").collect()})
-        pdf, names, _, number = _codes(edges, "start_t")
-        if until is not None:
-            pdf = pdf[pdf["start_t"] < until]
-        s, d, start = (pdf[c].to_numpy() for c in ("s", "d", "start_t"))
-        never, out = np.int64(1 << 62), []
-        for root in names_of_roots:
-            arr = np.full(len(names), never)
-            if root not in number:
-                out.append(pd.DataFrame({"root": [root], "node": [root], "arr": [LOW]}))
-                continue
-            arr[number[root]] = LOW
-            rounds = 0
-            while max_rounds is None or rounds < max_rounds:
-                rounds += 1
-                live, new = (start >= arr[s]) & (arr[s] < never), arr.copy()
-                np.minimum.at(new, d[live], start[live])
-                if (new == arr).all():
-                    break
-                arr = new
-            hit = arr < never
-            out.append(pd.DataFrame({"root": root, "node": names[hit].astype(str), "arr": arr[hit]}))
-        return edges.sparkSession.createDataFrame(pd.concat(out) if out else pd.DataFrame(columns=["root", "node", "arr"]), "root string, node string, arr long")
-    narrow = checkpoint(narrow)
+    narrow = checkpoint(narrow.repartition("node"))
 
-    def step(frontier: DataFrame, state: DataFrame) -> DataFrame:
-        taken = narrow.join(frontier, "node").where("start_t >= arr").groupBy("root", "dst").agg(F.min("start_t").alias("new"))
-        known = state.select("root", F.col("node").alias("dst"), "arr")
-        return taken.join(known, ["root", "dst"], "left").where("arr is null or new < arr").select("root", F.col("dst").alias("node"), F.col("new").alias("arr"))
+    def step(frontier: DataFrame) -> DataFrame:
+        taken = narrow.join(frontier, "node").where("start_t >= arr")
+        return taken.groupBy("root", F.col("dst").alias("node")).agg(F.min("start_t").alias("arr"))
 
     start = roots.select(F.col("node").alias("root"), "node", F.lit(LOW).alias("arr")).distinct()
-    return iterate(start, step, lambda s: s.groupBy("root", "node").agg(F.min("arr").alias("arr")), max_rounds)
+    return iterate(start, step, ["root", "node"], "arr", least=True, max_rounds=max_rounds)
 
 
-def _forward_tasks(edges: DataFrame, roots: DataFrame, until: int | None, max_rounds: int | None) -> DataFrame:
-    """forward() over any number of roots: each task walks its roots over the edges of a small graph, sorted by start."""
-    sc = edges.sparkSession.sparkContext
-    pdf, names, _, number = _codes(edges if until is None else edges.where(F.col("start_t") < until), "start_t")
-    shared = sc.broadcast((*(pdf.sort_values("start_t", kind="stable")[c].to_numpy() for c in ("s", "d", "start_t")), names, number))
+#: Edges that forward_many() sends to every task.
+BROADCAST_EDGES = 1_000_000
+
+
+def forward_many(edges: DataFrame, roots: DataFrame, until: int | None = None, max_rounds: int | None = None, broadcast_edges: int = BROADCAST_EDGES) -> DataFrame:
+    """forward() for many roots: where the edges are few (counted first) they are broadcast and tasks walk their own roots,
+    which saves the shuffles of a state of roots times nodes; else as forward()."""
+    narrow = edges.select("src", "dst", "start_t")
+    if until is not None:
+        narrow = narrow.where(F.col("start_t") < until)
+    narrow = checkpoint(narrow)
+    if narrow.limit(broadcast_edges + 1).count() > broadcast_edges:
+        return forward(edges, roots, until, max_rounds)
+    sc, pdf = edges.sparkSession.sparkContext, narrow.toPandas().sort_values("start_t", kind="stable")
+    codes, names = pd.factorize(pd.concat([pdf["src"], pdf["dst"]], ignore_index=True))
+    shared = sc.broadcast((codes[: len(pdf)], codes[len(pdf) :], pdf["start_t"].to_numpy(), np.asarray(names, object), {v: i for i, v in enumerate(names)}))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         s, d, start, names, number = shared.value
@@ -163,49 +146,23 @@ def merged_forward(slice_: DataFrame, starts: DataFrame, until: int) -> DataFram
     Some walk takes an edge if the one that reached its source first does, so all starts are walked as one.
     """
     away = starts.select(F.lit(START).alias("src"), F.col("node").alias("dst"), F.lit(LOW).alias("start_t")).distinct()
-    linked = checkpoint(slice_.select("src", "dst", "start_t").unionByName(away))
-    arrived = forward(linked, slice_.sparkSession.createDataFrame([(START,)], "node string"), until)
+    linked = slice_.select("src", "dst", "start_t").unionByName(away)
+    arrived = forward(linked, _one(slice_, "node string", START), until)
     pairs = forward_edges(slice_, arrived, until).select("src", "dst").distinct()
     out = checkpoint(slice_.join(pairs, ["src", "dst"], "left_semi").select(*slice_.columns))
     return slice_ if out.isEmpty() else out
 
 
-def weak_components(edges: DataFrame, kernel_edges: int = KERNEL_EDGES) -> DataFrame:
+def weak_components(edges: DataFrame) -> DataFrame:
     """node, component: the smallest node name that undirected links reach."""
-    spark = edges.sparkSession
-    pairs = edges.select("src", "dst").distinct()
-    if small(pairs, kernel_edges):
-        pdf, names, _, _ = _codes(pairs)
-        order = np.argsort(names.astype(str))
-        rank = np.empty(len(names), np.int64)
-        rank[order] = np.arange(len(names))
-        a, b = rank[pdf["s"].to_numpy()], rank[pdf["d"].to_numpy()]
-        label = np.arange(len(names))
-        while True:
-            new = label.copy()
-            np.minimum.at(new, a, label[b])
-            np.minimum.at(new, b, label[a])
-            new = new[new]
-            if (new == label).all():
-                break
-            label = new
-        ordered = names[order].astype(str)
-        return spark.createDataFrame(pd.DataFrame({"node": ordered, "component": ordered[label]}), "node string, component string")
-    both = checkpoint(pairs.select(F.col("src").alias("node"), F.col("dst").alias("other")).unionAll(pairs.select("dst", "src")).distinct())
-
-    def step(frontier: DataFrame, state: DataFrame) -> DataFrame:
-        told = both.join(frontier, "node").groupBy("other").agg(F.min("component").alias("new"))
-        known = state.select(F.col("node").alias("other"), "component")
-        return told.join(known, "other").where("new < component").select(F.col("other").alias("node"), F.col("new").alias("component"))
-
-    return iterate(both.select("node", F.col("node").alias("component")).distinct(), step, lambda s: s.groupBy("node").agg(F.min("component").alias("component")))
+    return components(edges)
 
 
 def component_of(edges: DataFrame, node: str) -> DataFrame:
-    """All nodes weakly connected to one."""
-    found = checkpoint(weak_components(edges))
-    mine = found.where(F.col("node") == node).select("component")
-    return found.join(F.broadcast(mine), "component", "left_semi").select("node")
+    """All nodes weakly connected to one, by breadth."""
+    both = edges.select("src", "dst").unionAll(edges.select("dst", "src")).distinct()
+    both = checkpoint(both.select(F.col("src").alias("node"), "dst").repartition("node"))
+    return iterate(_one(edges, "node string", node), lambda frontier: both.join(frontier, "node").select(F.col("dst").alias("node")), ["node"])
 
 
 def reputation_walk(edges: DataFrame, reputation: DataFrame, start: str, change: float, is_forward: bool) -> DataFrame:
@@ -215,30 +172,101 @@ def reputation_walk(edges: DataFrame, reputation: DataFrame, start: str, change:
     scored = edges.join(value("src"), "src").join(value("dst"), "dst")
     ok = checkpoint(scored.where((F.col(f"r_{near}") != 0) & ((F.col(f"r_{near}") - F.col(f"r_{far}")) / F.when(F.col(f"r_{near}") != 0, F.col(f"r_{near}")) <= change)).select(*edges.columns))
 
-    def step(frontier: DataFrame, state: DataFrame) -> DataFrame:
-        return ok.join(frontier.withColumnRenamed("node", near), near).select(F.col(far).alias("node")).distinct().join(state, "node", "left_anti")
-
-    nodes = iterate(edges.sparkSession.createDataFrame([(start,)], "node string"), step, lambda s: s.distinct())
+    step = lambda frontier: ok.join(frontier.withColumnRenamed("node", near), near).select(F.col(far).alias("node"))
+    nodes = iterate(_one(edges, "node string", start), step, ["node"])
     return ok.join(nodes.withColumnRenamed("node", near), near, "left_semi").select(*edges.columns)
 
 
-# --- kernels for walks whose result depends on an order: for slices, not for whole logs -------
+# --- connectivity ------------------------------------------------------------------------------
+
+
+def paths(pairs: DataFrame, starts: DataFrame, goals: DataFrame) -> DataFrame:
+    """src, dst: the links of one shortest path along pairs (src, dst) from each start (column node) to the nearest goal.
+
+    Breadth-first from the goals; of several ways on, a node keeps the one to the smallest name.
+    """
+    starts = checkpoint(starts.select("node").distinct())
+    if starts.isEmpty():
+        return pairs.select("src", "dst").limit(0)
+    narrow = checkpoint(pairs.select("src", F.col("dst").alias("node")).distinct().repartition("node"))
+
+    def back(frontier: DataFrame) -> DataFrame:
+        at = narrow.join(frontier, "node").select("src", F.struct((F.col("way.hops") + 1).alias("hops"), F.col("node").alias("next")).alias("way"))
+        return at.groupBy(F.col("src").alias("node")).agg(F.min("way").alias("way"))
+
+    first = goals.select("node", F.struct(F.lit(0).alias("hops"), F.lit("").alias("next")).alias("way")).distinct()
+    ways = checkpoint(iterate(first, back, ["node"], "way", least=True).where("way.hops > 0").select("node", "way.next"))
+    passed = iterate(starts, lambda frontier: ways.join(frontier, "node").select(F.col("next").alias("node")), ["node"])
+    return ways.join(passed, "node").select(F.col("node").alias("src"), F.col("next").alias("dst"))
+
+
+def _least_edges(whole: DataFrame, links: DataFrame) -> DataFrame:
+    """The edge of the smallest id of each link (src, dst)."""
+    ids = whole.join(links.distinct(), ["src", "dst"], "left_semi").groupBy("src", "dst").agg(F.min("edge_id").alias("edge_id"))
+    return whole.join(ids.select("edge_id"), "edge_id", "left_semi").select(*whole.columns)
+
 
+def _with(kept: DataFrame, more: DataFrame) -> DataFrame:
+    return checkpoint(kept.unionByName(more.join(kept.select("edge_id"), "edge_id", "left_anti").select(*kept.columns)))
 
-def _bounded(edges: DataFrame, bound: int = KERNEL_EDGES) -> pd.DataFrame:
-    if not small(edges, bound):
-        raise ValueError(f"this walk is sequential and takes at most {bound} edges: slice the graph first")
+
+def repaired(kept: DataFrame, nodes: DataFrame, whole: DataFrame, reputation: DataFrame) -> DataFrame:
+    """kept plus, for each node apart from the component with the highest reputation, a shortest forward path back to it."""
+    label = checkpoint(weak_components(kept))
+    best = label.join(reputation, "node", "left").select("component", F.coalesce("reputation", F.lit(0.0)).alias("r"), "node").orderBy(F.desc("r"), F.desc("node")).first()
+    if best is None:
+        return kept
+    main = checkpoint(label.where(F.col("component") == best["component"]).select("node"))
+    apart = nodes.select("node").distinct().join(main, "node", "left_anti")
+    return _with(kept.select(*whole.columns), _least_edges(whole, paths(whole, apart, main)))
+
+
+def connected_to_poi(whole: DataFrame, kept: DataFrame, entries: list[str], poi: str) -> DataFrame:
+    """kept plus shortest directed paths of the whole graph to poi from each entry that does not reach it in kept; then one
+    weak component: that of poi (without it the largest), with a shortest undirected bridge of the whole graph from each
+    other component; components that none reaches go."""
+    spark, kept = whole.sparkSession, checkpoint(kept.select(*whole.columns))
+    goal = spark.createDataFrame([(poi,)], "node string")
+    if entries:
+        lost = spark.createDataFrame([(e,) for e in entries], "node string").distinct()
+        backward = kept.select("src", F.col("dst").alias("node")).distinct()
+        reach = iterate(goal, lambda frontier: backward.join(frontier, "node").select(F.col("src").alias("node")), ["node"])
+        lost = checkpoint(lost.join(reach, "node", "left_anti"))
+        if not lost.isEmpty():
+            kept = _with(kept, _least_edges(whole, paths(whole, lost, goal)))
+    label = checkpoint(weak_components(kept))
+    mine = label.where(F.col("node") == poi).select("component").first() or label.groupBy("component").count().orderBy(F.desc("count"), "component").select("component").first()
+    if mine is None:
+        return kept
+    main = checkpoint(label.where(F.col("component") == mine["component"]).select("node"))
+    others = label.where(F.col("component") != mine["component"])
+    if not others.isEmpty():
+        turned = whole.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+        both = checkpoint(whole.select("src", "dst").unionAll(turned).distinct())
+        bridges = checkpoint(paths(both, others.groupBy("component").agg(F.min("node").alias("node")), main))
+        # A bridge's link is an edge in either direction: that along it if there is one.
+        along = bridges.join(whole.select("src", "dst").distinct(), ["src", "dst"], "left_semi")
+        against = bridges.join(along, ["src", "dst"], "left_anti").select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+        kept = _with(kept, _least_edges(whole, along.unionByName(against)))
+        main = checkpoint(component_of(kept, main.first()["node"]))
+    return kept.join(main.withColumnRenamed("node", "src"), "src", "left_semi").select(*whole.columns)
+
+
+# --- walks in the order of a queue: modes for comparison, in one process -----------------------------
+
+
+def _rows(edges: DataFrame):
     return edges.orderBy("edge_id").toPandas()
 
 
 def back_track_fifo(edges: DataFrame, poi: str) -> DataFrame:
-    """The slice of a first-in-first-out walk that expands each node once, with each node's step; edges in id order."""
-    pdf = _bounded(edges)
+    """The slice of a first-in-first-out walk that expands each node once, edges in id order: a part of back_track's."""
+    pdf = _rows(edges)
     into: dict[str, list] = {}
     for e in pdf.itertuples():
         into.setdefault(e.dst, []).append(e)
     thr = {poi: max((e.end_t for e in into.get(poi, [])), default=0)}
-    level, queue, kept, seen = {poi: 0}, deque([poi]), [], {poi}
+    queue, kept, seen = deque([poi]), [], {poi}
     while queue:
         v = queue.popleft()
         for e in into.get(v, []):
@@ -248,80 +276,14 @@ def back_track_fifo(edges: DataFrame, poi: str) -> DataFrame:
             thr[e.src] = max(thr.get(e.src, LOW), min(e.end_t, thr[v]))
             if e.src not in seen:
                 seen.add(e.src)
-                level[e.src] = level[v] + 1
                 queue.append(e.src)
     found = edges.sparkSession.createDataFrame([(k,) for k in kept], "edge_id long")
     return edges.join(found, "edge_id", "left_semi").select(*edges.columns)
 
 
-def back_track_scan(edges: DataFrame, poi: str) -> DataFrame:
-    """One scan by start time, latest first: an edge stays if its target is in the slice and it starts before its time."""
-    pdf = _bounded(edges).sort_values(["start_t", "edge_id"], ascending=[False, True])
-    thr, kept = {poi: max(pdf.loc[pdf["dst"] == poi, "end_t"], default=0)}, []
-    for e in pdf.itertuples():
-        if e.dst in thr and e.start_t < thr[e.dst]:
-            kept.append(e.edge_id)
-            thr.setdefault(e.src, min(e.end_t, thr[e.dst]))
-    found = edges.sparkSession.createDataFrame([(k,) for k in kept], "edge_id long")
-    return edges.join(found, "edge_id", "left_semi").select(*edges.columns)
-
-
-def _path(links: dict[str, list[str]], a: str, goals: set[str]) -> list[str]:
-    before, queue = {a: a}, deque([a])
-    while queue:
-        v = queue.popleft()
-        if v in goals and v != a:
-            out = [v]
-            while out[-1] != a:
-                out.append(before[out[-1]])
-            return out[::-1]
-        for w in links.get(v, []):
-            if w not in before:
-                before[w] = v
-                queue.append(w)
-    return []
-
-
-def repaired(kept: DataFrame, nodes: DataFrame, whole: DataFrame, reputation: DataFrame) -> DataFrame:
-    """kept plus, for each node apart from the component with the highest reputation, a shortest forward path back to it."""
-    k, w = _bounded(kept), _bounded(whole)
-    rep = {r["node"]: r["reputation"] for r in reputation.collect()}
-    label = {r["node"]: r["component"] for r in weak_components(kept).collect()}
-    every = [r[0] for r in nodes.collect()]
-    if not rep or not label:
-        return kept
-    best = max(label, key=lambda v: (rep.get(v, 0.0), v))
-    main = {v for v, c in label.items() if c == label[best]}
-    links: dict[str, list[str]] = {}
-    for e in w.itertuples():
-        links.setdefault(e.src, []).append(e.dst)
-    pairs = set()
-    for v in sorted(set(every) - main):
-        p = _path(links, v, main)
-        pairs |= set(zip(p, p[1:]))
-    chosen = w[[(s, d) in pairs for s, d in zip(w["src"], w["dst"])]].drop_duplicates(["src", "dst"])["edge_id"].tolist()
-    ids = kept.sparkSession.createDataFrame([(int(i),) for i in sorted(set(chosen) | set(k["edge_id"]))], "edge_id long")
-    return whole.join(ids, "edge_id", "left_semi").select(*whole.columns)
-
-
-def connected_to_poi(whole: DataFrame, kept: DataFrame, entries: list[str], poi: str) -> DataFrame:
-    """kept plus shortest undirected paths of the whole graph from each entry to poi; other components go."""
-    w = _bounded(whole)
-    directed: dict[str, list[str]] = {}
-    for e in w.itertuples():
-        directed.setdefault(e.src, []).append(e.dst)
-    pairs = {(r["src"], r["dst"]) for r in kept.select("src", "dst").distinct().collect()}
-    for a in entries:
-        p = _path(directed, a, {poi})
-        pairs |= set(zip(p, p[1:]))
-    chosen = whole.join(whole.sparkSession.createDataFrame(sorted(pairs) or [("", "")], "src string, dst string"), ["src", "dst"], "left_semi").select(*whole.columns)
-    mine = component_of(chosen, poi)
-    return chosen.join(mine.withColumnRenamed("node", "src"), "src", "left_semi").select(*whole.columns)
-
-
 def heavy_paths(edges: DataFrame, start: str, walks: int = 5) -> DataFrame:
     """walk, edge_id: greedy walks along the heaviest edge in and out of each node; edges taken by choice are used up."""
-    pdf = _bounded(edges)
+    pdf = _rows(edges)
     ins: dict[str, list] = {}
     outs: dict[str, list] = {}
     for e in pdf.sort_values(["weight", "edge_id"], ascending=[False, True]).itertuples():

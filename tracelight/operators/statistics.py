@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracelight import graph
+
 
 def detection_size(edges: DataFrame, poi: str) -> DataFrame:
     """The largest size of an edge into the point of interest, else out of it."""
@@ -38,7 +40,7 @@ def pair_counts(edges: DataFrame) -> DataFrame:
 
 
 def kind_event_counts(edges: DataFrame) -> DataFrame:
-    kinds = edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct().groupBy(F.substring("node", 1, 1).alias("name")).agg(F.count("*").alias("n"))
+    kinds = graph.nodes_of(edges).groupBy(graph.kind("node").alias("name")).agg(F.count("*").alias("n"))
     return kinds.select(F.lit("kind").alias("what"), "name", "n").unionAll(edges.groupBy(F.col("event").alias("name")).agg(F.count("*").alias("n")).select(F.lit("event"), "name", "n"))
 
 

@@ -1,4 +1,8 @@
-"""Edge weights from time, amount and structure, and their combination. Times here are in microseconds."""
+"""Edge weights from time, amount and structure, and their combination.
+
+Sums over the edges of a source are aggregated first and joined back, so that a source with many edges is no single task.
+Two-means clustering is one algorithm at every size: rounds of one aggregate a partition until labels stand.
+"""
 
 from __future__ import annotations
 
@@ -7,17 +11,17 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracelight.plans.fixpoint import KERNEL_EDGES, checkpoint, small
+from tracelight import graph
+from tracelight.plans.fixpoint import checkpoint
 
-SEC = 1_000_000.0
 FEATURES = ("w_time", "w_amount", "w_struct")
 
 
 def time_weight(end: Column, poi_time: int) -> Column:
-    gap = F.abs(end - F.lit(poi_time)) / F.lit(SEC)
+    gap = F.abs(end - F.lit(poi_time)) / F.lit(float(graph.SECOND))
     return F.log(1 + F.when(gap == 0, F.lit(1e10)).otherwise(1 / F.when(gap != 0, gap)))
 
 
@@ -39,14 +43,23 @@ def raw_features(edges: DataFrame, poi_time: int, detection: float, seeds: list[
     return edges.join(d, "dst").withColumns({"w_time": time_weight(F.col("end_t"), poi_time), "w_amount": amount_weight(F.col("size"), detection), "w_struct": struct}).select(*edges.columns, *FEATURES)
 
 
-def by_source(edges: DataFrame, column: str, least: float = 0.0, otherwise: Column | None = None) -> Column:
-    """A column divided by its sum over the edges of one source, where that sum is above least."""
-    total = F.sum(column).over(Window.partitionBy("src"))
-    return F.when(total > least, F.col(column) / F.when(total != 0, total)).otherwise(F.col(column) if otherwise is None else otherwise)
+def with_sums(edges: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """edges with sums over the edges of each one's source, under the names given.
+
+    The sums are combined before the shuffle; a source with many edges skews the join only, which adaptive execution splits.
+    """
+    return edges.join(edges.groupBy("src").agg(*[F.sum(c).alias(n) for n, c in columns.items()]), "src").select(*edges.columns, *columns)
+
+
+def _share(value: str, total: str, least: float = 0.0, otherwise: Column | None = None) -> Column:
+    """A value divided by its source's total, where that is above least."""
+    return F.when(F.col(total) > least, F.col(value) / F.when(F.col(total) != 0, F.col(total))).otherwise(F.col(value) if otherwise is None else otherwise)
 
 
 def normalised(edges: DataFrame) -> DataFrame:
-    return edges.withColumns({c: by_source(edges, c) for c in FEATURES})
+    edges = checkpoint(edges)
+    x = with_sums(edges, {f"_{c}": F.col(c) for c in FEATURES})
+    return x.select(*[_share(c, f"_{c}").alias(c) if c in FEATURES else c for c in edges.columns])
 
 
 def standardised(edges: DataFrame) -> DataFrame:
@@ -58,16 +71,16 @@ def standardised(edges: DataFrame) -> DataFrame:
 
 def _mix(edges: DataFrame, seeds: list[str], shares: tuple, zero: tuple = (0.5, 0.5), factor: float = 0.99) -> DataFrame:
     """Convex mix of the normalised features, then shares of each source's total; sources without data leave amounts out."""
-    w = Window.partitionBy("src")
-    x = edges.withColumns({"w_time": by_source(edges, "w_time"), "w_amount": by_source(edges, "w_amount"), "w_struct": by_source(edges, "w_struct", 1e-8, F.lit(1.0))})
+    edges = checkpoint(edges)
+    x = with_sums(edges, {f"_{c}": F.col(c) for c in [*FEATURES, "size"]})
+    x = x.withColumns({"w_time": _share("w_time", "_w_time"), "w_amount": _share("w_amount", "_w_amount"), "w_struct": _share("w_struct", "_w_struct", 1e-8, F.lit(1.0))})
     x = x.withColumn("w_struct", F.when(F.col("src").isin(seeds), F.lit(1.0)).otherwise(F.col("w_struct")))
     t, s, a = shares
-    x = x.withColumn("no_data", F.sum("size").over(w) < 1e-8)
-    x = x.withColumn("mixed", F.when(F.col("no_data"), zero[0] * F.col("w_time") + zero[1] * F.col("w_struct")).otherwise(t * F.col("w_time") + s * F.col("w_struct") + a * F.col("w_amount")))
-    total = F.sum("mixed").over(w)
-    share = F.col("mixed") / F.when(total != 0, total)
-    out = x.withColumn("weight", F.coalesce(F.when(F.col("no_data"), share).otherwise(share * factor), F.lit(0.0)))
-    return out.drop("no_data", "mixed")
+    x = x.withColumn("_none", F.col("_size") < 1e-8)
+    x = x.withColumn("_mixed", F.when(F.col("_none"), zero[0] * F.col("w_time") + zero[1] * F.col("w_struct")).otherwise(t * F.col("w_time") + s * F.col("w_struct") + a * F.col("w_amount")))
+    x = with_sums(checkpoint(x.select(*edges.columns, "_none", "_mixed")), {"_total": F.col("_mixed")})
+    share = F.col("_mixed") / F.when(F.col("_total") != 0, F.col("_total"))
+    return x.select(*edges.columns, F.coalesce(F.when(F.col("_none"), share).otherwise(share * factor), F.lit(0.0)).alias("weight"))
 
 
 def nonml(edges: DataFrame, poi_time: int, detection: float, seeds: list[str]) -> DataFrame:
@@ -84,15 +97,21 @@ def nonml_random(edges: DataFrame, poi_time: int, detection: float, seeds: list[
 
 def heuristic(edges: DataFrame) -> DataFrame:
     """The fallback mix of features that are already normalised."""
-    total = F.sum("size").over(Window.partitionBy("src"))
-    mix = F.when(total == 0, 0.5 * F.col("w_time") + 0.5 * F.col("w_struct")).otherwise(0.3333 * F.col("w_time") + 0.3333 * F.col("w_struct") + 0.3334 * F.col("w_amount"))
-    return edges.withColumn("weight", mix)
+    mix = F.when(F.col("_size") < 1e-8, 0.5 * F.col("w_time") + 0.5 * F.col("w_struct")).otherwise(0.3333 * F.col("w_time") + 0.3333 * F.col("w_struct") + 0.3334 * F.col("w_amount"))
+    return with_sums(edges, {"_size": F.col("size")}).select(*edges.columns, mix.alias("weight"))
+
+
+def shared_out(scored: DataFrame, factor: float) -> DataFrame:
+    """Scores as shares of their source's total, times a factor; as they are where the total is nothing."""
+    rest = [c for c in scored.columns if c != "score"]
+    weight = F.when(F.col("_total") < 1e-8, F.col("score")).otherwise(F.col("score") / F.when(F.col("_total") != 0, F.col("_total")) * factor)
+    return with_sums(scored, {"_total": F.col("score")}).select(*rest, weight.alias("weight"))
 
 
 def fanout(edges: DataFrame) -> DataFrame:
     """edge_id, fanout: 1 / out-degree of the source + 1e-6; 1e-6 for files that nothing enters."""
     d = degrees(edges).select(F.col("node").alias("src"), "n_in", "n_out")
-    value = F.when(F.col("src").startswith("F:") & (F.col("n_in") == 0), 1e-6).otherwise(1 / F.col("n_out") + 1e-6)
+    value = F.when((graph.kind("src") == "F") & (F.col("n_in") == 0), 1e-6).otherwise(1 / F.col("n_out") + 1e-6)
     return edges.join(d, "src").select("edge_id", value.alias("fanout"))
 
 
@@ -191,7 +210,10 @@ def _two_centres(ask: Callable, tries: int, seed: int) -> np.ndarray | None:
 
     Draws depend on ids alone; between divisions into parts only the last bits of sums differ, so costs are compared loosely.
     """
-    firsts = [r[2] for r in ask(_firsts, _drawn, tries, seed)]
+    drawn = ask(_firsts, _drawn, tries, seed)
+    if not drawn or drawn[0] is None:
+        return None  # no rows
+    firsts = [r[2] for r in drawn]
     seconds = ask(_seconds, _drawn, firsts, seed)
     live = {t: np.stack([a, r[2]]) for t, (a, r) in enumerate(zip(firsts, seconds)) if r is not None}
     seen, done = {t: set() for t in live}, {}
@@ -210,7 +232,7 @@ def _two_centres(ask: Callable, tries: int, seed: int) -> np.ndarray | None:
 
 
 def two_means(x: np.ndarray, ids: np.ndarray, tries: int = 20, seed: int = 1) -> np.ndarray:
-    """Labels of rows in one process."""
+    """Labels of the rows of one source, see two_means_of."""
     c = _two_centres(lambda f, join, *args: f(x, ids, *args), tries, seed)
     return np.zeros(len(x), int) if c is None else _nearer(x, c)[0]
 
@@ -232,7 +254,8 @@ def two_means_of(rows: DataFrame, tries: int = 20, seed: int = 1) -> DataFrame:
             if parts is not None:
                 yield pd.DataFrame({"told": [pickle.dumps(parts)]})
 
-        return join([pickle.loads(r[0]) for r in kept.select("edge_id", *FEATURES).mapInPandas(run, "told binary").collect()])  # a row of some hundred numbers a partition
+        parts = [pickle.loads(r[0]) for r in kept.select("edge_id", *FEATURES).mapInPandas(run, "told binary").collect()]  # a row of some hundred numbers a partition
+        return join(parts) if parts else None
 
     c = _two_centres(ask, tries, seed)
     if c is None:
@@ -248,30 +271,30 @@ def two_means_of(rows: DataFrame, tries: int = 20, seed: int = 1) -> DataFrame:
 def rescale(values: np.ndarray) -> np.ndarray:
     """(x - min + offset) / (max - min); the offset is a hundredth of the step from the least to the second value."""
     u = np.unique(values)
-    if len(u) < 2 or u[-1] - u[0] < 1e-15:
+    if len(u) < 2 or u[-1] - u[0] < 1e-12:
         return np.ones(len(values))
     return (values - u[0] + (u[1] - u[0]) / 100) / (u[-1] - u[0])
 
 
-def _clustered(edges: DataFrame, seeds: list[str], tries: int, kernel_edges: int = KERNEL_EDGES) -> DataFrame:
-    """edges with column `score`. Beyond a checked size: the same k-means and moments by aggregation, 3 x 3 algebra on the driver."""
-    if small(edges, kernel_edges):
-        pdf = edges.toPandas()
-        x = pdf[list(FEATURES)].fillna(0.0).to_numpy()
-        label = two_means(x, pdf["edge_id"].to_numpy(), tries)
-        if len(np.unique(label)) < 2:
-            return heuristic(edges).withColumnRenamed("weight", "score")
-        groups = [x[label == k] for k in range(2)]
-        means = tuple(g.mean(axis=0) for g in groups)
-        within = sum((g - m).T @ (g - m) for g, m in zip(groups, means))
-        seeded = tuple(bool(pdf["src"][label == k].isin(seeds).any()) for k in range(2))
-        pdf["score"] = rescale(x @ projection((len(groups[0]), len(groups[1])), means, within, seeded))
-        return edges.join(edges.sparkSession.createDataFrame(pdf[["edge_id", "score"]]), "edge_id")
-    told = checkpoint(two_means_of(edges.na.fill(0.0, list(FEATURES)), tries))
+def rescaled(scored: DataFrame) -> DataFrame:
+    """rescale() of column score over all rows."""
+    low, high = scored.agg(F.min("score"), F.max("score")).first()
+    second = None if low is None else scored.where(F.col("score") > F.lit(low)).agg(F.min("score")).first()[0]
+    if second is None or high - low < 1e-12:
+        return scored.withColumn("score", F.lit(1.0))
+    return scored.withColumn("score", (F.col("score") - low + (second - low) / 100) / (high - low))
+
+
+def _clustered(every: DataFrame, chosen: DataFrame, seeds: list[str], tries: int) -> DataFrame:
+    """every with column score: chosen edges are clustered, all are projected and rescaled; 3 x 3 algebra on the driver.
+
+    Without two groups the heuristic mix is rescaled instead.
+    """
     names = list(FEATURES)
+    told = checkpoint(two_means_of(chosen.na.fill(0.0, names), tries))
     moments = told.groupBy("_k").agg(F.count("*").alias("n"), F.max(F.col("src").isin(seeds)).alias("seeded"), *[F.avg(c).alias(f"m{i}") for i, c in enumerate(names)]).collect()
     if len(moments) < 2:
-        return heuristic(edges).withColumnRenamed("weight", "score")
+        return rescaled(checkpoint(heuristic(every).withColumnRenamed("weight", "score")))
     a, b = sorted(moments, key=lambda r: r["_k"])
     means = tuple(np.array([r[f"m{i}"] for i in range(3)]) for r in (a, b))
     center = [F.when(F.col("_k") == a["_k"], F.lit(float(means[0][i]))).otherwise(F.lit(float(means[1][i]))) for i in range(3)]
@@ -281,39 +304,26 @@ def _clustered(edges: DataFrame, seeds: list[str], tries: int, kernel_edges: int
     for i, j in cells:
         within[i, j] = within[j, i] = s[f"s{i}{j}"]
     v = projection((a["n"], b["n"]), means, within, (a["seeded"], b["seeded"]))
-    scored = told.withColumn("score", sum(F.col(c) * float(v[i]) for i, c in enumerate(names))).drop("_k")
-    low, high = scored.agg(F.min("score"), F.max("score")).first()
-    second = scored.where(F.col("score") > F.lit(low)).agg(F.min("score")).first()[0]
-    if second is None or high - low < 1e-15:
-        return scored.withColumn("score", F.lit(1.0))
-    return scored.withColumn("score", (F.col("score") - low + (second - low) / 100) / (high - low))
+    score = sum(F.coalesce(F.col(c), F.lit(0.0)) * float(v[i]) for i, c in enumerate(names))
+    return rescaled(checkpoint(every.withColumn("score", score)))
 
 
-def cluster_all(edges: DataFrame, poi_time: int, detection: float, seeds: list[str], tries: int = 20, only_busy: bool = False, factor: float = 0.99, kernel_edges: int = KERNEL_EDGES) -> DataFrame:
-    """`clusterall`; with only_busy `nonoutlier`, which clusters edges whose target has several in-edges."""
+def cluster_all(edges: DataFrame, poi_time: int, detection: float, seeds: list[str], tries: int = 20, only_busy: bool = False, factor: float = 0.99) -> DataFrame:
+    """`clusterall`; with only_busy `nonoutlier`, which clusters only edges whose target has several in-edges."""
     x = normalised(raw_features(edges, poi_time, detection, seeds))
     x = checkpoint(x.withColumn("w_struct", F.when(F.col("dst").isin(seeds), 1.0).otherwise(F.col("w_struct"))))
     chosen = x
     if only_busy:
         busy = degrees(edges).where("n_in > 1").select(F.col("node").alias("dst"))
         chosen = checkpoint(x.join(busy, "dst", "left_semi").select(*x.columns))
-    if chosen.limit(2).count() < 2:
-        scored = heuristic(x).withColumnRenamed("weight", "score")
-    else:
-        scored = _clustered(chosen, seeds, tries, kernel_edges)
-        if only_busy:
-            scored = x.join(scored.select("edge_id", "score"), "edge_id", "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
-    total = F.sum("score").over(Window.partitionBy("src"))
-    return scored.withColumn("weight", F.when(total < 1e-8, F.col("score")).otherwise(F.col("score") / F.when(total != 0, total) * factor)).drop("score")
+    return shared_out(_clustered(x, chosen, seeds, tries), factor)
 
 
-def individual(edges: DataFrame, poi_time: int, detection: float, seeds: list[str], tries: int = 20, kernel_edges: int = KERNEL_EDGES) -> DataFrame:
+def individual(edges: DataFrame, poi_time: int, detection: float, seeds: list[str], tries: int = 20) -> DataFrame:
     """`localtime`, `localamount`, `localstruct`: the structure feature is 0 but into seeds, then as cluster_all without 0.99."""
     x = normalised(raw_features(edges, poi_time, detection, seeds))
     x = checkpoint(x.withColumn("w_struct", F.when(F.col("dst").isin(seeds), 1.0).otherwise(0.0)))
-    scored = _clustered(x, seeds, tries, kernel_edges) if x.limit(2).count() > 1 else heuristic(x).withColumnRenamed("weight", "score")
-    total = F.sum("score").over(Window.partitionBy("src"))
-    return scored.withColumn("weight", F.when(total < 1e-8, F.col("score")).otherwise(F.col("score") / F.when(total != 0, total))).drop("score")
+    return shared_out(_clustered(x, x, seeds, tries), 1.0)
 
 
 def local_kernel(pdf: pd.DataFrame, seeds: frozenset, tries: int) -> pd.DataFrame:
@@ -323,7 +333,7 @@ def local_kernel(pdf: pd.DataFrame, seeds: frozenset, tries: int) -> pd.DataFram
     label = two_means(x, pdf["edge_id"].to_numpy(), tries)
     if len(np.unique(label)) < 2:
         t, a, s = x.T
-        score = 0.5 * t + 0.5 * s if pdf["size"].sum() == 0 else 0.3333 * t + 0.3333 * s + 0.3334 * a
+        score = 0.5 * t + 0.5 * s if pdf["size"].sum() < 1e-8 else 0.3333 * t + 0.3333 * s + 0.3334 * a
     else:
         groups = [x[label == k] for k in range(2)]
         means = tuple(g.mean(axis=0) for g in groups)
@@ -335,7 +345,7 @@ def local_kernel(pdf: pd.DataFrame, seeds: frozenset, tries: int) -> pd.DataFram
 
 
 def cluster_local(edges: DataFrame, poi_time: int, detection: float, seeds: list[str], tries: int = 20) -> DataFrame:
-    """`clusterlocal`: the same, with the edges of each source by themselves."""
+    """`clusterlocal`: the same, with the edges of each source by themselves, one task a source."""
     x = normalised(raw_features(edges, poi_time, detection, seeds))
     x = x.withColumn("w_struct", F.when(F.col("dst").isin(seeds), 1.0).otherwise(F.col("w_struct"))).select("edge_id", "src", "dst", "etype", "event", "start_t", "end_t", "size", *FEATURES)
     schema = "edge_id long, src string, dst string, etype string, event string, start_t long, end_t long, size long, w_time double, w_amount double, w_struct double, weight double"

@@ -5,13 +5,9 @@ from __future__ import annotations
 import tempfile
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
-#: Graphs of at most this many edges are iterated in one process; larger ones by distributed rounds with equal results.
-KERNEL_EDGES = 1_000_000
-
-
 def checkpoint(df: DataFrame) -> DataFrame:
     """Cut the lineage in spark.checkpoint.dir; on a local master without that setting, in a temporary folder."""
     spark = df.sparkSession
@@ -26,27 +22,73 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def small(df: DataFrame, bound: int = KERNEL_EDGES) -> bool:
-    return df.limit(bound + 1).count() <= bound
+def iterate(state: DataFrame, step: Callable[[DataFrame], DataFrame], keys: list[str], keep: str | None = None, least: bool = False, max_rounds: int | None = None) -> DataFrame:
+    """Delta iteration: step(frontier) makes candidate rows, of which those that improve on the state are the next frontier.
 
+    keep: the column of which the state holds each key's greatest (or least) value; without it rows are keys alone. A round
+    is one job that aggregates the state and the candidates by key, so that the state stays partitioned by it, and counts
+    on the way how many rows are new.
+    """
+    of, columns = (F.min if least else F.max), [*keys, *([keep] if keep else [])]
 
-def iterate(state: DataFrame, step: Callable[[DataFrame, DataFrame], DataFrame], better: Callable[[DataFrame], DataFrame], max_rounds: int | None = None) -> DataFrame:
-    """Delta iteration: step(frontier, state) makes candidate rows, better() keeps the best row of each key.
+    def best(df: DataFrame) -> DataFrame:
+        return df.groupBy(keys).agg(of(keep).alias(keep)) if keep else df.select(*keys).distinct()
 
-    The frontier of a round is what improved in the round before.
-    """
-    state = frontier = checkpoint(state)
+    state = frontier = checkpoint(best(state.select(*columns)))
     rounds = 0
     while max_rounds is None or rounds < max_rounds:
         rounds += 1
-        fresh = checkpoint(step(frontier, state))
-        if fresh.isEmpty():
+        both = state.withColumn("_old", F.lit(True)).unionByName(step(frontier).select(*columns).withColumn("_old", F.lit(False)))
+        if keep:
+            merged = both.groupBy(keys).agg(of(keep).alias(keep), of(F.when(F.col("_old"), F.col(keep))).alias("_had"))
+            fresh = ~F.col("_had").eqNullSafe(F.col(keep))
+        else:
+            merged, fresh = both.groupBy(keys).agg(F.max("_old").alias("_had")), ~F.col("_had")
+        seen = Observation()
+        merged = checkpoint(merged.observe(seen, F.count(F.when(fresh, 1)).alias("n")))
+        state, frontier = merged.select(*columns), merged.where(fresh).select(*columns)
+        if not seen.get["n"]:
             break
-        state = checkpoint(better(state.unionByName(fresh)))
-        frontier = fresh
     return state
 
 
+def settled(state: DataFrame, step: Callable[[DataFrame], DataFrame], order: list[str]) -> DataFrame:
+    """The state that step() maps to itself, for steps whose rows depend on earlier ones only: step() until nothing changes."""
+    mark, seen = [F.count("*").alias("n"), F.sum(F.xxhash64(*order).cast("decimal(38,0)")).alias("x")], None
+    while True:
+        now = Observation()
+        state = checkpoint(state.observe(now, *mark))
+        if now.get == seen:
+            return state
+        seen, state = now.get, step(state)
+
+
+#: Spans into which the order of a running aggregate is cut.
+SPANS = 64
+
+
+def earlier(rows: DataFrame, keys: list[str], at: str, aggregates: dict[str, Column], spans: int = SPANS) -> DataFrame:
+    """rows with aggregates over the earlier rows of the same key, by column at: sums where the name begins with n_, else maxima.
+
+    The range of `at` is cut into spans: what the spans before a row's own give comes from partial aggregates, the rest
+    from a window over its own span. So a key with many rows is one task a span, not one task.
+    """
+    low, high = rows.agg(F.min(at), F.max(at)).first()
+    if low is None:
+        return rows.withColumns({n: F.lit(None).cast("long") for n in aggregates})
+    width = max(1, -(-(high - low + 1) // spans))
+    cut = rows.withColumn("_span", F.floor((F.col(at) - low) / F.lit(width)))
+    per = cut.groupBy(*keys, "_span").agg(*[a.alias(f"_{n}") for n, a in aggregates.items()])
+    before = Window.partitionBy(*keys).orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)
+    merge = {n: (F.sum if n.startswith("n_") else F.max)(f"_{n}").over(before) for n in aggregates}
+    carried = per.select(*keys, "_span", *[m.alias(f"_{n}") for n, m in merge.items()])
+    within = Window.partitionBy(*keys, "_span").orderBy(at).rangeBetween(Window.unboundedPreceding, -1)
+    own = cut.select("*", *[a.over(within).alias(f"_own_{n}") for n, a in aggregates.items()])
+    joined = own.join(carried, [*keys, "_span"])
+    total = lambda n: (F.coalesce(f"_{n}", F.lit(0)) + F.coalesce(f"_own_{n}", F.lit(0))) if n.startswith("n_") else F.greatest(f"_{n}", f"_own_{n}")
+    return joined.select(*rows.columns, *[total(n).alias(n) for n in aggregates])
+
+
 def ranked(df: DataFrame, order: list[str], name: str) -> DataFrame:
     """Row numbers from 1 in a total order: range partitions are numbered apart and shifted by the counts before them."""
     parts = checkpoint(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
@@ -55,3 +97,28 @@ def ranked(df: DataFrame, order: list[str], name: str) -> DataFrame:
     within = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
     shifted = parts.withColumn("_rank", within).join(F.broadcast(before.select("_part", F.coalesce("_before", F.lit(0)).alias("_before"))), "_part")
     return shifted.withColumn(name, F.col("_before") + F.col("_rank")).drop("_part", "_before", "_rank")
+
+
+def components(pairs: DataFrame, a: str = "src", b: str = "dst") -> DataFrame:
+    """node, component: the smallest node that undirected links reach.
+
+    Large-star and small-star steps in turn: the rounds grow with the logarithm of the diameter. A node that many links meet
+    is pre-aggregated; its join is skewed, which adaptive execution splits.
+    """
+    every = checkpoint(pairs.select(F.col(a).alias("a"), F.col(b).alias("b")).distinct())
+    e = every.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
+    mark, seen = [F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("x")], None
+    while True:
+        now = Observation()
+        e = checkpoint(e.observe(now, *mark))
+        if now.get == seen or not now.get["n"]:
+            break
+        seen = now.get
+        both = e.unionAll(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = checkpoint(both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        e = small.unionAll(low.select("u", F.col("m").alias("v"))).distinct()
+    nodes = every.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    return nodes.join(e.select(F.col("u").alias("node"), F.col("v").alias("component")), "node", "left").select("node", F.coalesce("component", "node").alias("component"))

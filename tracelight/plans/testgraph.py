@@ -1,14 +1,17 @@
 """A temporal multigraph over the star-schema tables, for queries that need a graph and have no system log at hand.
 
 lineitem joined to orders gives reads (part to order) and writes (order to part), orders give receives (customer to order).
-Nodes are strings that begin with their kind and a colon; times are microseconds.
+Nodes and times are as tracelight.graph has them.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracelight import graph
+from tracelight.plans.fixpoint import ranked
+
 #: The same graph in DuckDB's SQL.
 SQL = """edges AS MATERIALIZED (
   SELECT row_number() OVER (ORDER BY src, dst, start_t, end_t, event, size) AS edge_id, * FROM (
@@ -17,21 +20,25 @@ SQL = """edges AS MATERIALIZED (
              CASE WHEN l_linenumber % 2 = 1 THEN 'P:order#' || l_orderkey ELSE 'F:part#' || l_partkey END AS dst,
              CASE WHEN l_linenumber % 2 = 1 THEN 'FtoP' ELSE 'PtoF' END AS etype,
              CASE WHEN l_linenumber % 2 = 1 THEN 'read' ELSE 'write' END AS event,
-             least(epoch_us(o_orderdate), epoch_us(l_shipdate)) AS start_t,
-             greatest(epoch_us(o_orderdate), epoch_us(l_shipdate)) AS end_t,
+             1000 * least(epoch_us(o_orderdate), epoch_us(l_shipdate)) AS start_t,
+             1000 * greatest(epoch_us(o_orderdate), epoch_us(l_shipdate)) AS end_t,
              CAST(l_quantity AS BIGINT) AS size
       FROM lineitem JOIN orders ON l_orderkey = o_orderkey
       UNION ALL
-      SELECT 'N:cust#' || o_custkey, 'P:order#' || o_orderkey, 'NtoP', 'recv', epoch_us(o_orderdate), epoch_us(o_orderdate),
+      SELECT 'N:cust#' || o_custkey, 'P:order#' || o_orderkey, 'NtoP', 'recv', 1000 * epoch_us(o_orderdate), 1000 * epoch_us(o_orderdate),
              CAST(round(o_totalprice) AS BIGINT) FROM orders)
     GROUP BY src, dst, start_t, end_t)),
 poi AS (SELECT dst AS poi FROM edges WHERE dst LIKE 'F:%' ORDER BY end_t DESC, dst LIMIT 1)"""
 
 
+def nanos(column: str) -> Column:
+    return F.unix_micros(F.col(column).cast("timestamp")) * 1000
+
+
 def raw_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """src, dst, etype, event, start_t, end_t, size before deduplication."""
-    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey", "o_totalprice", F.unix_micros(F.col("o_orderdate").cast("timestamp")).alias("o_t"))
-    items = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_partkey", "l_linenumber", "l_quantity", F.unix_micros(F.col("l_shipdate").cast("timestamp")).alias("l_t"))
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey", "o_totalprice", nanos("o_orderdate").alias("o_t"))
+    items = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_partkey", "l_linenumber", "l_quantity", nanos("l_shipdate").alias("l_t"))
     odd = F.col("l_linenumber") % 2 == 1
     part, order = F.concat(F.lit("F:part#"), "l_partkey"), F.concat(F.lit("P:order#"), "o_orderkey")
     moved = items.join(orders, items.l_orderkey == orders.o_orderkey).select(
@@ -54,10 +61,7 @@ def deduplicated(edges: DataFrame) -> DataFrame:
 
 def numbered(edges: DataFrame) -> DataFrame:
     """edge_id 1..n over the graph's natural order, without one task sorting all rows: ranks within ranges plus offsets."""
-    order = ["src", "dst", "start_t", "end_t", "event", "size"]
-    from tracelight.plans.fixpoint import ranked
-
-    return ranked(edges, order, "edge_id")
+    return ranked(edges, ["src", "dst", "start_t", "end_t", "event", "size"], "edge_id")
 
 
 def edges(spark: SparkSession, sf_dir: str, ids: bool = False) -> DataFrame:
@@ -67,4 +71,4 @@ def edges(spark: SparkSession, sf_dir: str, ids: bool = False) -> DataFrame:
 
 def point_of_interest(edges: DataFrame) -> str:
     """The file whose last write ends latest."""
-    return edges.where(F.col("dst").startswith("F:")).orderBy(F.desc("end_t"), "dst").select("dst").first()[0]
+    return edges.where(graph.kind("dst") == "F").orderBy(F.desc("end_t"), "dst").select("dst").first()[0]

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tracelight import graph
 from tracelight.functions import audit as fn
 from tracelight.operators import slicing
 from tracelight.plans.fixpoint import checkpoint, iterate
 
+#: What a node of an audit graph has before anything is propagated; a node of a log's graph has 0.
+REPUTATION = 0.5
+
 
 def event_rows(records: DataFrame, start: int | None = None, end: int | None = None, max_events: int = 0) -> DataFrame:
     """Event records of the window (inclusive); with max_events the first so many by file and record."""
@@ -35,10 +39,9 @@ def compact(events: DataFrame) -> DataFrame:
     return out.where("source is not null and target is not null")
 
 
-def scan_rank(n_files: int, last_event_file: int) -> dict[int, int]:
+def scan_rank(file_no: Column, last_event_file: int) -> Column:
     """Objects are looked up from the last event file back to the first, then in the files after it."""
-    order = [*range(last_event_file, -1, -1), *range(last_event_file + 1, n_files)]
-    return {f: i for i, f in enumerate(order)}
+    return F.when(file_no <= last_event_file, last_event_file - file_no).otherwise(file_no)
 
 
 def fallback_paths(events: DataFrame) -> DataFrame:
@@ -76,18 +79,15 @@ def entities(records: DataFrame, events: DataFrame, wanted: DataFrame) -> DataFr
 
     A path given by an event is enough for an object; other refs take their first record in scan order.
     """
-    n = records.agg(F.max("file_no")).first()[0]
     last = events.agg(F.max("file_no")).first()[0]
-    rank = scan_rank((n or 0) + 1, last if last is not None else (n or 0))
-    order = F.element_at(F.create_map(*[F.lit(x) for kv in rank.items() for x in kv]), F.col("file_no"))
+    if last is None:
+        last = records.agg(F.max("file_no")).first()[0] or 0
+    order = scan_rank(F.col("file_no"), last)
     known = described(records)
     first = checkpoint(known.groupBy("ref").agg(*[F.min_by(c, F.struct(order, "rec_no")).alias(c) for c in ("kind", "signature", "parent")]))
     parents = first.where("parent is not null").select("ref", "parent")
 
-    def step(frontier: DataFrame, state: DataFrame) -> DataFrame:
-        return parents.join(frontier, "ref").select(F.col("parent").alias("ref")).distinct().join(state, "ref", "left_anti")
-
-    closed = iterate(wanted.select("ref").distinct(), step, lambda s: s.distinct())
+    closed = iterate(wanted.select("ref").distinct(), lambda frontier: parents.join(frontier, "ref").select(F.col("parent").alias("ref")), ["ref"])
     paths = fallback_paths(events).unionByName(wanted.where(F.col("ref").startswith("p:")).select("ref", F.expr("substring(ref, 3)").alias("signature")).distinct()).groupBy("ref").agg(F.min("signature").alias("path"))
     out = closed.join(paths, "ref", "left").join(first, "ref", "left")
     by_path = F.col("path").isNotNull() & (F.coalesce("kind", F.lit("F")) != "P")
@@ -101,10 +101,11 @@ def execute_parents(events: DataFrame, known: DataFrame) -> DataFrame:
     return runs.join(parent, "target").join(known.select(F.col("ref").alias("source")), "source", "left_semi").select("file_no", "rec_no", "source", "target", F.lit("EXECUTE_PARENT").alias("event"), "t", F.lit(0).cast("long").alias("size"))
 
 
-def edges(records: DataFrame, start: int | None = None, end: int | None = None, max_events: int = 0, poi: list[str] = ()) -> DataFrame:
-    """src, dst (signatures), etype, event, start_t, end_t, size, edge_id; with poi the union of their backward slices.
+def built(records: DataFrame, start: int | None = None, end: int | None = None, max_events: int = 0, poi: list[str] = ()) -> tuple[DataFrame, DataFrame]:
+    """The graph's nodes (node) and edges; with poi (nodes or signatures) the union of their backward slices.
 
-    Refs become signatures before slicing, so several uuids of one thing are one node.
+    Refs become nodes before slicing, so several uuids of one signature are one node, whose kind is the first ref's. Things
+    that events name but no edge touches are nodes too, without poi. If no poi is there, the graph is whole.
     """
     e = checkpoint(event_rows(records, start, end, max_events))
     moves = compact(e)
@@ -112,20 +113,27 @@ def edges(records: DataFrame, start: int | None = None, end: int | None = None,
     wanted = moves.select(F.explode(F.array("source", "target")).alias("ref")).unionAll(subjects).distinct()
     known = checkpoint(entities(records, e, wanted))
     every = moves.unionByName(execute_parents(e, known))
-    # Of refs with one signature the first one's kind holds.
     kinds = known.groupBy("signature").agg(F.min_by("kind", "ref").alias("kind"))
-    named = known.select("ref", "signature").join(kinds, "signature")
-    side = lambda c, s: named.select(F.col("ref").alias(c), F.col("signature").alias(s), F.col("kind").alias(f"{s}_kind"))
+    named = checkpoint(known.select("ref", "signature").join(kinds, "signature").select("ref", "kind", graph.node(F.col("kind"), F.col("signature")).alias("node")))
+    side = lambda c, s: named.select(F.col("ref").alias(c), F.col("node").alias(s), F.col("kind").alias(f"{s}_kind"))
     out = every.join(side("source", "src"), "source").join(side("target", "dst"), "target")
-    out = out.select("src", "dst", fn.edge_type(F.col("src_kind"), F.col("dst_kind")).alias("etype"), "event", F.col("t").alias("start_t"), F.col("t").alias("end_t"), "size", F.xxhash64("file_no", "rec_no", "event").alias("edge_id"))
+    out = out.select(F.xxhash64("file_no", "rec_no", "event").alias("edge_id"), "src", "dst", fn.edge_type(F.col("src_kind"), F.col("dst_kind")).alias("etype"), "event", F.col("t").alias("start_t"), F.col("t").alias("end_t"), "size")
+    nodes = named.select("node").distinct()
     if not poi:
-        return out
+        return nodes, out
     out, kept = checkpoint(out), None
-    present = {r[0] for r in out.select(F.explode(F.array("src", "dst")).alias("n")).where(F.col("n").isin(list(poi))).distinct().collect()}  # at most the given few
-    for p in sorted(present):
+    for p in graph.resolved(out, list(poi)):
         one = slicing.slice_edges(out, slicing.back_track(out, p))
         kept = one if kept is None else kept.unionByName(one)
-    return out if kept is None else kept.dropDuplicates(["edge_id"])
+    if kept is None:
+        return nodes, out
+    kept = checkpoint(kept.dropDuplicates(["edge_id"]))
+    return graph.nodes_of(kept), kept
+
+
+def edges(records: DataFrame, start: int | None = None, end: int | None = None, max_events: int = 0, poi: list[str] = ()) -> DataFrame:
+    """The edges of built()."""
+    return built(records, start, end, max_events, poi)[1]
 
 
 def build_summary(records: DataFrame, made: DataFrame) -> DataFrame:

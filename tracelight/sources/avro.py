@@ -148,6 +148,14 @@ def records(path: str) -> Iterator[dict]:
         yield from Decoder(io.BufferedReader(f) if path.endswith(".gz") else f)
 
 
+def event_times(path: str) -> Iterator[int]:
+    """The times of the event records of a file."""
+    for r in records(path):
+        t = (r.get("datum") or {}).get("timestampNanos") if r.get("type") == "RECORD_EVENT" else None
+        if t is not None:
+            yield t
+
+
 class _File(InputPartition):
     def __init__(self, number: int, path: str):
         self.number, self.path = number, path
