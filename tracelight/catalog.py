@@ -11,25 +11,11 @@ from tracelight.functions import audit, syscall
 from tracelight.graph import SECOND, kind, nodes_of
 from tracelight.operators import ranking, reduction, slicing, statistics, weights
 from tracelight.plans import attack, testgraph
-from tracelight.plans.fixpoint import checkpoint
+from tracelight.plans.fixpoint import checkpoint, scratch
+from tracelight.registry import QUERIES, SQL, query
 from tracelight.sources import audit_graph, snapshot, syslog
 
 DAY = 86_400 * SECOND
-G = testgraph.SQL
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-
-
-def query(name: str, sql: str | None = None, recursive: bool = False, graph: bool = True):
-    def add(f):
-        QUERIES[name] = f
-        if sql:
-            SQL[name] = ("WITH " + "RECURSIVE " * recursive + G + "\n" + sql) if graph else sql
-        return f
-
-    return add
-
-
 def graph(spark: SparkSession, d: str, ids: bool = False) -> DataFrame:
     return testgraph.edges(spark, d, ids)
 
@@ -140,7 +126,7 @@ def _(spark, d):
     return reduction.windowed_sequence(_event_edges(spark, d), DAY // 2).select("event", "src", "dst", "start_t", "end_t", "size")
 
 
-@query("c2_standard_cpr", """, o AS (SELECT *, lag(edge_id) OVER (PARTITION BY event, src, dst ORDER BY start_t, end_t, edge_id) AS p FROM edges),
+CPR = """, o AS (SELECT *, lag(edge_id) OVER (PARTITION BY event, src, dst ORDER BY start_t, end_t, edge_id) AS p FROM edges),
 g AS (SELECT o.*, q.start_t AS ps, q.end_t AS pe, row_number() OVER (PARTITION BY o.event, o.src, o.dst ORDER BY o.start_t, o.end_t, o.edge_id) AS n FROM o LEFT JOIN edges q ON q.edge_id = o.p),
 k AS (SELECT g.*, pe < end_t AND EXISTS (SELECT 1 FROM edges x WHERE x.dst = g.src AND ((x.start_t < g.end_t AND x.end_t >= g.end_t) OR (x.end_t < g.end_t AND x.end_t > g.pe))) AS back FROM g),
 r(event, src, dst, n, run, rs, size, end_t) AS (
@@ -149,7 +135,10 @@ r(event, src, dst, n, run, rs, size, end_t) AS (
  SELECT k.event, k.src, k.dst, k.n, CASE WHEN x.brk THEN k.edge_id ELSE r.run END, CASE WHEN x.brk THEN k.start_t ELSE r.rs END, k.size, k.end_t
  FROM r JOIN k ON k.event = r.event AND k.src = r.src AND k.dst = r.dst AND k.n = r.n + 1,
  LATERAL (SELECT k.back OR (r.rs < k.start_t AND EXISTS (SELECT 1 FROM edges x WHERE x.src = k.dst AND ((x.start_t < k.start_t AND x.end_t >= k.start_t) OR (x.end_t < k.start_t AND x.end_t > r.rs)))) AS brk) x)
-SELECT event, src, dst, min(rs) AS start_t, arg_max(end_t, n) AS end_t, CAST(sum(size) AS BIGINT) AS size FROM r GROUP BY event, src, dst, run""", recursive=True)
+SELECT event, src, dst, min(rs) AS start_t, arg_max(end_t, n) AS end_t, CAST(sum(size) AS BIGINT) AS size FROM r GROUP BY event, src, dst, run"""
+
+
+@query("c2_standard_cpr", CPR, recursive=True)
 def _(spark, d):
     return reduction.standard_cpr(checkpoint(graph(spark, d))).select("event", "src", "dst", "start_t", "end_t", "size")
 
@@ -171,6 +160,29 @@ for _mode in ("fd", "sd"):
         return reduction.reduced(checkpoint(graph(spark, d, ids=True)), mode)
 
 
+# The events as a graph: a hundred users that touch a few things again and again, so that reductions merge thousands of edges.
+
+MERGED = "SELECT src, dst, {event} AS event, min(start_t) AS start_t, arg_max(end_t, (start_t, end_t, edge_id)) AS end_t, CAST(sum(size) AS BIGINT) AS size FROM ev GROUP BY ALL"
+
+
+@query("c2_event_cpr", f"WITH RECURSIVE {EV}, edges AS (SELECT * FROM ev)" + CPR, graph=False)
+def _(spark, d):
+    return reduction.standard_cpr(checkpoint(_event_edges(spark, d))).select("event", "src", "dst", "start_t", "end_t", "size")
+
+
+@query("c3_event_merge", f"WITH {EV} " + MERGED.format(event="'NullAfterMerge'"), graph=False)
+def _(spark, d):
+    return reduction.full_merge(_event_edges(spark, d)).select("src", "dst", "event", "start_t", "end_t", "size")
+
+
+# Nothing enters a user, so what it has told once it never tells anew: one edge of each pair is left.
+for _mode in ("fd", "sd"):
+
+    @query(f"c{5 if _mode == 'fd' else 6}_event_{_mode}", f"WITH {EV} " + MERGED.format(event="event"), graph=False)
+    def _(spark, d, mode=_mode):
+        return reduction.reduced(checkpoint(_event_edges(spark, d)), mode).select("src", "dst", "event", "start_t", "end_t", "size")
+
+
 # --- slices ----------------------------------------------------------------------------------
 
 BACK = """, bt(node, thr) AS (SELECT poi, (SELECT max(end_t) FROM edges, poi WHERE dst = poi) FROM poi
@@ -352,6 +364,32 @@ def _(spark, d):
     return e.join(weights.fanout(e), "edge_id").select("src", "dst", "start_t", "end_t", _r("fanout", places=9))
 
 
+SHARES = FEATURES + " SELECT src, CAST(count(*) AS BIGINT) AS n, CAST({} AS DOUBLE) AS share FROM f GROUP BY src"
+
+
+def _shares(w: DataFrame) -> DataFrame:
+    """What holds of every drawn or clustered weighting: each source gives away the same share of itself."""
+    return w.groupBy("src").agg(F.count("*").alias("n"), _r(F.sum("weight"), "share"))
+
+
+def _by_mode(spark, d, mode):
+    e, poi = _poi(spark, d)
+    return weights.weighted(e, mode, statistics.poi_time(e).first()[0], float(statistics.detection_size(e, poi).first()[0]), [poi])
+
+
+for _name, _mode, _total in (("w7_random_shares", "nonmlrandom", 0.99), ("w8_clustered_shares", "clusterall", 0.99), ("w9_nonoutlier_shares", "nonoutlier", 0.99), ("w16_localtime_shares", "localtime", 1.0), ("w18_zero_shares", "read_only", 0.0)):
+
+    @query(_name, SHARES.format(_total))
+    def _(spark, d, mode=_mode):
+        return _shares(_by_mode(spark, d, mode))
+
+
+# A lone edge takes all of its source, 0.99 of it.
+@query("w10_local_shares", SHARES.format("0.99"))
+def _(spark, d):
+    return _shares(_by_mode(spark, d, "clusterlocal"))
+
+
 for _name, _mode in (("w7_nonmlrandom", "nonmlrandom"), ("w8_clusterall", "clusterall"), ("w9_nonoutlier", "nonoutlier"), ("w10_clusterlocal", "clusterlocal"), ("w16_localtime", "localtime")):
 
     @query(_name)
@@ -440,6 +478,11 @@ def _(spark, d):
     return ranking.random_starts(nodes_of(graph(spark, d)), 3)
 
 
+@query("p7_starts_of_each_kind", ", nodes AS (SELECT src AS node FROM edges UNION SELECT dst FROM edges) SELECT substr(node, 1, 1) AS kind, least(count(*), 3) AS n FROM nodes GROUP BY 1")
+def _(spark, d):
+    return ranking.random_starts(nodes_of(graph(spark, d)), 3).groupBy(kind("node").alias("kind")).agg(F.count("*").alias("n"))
+
+
 @query("p8_edges_of_poi", FEATURES + NONML + " SELECT 'in' AS side, src, dst, start_t, end_t, round(weight, 6) AS weight FROM w WHERE dst = poi UNION ALL SELECT 'out', src, dst, start_t, end_t, round(weight, 6) FROM w WHERE src = poi")
 def _(spark, d):
     w, poi = _weighted(spark, d)
@@ -517,9 +560,56 @@ def _(spark, d):
     return snapshot.dot_lines(w, rep, poi)
 
 
+@query("out1_dot_initial", START + """ SELECT 0 AS part, '"' || node || '" [ shape=' || CASE substr(node, 1, 1) WHEN 'P' THEN 'box' WHEN 'N' THEN 'parallelogram' ELSE 'ellipse' END || ' label="' || node || ' [' || printf('%.4f', rep) || ']"' || CASE WHEN node = poi THEN ' style="filled" fillcolor="red"' WHEN node = 'N:cust#1' THEN ' style="filled" fillcolor="yellow"' ELSE '' END || ' ];' AS line FROM p0, poi
+UNION ALL SELECT 1, '"' || src || '" -> "' || dst || '" [ label="' || event || '" ];' FROM edges""")
+def _(spark, d):
+    e, poi = _poi(spark, d)
+    return snapshot.dot_lines(e, ranking.initial_reputation(e, [poi], []), poi, ["N:cust#1"])
+
+
+@query("out1_dot_amount_time", ", t AS (SELECT *, rtrim(rtrim(printf('%d.%09d', start_t // 1000000000, start_t % 1000000000), '0'), '.') AS s, rtrim(rtrim(printf('%d.%09d', end_t // 1000000000, end_t % 1000000000), '0'), '.') AS e FROM edges) SELECT '\"' || src || '\" -> \"' || dst || '\" [ label=\"' || size || ' ' || s || ' ' || e || '\" ];' AS line FROM t")
+def _(spark, d):
+    e, poi = _poi(spark, d)
+    return snapshot.dot_lines(e, ranking.initial_reputation(e, [poi], []), poi, labels="amount_time").where("part = 1").select("line")
+
+
+@query("out6_text_dumps", START + " SELECT node || ' ' || printf('%.6f', rep) AS line FROM p0")
+def _(spark, d):
+    e, poi = _poi(spark, d)
+    return snapshot.text_dumps(e.withColumn("weight", F.lit(0.0)), ranking.initial_reputation(e, [poi], []))["reputations"].select("line")
+
+
+@query("src8_out4_snapshot", ", sl AS (SELECT * FROM edges, poi WHERE dst = poi OR src = poi) SELECT src, dst, etype, event, start_t, end_t, size, poi FROM sl")
+def _(spark, d):
+    """The edges at the point of interest, written as a snapshot and read again."""
+    e, poi = _poi(spark, d)
+    path = f"{scratch(spark)}.json"
+    snapshot.write_graph(path, poi, ["N:cust#1"], e.where((F.col("src") == poi) | (F.col("dst") == poi)), ranking.initial_reputation(e, [poi], []))
+    found, _, told, _ = snapshot.load_graph(spark, path)
+    return found.select("src", "dst", "etype", "event", "start_t", "end_t", "size", F.lit(told).alias("poi"))
+
+
+@query("case_metrics", BACK + f""", b AS (SELECT *, CASE WHEN start_t - lag(end_t) OVER w > {10 * SECOND} THEN 1 ELSE 0 END AS brk FROM sl WINDOW w AS (PARTITION BY event, src, dst ORDER BY start_t, end_t)),
+r AS (SELECT *, sum(brk) OVER (PARTITION BY event, src, dst ORDER BY start_t, end_t) AS run FROM b), less AS (SELECT DISTINCT event, src, dst, run FROM r), n AS (SELECT src AS node FROM sl UNION SELECT dst FROM sl),
+cand AS (SELECT node FROM n, poi WHERE node <> poi AND (node LIKE 'N:%' OR (node LIKE 'P:%' AND node NOT IN (SELECT dst FROM sl WHERE src LIKE 'N:%' OR src LIKE 'P:%')) OR (node LIKE 'F:%' AND node NOT IN (SELECT dst FROM sl))))
+SELECT 'BackTrackVertexNumber' AS metric, count(*) AS value FROM n UNION ALL SELECT 'BackTrackEdgeNumber', count(*) FROM sl UNION ALL SELECT 'CPRVertexNumber', count(*) FROM n UNION ALL SELECT 'CPREdgeNumber', count(*) FROM less
+UNION ALL SELECT 'EntryPointsNumber', count(*) FROM cand""", recursive=True)
+def _(spark, d):
+    e, poi = _poi(spark, d)
+    r = attack.investigate(e, attack.Case(poi), weight_mode="nonml")
+    return r.metrics(r.reduced).where(~F.col("metric").startswith("Complete"))
+
+
 # --- set operations --------------------------------------------------------------------------
 
 
+@query("set_subsets", ", t AS (SELECT DISTINCT src, dst FROM edges WHERE src LIKE 'N:%'), a AS (SELECT src, list_sort(list(dst)) AS told FROM t GROUP BY src), b AS (SELECT src, list_sort(list(DISTINCT dst)) AS told FROM edges GROUP BY src) SELECT a.src, list_has_all(b.told, a.told) AS covered FROM a JOIN b USING (src)")
+def _(spark, d):
+    e = checkpoint(graph(spark, d))
+    told = lambda df, n: df.groupBy("src").agg(F.collect_set("dst").alias(n))
+    return told(e.where(kind("src") == "N"), "a").join(told(e, "b"), "src").select("src", (F.size(F.array_except("a", "b")) == 0).alias("covered"))
+
+
 @query("set_operations", "SELECT 'both' AS what, count(*) AS n FROM (SELECT src FROM edges INTERSECT SELECT dst FROM edges) UNION ALL SELECT 'sources_only', count(*) FROM (SELECT src FROM edges EXCEPT SELECT dst FROM edges) UNION ALL SELECT 'any', count(*) FROM (SELECT src FROM edges UNION SELECT dst FROM edges)")
 def _(spark, d):
     e = checkpoint(graph(spark, d))
@@ -604,12 +694,15 @@ def _audit_records(spark, d):
 
 
 @query("cdm_edges", """WITH o AS (SELECT o_custkey || '@' || lpad(CAST(o_custkey AS VARCHAR), 8, '0') || 'shell' AS p, '/p/' || o_orderpriority AS f, * FROM orders)
-SELECT CASE WHEN o_orderkey % 2 = 0 THEN p ELSE f END AS src, CASE WHEN o_orderkey % 2 = 0 THEN f ELSE p END AS dst, CASE WHEN o_orderkey % 2 = 0 THEN 'PtoF' ELSE 'FtoP' END AS etype,
+SELECT CASE WHEN o_orderkey % 2 = 0 THEN 'P:' || p ELSE 'F:' || f END AS src, CASE WHEN o_orderkey % 2 = 0 THEN 'F:' || f ELSE 'P:' || p END AS dst, CASE WHEN o_orderkey % 2 = 0 THEN 'PtoF' ELSE 'FtoP' END AS etype,
  CASE WHEN o_orderkey % 2 = 0 THEN 'WRITE' ELSE 'READ' END AS event, epoch_us(o_orderdate) * 1000 AS start_t, epoch_us(o_orderdate) * 1000 AS end_t, o_orderkey AS size FROM o""", graph=False)
 def _(spark, d):
     return audit_graph.edges(checkpoint(_audit_records(spark, d))).select("src", "dst", "etype", "event", "start_t", "end_t", "size")
 
 
+from tracelight import catalog_sources  # noqa: E402, F401  registers its queries after those above
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 

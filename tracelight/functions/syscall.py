@@ -13,9 +13,8 @@ def result_size(args: Column) -> Column:
 
 
 def unwrapped(path: Column) -> Column:
-    """`a(b)` stands for b; a closing bracket at the end goes."""
-    inner = F.regexp_extract(path, r"\(([^()]*)\)?$", 1)
-    return F.when(inner != "", inner).otherwise(F.regexp_replace(path, r"\)$", ""))
+    """`a(b)` stands for b: what follows the first bracket, without the last character."""
+    return F.when(path.contains("("), F.regexp_extract(path, r"^[^(]*\((.*).$", 1)).otherwise(path)
 
 
 def descriptor(args: Column) -> Column:
@@ -25,7 +24,7 @@ def descriptor(args: Column) -> Column:
 
 def file_of(token: Column) -> Column:
     """The path of a file descriptor, else null."""
-    path = F.regexp_extract(token, r"^<f>(.+)$", 1)
+    path = F.regexp_replace(F.regexp_extract(token, r"^<f>(.+)$", 1), r"\)$", "")
     return F.when(path != "", unwrapped(path))
 
 

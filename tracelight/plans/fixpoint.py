@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Observation, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage in spark.checkpoint.dir; on a local master without that setting, in a temporary folder."""
-    spark = df.sparkSession
+def _folder(spark: SparkSession) -> str:
+    """The folder that the cluster names in spark.checkpoint.dir; on a local master without one, a temporary folder."""
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
         folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -19,9 +19,20 @@ def checkpoint(df: DataFrame) -> DataFrame:
                 raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             folder = tempfile.mkdtemp(prefix="checkpoints-")
         sc.setCheckpointDir(folder)
+    return sc.getCheckpointDir()
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Cut the lineage in the folder that all executors share."""
+    _folder(df.sparkSession)
     return df.checkpoint()
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new path in that folder, without the scheme of a local one."""
+    return f"{_folder(spark).removeprefix('file:')}-{uuid.uuid4().hex}"
+
+
 def iterate(state: DataFrame, step: Callable[[DataFrame], DataFrame], keys: list[str], keep: str | None = None, least: bool = False, max_rounds: int | None = None) -> DataFrame:
     """Delta iteration: step(frontier) makes candidate rows, of which those that improve on the state are the next frontier.
 
