@@ -72,10 +72,10 @@ def _(spark, d):
     return _orders(spark, d).select("k", audit.uuid_text(raw).alias("uuid"), audit.uuid8(audit.uuid_text(raw)).alias("short"), first.alias("first"), props["path"].alias("path"))
 
 
-@query("fn11_labels", f"""WITH {O} SELECT k, 'f' || c AS base, 'sh' || c AS token, 'memory://0x' || printf('%x', k) AS memory, CASE WHEN k % 2 = 0 THEN 'registry://HK' || c ELSE 'registry://u' || k END AS object FROM o""", graph=False)
+@query("fn11_labels", f"""WITH {O} SELECT k, 'f' || c AS base, 'sh' || c AS token, '0x' || printf('%x', k) AS memory, CASE WHEN k % 2 = 0 THEN 'registry://HK' || c ELSE 'registry://u' || k END AS object FROM o""", graph=False)
 def _(spark, d):
     return _orders(spark, d).select(
-        "k", audit.base_name(F.when(F.col("k") % 2 == 0, text("/a/b/f", "c")).otherwise(text("C:\\\\x\\f", "c"))).alias("base"), audit.first_command_token(text("  sh", "c", "  -x y")).alias("token"), audit.memory_label(F.col("k")).alias("memory"),
+        "k", audit.base_name(F.when(F.col("k") % 2 == 0, text("/a/b/f", "c")).otherwise(text("C:\\\\x\\f", "c"))).alias("base"), audit.first_command_token(F.when(F.col("k") % 2 == 0, text("  /usr/sh", "c", "  -x y")).otherwise(text('"C:\\p q\\sh', "c", '" -x'))).alias("token"), audit.memory_label(F.col("k")).alias("memory"),
         audit.object_label("registry", F.when(F.col("k") % 2 == 0, text("HK", "c")).otherwise(F.lit(" ")), text("u", "k")).alias("object"),
     )
 
@@ -247,15 +247,15 @@ def _records(df: DataFrame, file_no: int, kind: str | Column, uuid: Column, **ha
 @query("cdm6_node_kinds", """WITH q AS (SELECT DISTINCT p_partkey AS k FROM part), h AS (SELECT *, printf('00000000-0000-0000-0000-%012d', k) AS u, right(printf('%012d', k), 8) AS s FROM q)
 SELECT k, CASE k % 9 WHEN 0 THEN 'P' WHEN 2 THEN 'N' WHEN 4 THEN 'N' WHEN 5 THEN 'N' ELSE 'F' END AS kind,
  CASE k % 9 WHEN 0 THEN k || '@' || s || CASE k % 3 WHEN 0 THEN 'sh' || k ELSE '' END WHEN 1 THEN '/f/' || k WHEN 2 THEN CASE WHEN k % 2 = 0 THEN '10.0.0.1:' || k ELSE '0.0.0.0:0' END || '->10.0.0.2:80'
-  WHEN 3 THEN 'ipc:///i/' || k WHEN 4 THEN 'unix:0->/i/' || k || ':0' WHEN 5 THEN 'unix:0->' || u || ':0' WHEN 6 THEN 'registry://HK' || k WHEN 7 THEN 'memory://0x' || printf('%x', k) ELSE 'srcsink://' || u END AS signature FROM h""", graph=False)
+  WHEN 3 THEN 'ipc://i' || k WHEN 4 THEN 'unix:0->/i/' || k || ':0' WHEN 5 THEN 'unix:0->socket-' || s || ':0' WHEN 6 THEN 'registry://HK' || k WHEN 7 THEN CASE WHEN k % 2 = 0 THEN 'mem://0x' || printf('%x', k) ELSE 'mem://' || u END ELSE 'srcsink://srcsink-' || s END AS signature FROM h""", graph=False)
 def _(spark, d):
     k = F.col("k")
     q = spark.read.parquet(f"{d}/part.parquet").select(F.col("p_partkey").alias("k")).distinct().withColumn("rec_no", k)
     pick = lambda *v: F.get(F.array(*[x if isinstance(x, Column) else F.lit(x) for x in v]), (k % 9).cast("int"))
     kind = pick(*[f"RECORD_{x}" for x in ("SUBJECT", "FILE_OBJECT", "NET_FLOW_OBJECT", "IPC_OBJECT", "IPC_OBJECT", "PACKET_SOCKET_OBJECT", "REGISTRY_KEY_OBJECT", "MEMORY_OBJECT", "SRC_SINK_OBJECT")])
     net = (k % 9 == 2) & (k % 2 == 0)
-    props = F.when(k % 9 == 1, F.create_map(F.lit("filename"), F.concat(F.lit("/f/"), k))).when(k % 9 == 3, F.create_map(F.lit("path"), F.concat(F.lit("/i/"), k))).when(k % 9 == 4, F.create_map(F.lit("path"), F.concat(F.lit("/i/"), k)))
-    records = _records(q, 0, kind, UUID(k), subtype=pick("", "", "", "IPC_PIPE", "IPC_SOCKET", F.lit(None).cast("string"), "", "", ""), cid=k, cmd=F.concat(F.lit("sh"), k, F.lit(" -x")), local_address=F.when(net, "10.0.0.1"), local_port=F.when(net, k), remote_address=F.lit("10.0.0.2"), remote_port=F.lit(80), reg_key=F.concat(F.lit("HK"), k), memory_address=k, properties=props)
+    props = F.when(k % 9 == 1, F.create_map(F.lit("filename"), F.concat(F.lit("/f/"), k))).when(k % 9 == 3, F.create_map(F.lit("name"), F.concat(F.lit("i"), k))).when(k % 9 == 4, F.create_map(F.lit("path"), F.concat(F.lit("/i/"), k)))
+    records = _records(q, 0, kind, UUID(k), subtype=pick("", "", "", "IPC_PIPE", "IPC_SOCKET", F.lit(None).cast("string"), "", "", ""), cid=k, cmd=F.concat(F.lit("sh"), k, F.lit(" -x")), local_address=F.when(net, "10.0.0.1"), local_port=F.when(net, k), remote_address=F.lit("10.0.0.2"), remote_port=F.lit(80), reg_key=F.concat(F.lit("HK"), k), memory_address=F.when(k % 2 == 0, k), properties=props)
     return audit_graph.described(records).select(F.substring("ref", -12, 12).cast("long").alias("k"), "kind", "signature")
 
 

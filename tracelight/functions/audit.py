@@ -45,16 +45,23 @@ def first_non_blank(*columns: Column) -> Column:
 
 
 def base_name(path: Column) -> Column:
-    return F.element_at(F.split(F.translate(path, "\\", "/"), "/"), -1)
+    """What follows the last slash or backslash; the whole path if nothing does; null for a blank one."""
+    whole = F.translate(F.trim(path), "\\", "/")
+    last = F.element_at(F.split(whole, "/"), -1)
+    return F.when(whole != "", F.when(last != "", last).otherwise(whole))
 
 
 def first_command_token(command: Column) -> Column:
-    return F.element_at(F.split(F.trim(command), r"\s+"), 1)
+    """The base name of a command line's first word, or of what stands in quotes at its beginning."""
+    line = F.trim(command)
+    quoted = F.regexp_extract(line, r'^"([^"]+)"', 1)
+    return base_name(F.when(quoted != "", quoted).otherwise(F.split(line, " ")[0]))
 
 
 def memory_label(address: Column) -> Column:
-    return F.concat(F.lit("memory://0x"), F.lower(F.hex(address)))
+    return F.concat(F.lit("0x"), F.lower(F.hex(address)))
 
 
-def object_label(prefix: str, label: Column, uuid: Column) -> Column:
-    return F.concat(F.lit(prefix + "://"), first_non_blank(label, uuid))
+def object_label(prefix: str, *labels: Column) -> Column:
+    """The first label that is not blank, behind the prefix of its kind."""
+    return F.concat(F.lit(prefix + "://"), first_non_blank(*labels))

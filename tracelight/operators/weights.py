@@ -329,7 +329,7 @@ def individual(edges: DataFrame, poi_time: int, detection: float, seeds: list[st
 def local_kernel(pdf: pd.DataFrame, seeds: frozenset, tries: int) -> pd.DataFrame:
     x = pdf[list(FEATURES)].fillna(0.0).to_numpy()
     if len(pdf) == 1:
-        return pdf.assign(weight=1.0)
+        return pdf.assign(weight=0.99)  # all of its source's share
     label = two_means(x, pdf["edge_id"].to_numpy(), tries)
     if len(np.unique(label)) < 2:
         t, a, s = x.T

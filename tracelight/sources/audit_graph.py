@@ -53,23 +53,24 @@ def fallback_paths(events: DataFrame) -> DataFrame:
 def described(records: DataFrame) -> DataFrame:
     """ref, kind, signature, parent of each object record, by its type."""
     u8, props = fn.uuid8(F.col("uuid")), F.col("properties")
-    path, name = props["path"], props["filename"]
+    path, file, name, uuid = props["path"], props["filename"], props["name"], F.col("uuid")
+    made = lambda prefix: F.concat(F.lit(prefix + "-"), u8)
     process = F.concat(F.coalesce(F.col("cid"), F.lit(0)).cast("string"), F.lit("@"), u8, fn.first_non_blank(fn.base_name(path), fn.first_command_token(F.col("cmd")), F.concat(F.lit("subject-"), u8)))
     four = F.concat(fn.first_non_blank(F.col("local_address"), F.lit("0.0.0.0")), F.lit(":"), F.coalesce("local_port", F.lit(0)).cast("string"), F.lit("->"), fn.first_non_blank(F.col("remote_address"), F.lit("0.0.0.0")), F.lit(":"), F.coalesce("remote_port", F.lit(0)).cast("string"))
-    label = fn.first_non_blank(path, name, F.col("uuid"))
-    local = F.concat(F.lit("unix:0->"), label, F.lit(":0"))
     t = F.col("type")
-    ipc_net = t.isin("RECORD_IPC_OBJECT", "RECORD_PACKET_SOCKET_OBJECT") & (F.coalesce(F.col("subtype"), t).contains("SOCKET"))
+    ipc_net = (t == "RECORD_PACKET_SOCKET_OBJECT") | ((t == "RECORD_IPC_OBJECT") & F.upper(F.coalesce("subtype", F.lit(""))).contains("SOCKET"))
+    default = F.when(t == "RECORD_IPC_OBJECT", made("ipc-socket")).otherwise(made("socket"))
+    local = F.concat(F.lit("unix:0->"), fn.first_non_blank(path, file, name, default), F.lit(":0"))
     kind = F.when(t == "RECORD_SUBJECT", "P").when((t == "RECORD_NET_FLOW_OBJECT") | ipc_net, "N").otherwise("F")
     signature = (
         F.when(t == "RECORD_SUBJECT", process)
-        .when(t == "RECORD_FILE_OBJECT", fn.first_non_blank(name, path, F.concat(F.lit("file://"), "uuid")))
+        .when(t == "RECORD_FILE_OBJECT", fn.first_non_blank(file, path, F.concat(F.lit("file://"), "uuid")))
         .when(t == "RECORD_NET_FLOW_OBJECT", four)
         .when(ipc_net, local)
-        .when(t.isin("RECORD_IPC_OBJECT", "RECORD_PACKET_SOCKET_OBJECT"), F.concat(F.lit("ipc://"), label))
-        .when(t == "RECORD_REGISTRY_KEY_OBJECT", fn.object_label("registry", F.col("reg_key"), F.col("uuid")))
-        .when(t == "RECORD_MEMORY_OBJECT", F.coalesce(fn.memory_label(F.col("memory_address")), F.concat(F.lit("memory://"), "uuid")))
-        .when(t == "RECORD_SRC_SINK_OBJECT", fn.object_label("srcsink", path, F.col("uuid")))
+        .when(t == "RECORD_IPC_OBJECT", fn.object_label("ipc", name, file, made("ipc")))
+        .when(t == "RECORD_REGISTRY_KEY_OBJECT", fn.object_label("registry", F.col("reg_key"), name, path, uuid))
+        .when(t == "RECORD_MEMORY_OBJECT", fn.object_label("mem", fn.memory_label(F.col("memory_address")), name, path, uuid))
+        .when(t == "RECORD_SRC_SINK_OBJECT", fn.object_label("srcsink", name, file, made("srcsink")))
     )
     return records.where("type <> 'RECORD_EVENT'").select(F.concat(F.lit("u:"), "uuid").alias("ref"), kind.alias("kind"), signature.alias("signature"), F.when(F.col("parent").isNotNull(), F.concat(F.lit("u:"), "parent")).alias("parent"), "file_no", "rec_no").where("signature is not null and ref is not null")
 
