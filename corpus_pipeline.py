@@ -1,5 +1,12 @@
 """A corpus pipeline of five stages. Each takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and
-read again as the next one's docs; all but the last return the columns of documents."""
+read again as the next one's docs; all but the last return the columns of documents.
+
+Defined results, beside those that each operator's docstring gives. Null or empty texts pass every filter (nothing speaks
+against them), are no near-duplicates of anything and have no tokens. Null doc_ids pass and are drawn like others. Repeated
+rows of one doc_id and text are judged alike; near-dedup keeps one of them, mixing may draw it again. Very long texts are
+whole in every stage. Ties in a draw stay together. Further columns of documents pass through all stages but the last under
+any name. Empty tables give empty results, and a table of labels without rows rejects nothing.
+"""
 
 from __future__ import annotations
 
@@ -12,28 +19,28 @@ from tracelight.llm.kit import stored, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the importance resampling rejects go."""
+    """Documents that the importance resampling rejects go; the others keep their row as it is."""
     return resample.accepted(docs, table(spark, sf_dir, "labels"))
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A source's boilerplate lines go from its texts, from two pages on; n_chars follows."""
+    """A source's boilerplate lines go from its texts, from two pages on; n_chars follows, but where the text is null."""
     out = line_dedup.without_boilerplate(docs, least_pages=2)
     return out.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.char_length("text").cast("long")))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays."""
+    """One document of each group of near-duplicates stays, that with the smallest doc_id; documents without words all do."""
     return bag_minhash.deduplicated(docs)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources are brought to even weights; a document stands as often as it was drawn."""
+    """Sources are brought to even weights; a document stands as often as it was drawn, a null source is one source."""
     return poisson_mix.mixed(docs)
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each text, with digests of the ids and of the decoded bytes."""
+    """doc_id and token ids of each text, with digests of the ids and of the decoded bytes; one row a row."""
     return tree_bpe.encode_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, ids=True)
 
 
