@@ -85,11 +85,17 @@ with v as (
 select query_id, rank, vec_id, score from r where rank <= 10
 """
 
+#: Target weights of sources in the registered mixture; other sources weigh 1.
+WEIGHTS = {"src0": 4.0, "src1": 2.5, "src2": 0.25, "src3": 0.0}
+_WEIGHT = "case source " + " ".join(f"when '{k}' then {v}::double" for k, v in WEIGHTS.items()) + " else 1.0::double end"
+
 OP9 = f"""
-with recursive total as (
-  select count(*)::double as n, (select count(*) from (select distinct source from documents))::double as sources from documents
+with recursive weighed as (
+  select source, any_value({_WEIGHT}) as w, count(*) as n from documents group by source
+), total as (
+  select sum(n)::double as n, sum(w) as w from weighed
 ), per as (
-  select source, 1.0::double * (any_value(total.n) / any_value(total.sources)) / count(*) as whole from documents, total group by source
+  select source, weighed.w * (total.n / total.w) / weighed.n as whole from weighed, total
 ), part as (
   select source, greatest(1, ceil(whole / {PART}))::integer as parts, whole / parts as rate from per
 ), steps as (

@@ -47,7 +47,7 @@ def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return poisson_mix.mixed(table(spark, sf_dir, "documents"), numbered=True)
+    return poisson_mix.mixed(table(spark, sf_dir, "documents"), oracles.WEIGHTS, numbered=True)
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
