@@ -343,7 +343,7 @@ def _(spark, d):
     return weights.normalised(_features(spark, d)[0]).select("src", "dst", "start_t", "end_t", *[_r(F.col(c) + SHIFT, c) for c in weights.FEATURES])
 
 
-@query("w5_standardised", FEATURES + f", m AS (SELECT avg(w_time) AS m1, stddev_samp(w_time) AS s1, avg(w_amount) AS m2, stddev_samp(w_amount) AS s2, avg(w_struct) AS m3, stddev_samp(w_struct) AS s3 FROM f) SELECT {KEY}, round((w_time - m1) / s1, 5) AS w_time, round((w_amount - m2) / s2, 5) AS w_amount, round((w_struct - m3) / s3, 5) AS w_struct FROM f, m")
+@query("w5_standardised", FEATURES + f", m AS MATERIALIZED (SELECT avg(w_time) AS m1, stddev_samp(w_time) AS s1, avg(w_amount) AS m2, stddev_samp(w_amount) AS s2, avg(w_struct) AS m3, stddev_samp(w_struct) AS s3 FROM f) SELECT {KEY}, round((w_time - m1) / s1, 5) AS w_time, round((w_amount - m2) / s2, 5) AS w_amount, round((w_struct - m3) / s3, 5) AS w_struct FROM f, m")
 def _(spark, d):
     return weights.standardised(checkpoint(_features(spark, d)[0])).select("src", "dst", "start_t", "end_t", *[_r(c, places=5) for c in weights.FEATURES])
 
@@ -489,12 +489,12 @@ def _(spark, d):
     return ranking.edges_of(w, poi).select("side", "src", "dst", "start_t", "end_t", _r("weight"))
 
 
-@query("p9_without_light_edges", FEATURES + NONML + f" SELECT {KEY} FROM w WHERE weight >= (SELECT avg(weight) FROM w) / 100")
+@query("p9_without_light_edges", FEATURES + NONML + f", mean AS MATERIALIZED (SELECT avg(weight) AS mean FROM w) SELECT {KEY} FROM w, mean WHERE weight >= mean / 100")
 def _(spark, d):
     return ranking.without_light_edges(_weighted(spark, d)[0]).select("src", "dst", "start_t", "end_t")
 
 
-@query("p9_without_unreputed", PROPAGATED + f", live AS (SELECT node FROM p{ROUNDS} WHERE round(rep, 6) <> 0) SELECT {KEY} FROM w WHERE src IN (SELECT node FROM live) AND dst IN (SELECT node FROM live)")
+@query("p9_without_unreputed", PROPAGATED + f", live AS MATERIALIZED (SELECT node FROM p{ROUNDS} WHERE round(rep, 6) <> 0) SELECT {KEY} FROM w WHERE src IN (SELECT node FROM live) AND dst IN (SELECT node FROM live)")
 def _(spark, d):
     w, _, rep = _propagated(spark, d)
     return ranking.without_unreputed(w, rep).select("src", "dst", "start_t", "end_t")
