@@ -4,6 +4,8 @@ import gzip
 import io
 import json
 import os
+import struct
+import zlib
 
 import pytest
 from pyspark.sql import functions as F
@@ -68,7 +70,7 @@ AVRO = record(
         record("Event", uuid="UUID", type={"type": "enum", "name": "EventType", "symbols": ["EVENT_WRITE", "EVENT_READ", "EVENT_EXECUTE"]}, subject=["null", "UUID"], predicateObject=["null", "UUID"], predicateObjectPath=S, predicateObject2=["null", "UUID"], predicateObject2Path=S, timestampNanos="long", size=L),
     ],
     type={"type": "enum", "name": "RecordType", "symbols": ["RECORD_SUBJECT", "RECORD_FILE_OBJECT", "RECORD_EVENT"]},
-)
+) | {"namespace": avro.RECORD.rsplit(".", 1)[0]}
 
 
 class Encoder:
@@ -125,12 +127,17 @@ def learn(e, s):
             learn(e, f["type"])
 
 
-def write_avro(path, rows):
+def write_avro(path, rows, block=10**9, codec="null", schema=AVRO):
     e, sync = Encoder(), b"s" * 16
-    learn(e, AVRO)
-    body = b"".join(e.put(AVRO, r) for r in rows)
-    meta = e.long(1) + e.text("avro.schema") + e.text(json.dumps(AVRO)) + e.long(0)
-    out = b"Obj\x01" + meta + sync + e.long(len(rows)) + e.long(len(body)) + body + sync
+    learn(e, schema)
+    meta = e.long(2) + e.text("avro.schema") + e.text(json.dumps(schema)) + e.text("avro.codec") + e.text(codec) + e.long(0)
+    out = b"Obj\x01" + meta + sync
+    for i in range(0, len(rows), block):
+        body = b"".join(e.put(schema, r) for r in rows[i : i + block])
+        if codec == "deflate":
+            z = zlib.compressobj(wbits=-15)
+            body = z.compress(body) + z.flush()
+        out += e.long(len(rows[i : i + block])) + e.long(len(body)) + body + sync
     with open(path, "wb") as f:
         f.write(gzip.compress(out) if str(path).endswith(".gz") else out)
 
@@ -204,9 +211,37 @@ def test_window_and_time_index(spark, tmp_path):
     assert shape(audit_graph.edges(load(spark, tmp_path, "case*.avro"), m.start, m.end)) == (2, 1)
 
 
-def test_bad_files():
+@pytest.mark.parametrize("codec", ["null", "deflate"])
+def test_splits_of_a_file(spark, tmp_path, codec):
+    """Each record once and in order, wherever the splits fall."""
+    rows = [event("EVENT_WRITE", i % 7, 3, f"/p/{i}", T0 + i, i) for i in range(900)]
+    write_avro(tmp_path / "a.avro", rows, block=13, codec=codec)
+    spark.dataSource.register(avro.AuditSource)
+    for split in (700, 5000, 10**9):
+        got = spark.read.format("audit").option("dir", str(tmp_path)).option("split", split).load()
+        assert (got.rdd.getNumPartitions() > 1) == (split < 10**9)
+        assert [(r.t, r.size, r.object_path) for r in got.orderBy("rec_no").collect()] == [(T0 + i, i, f"/p/{i}") for i in range(900)]
+    avro.to_json(spark, [str(tmp_path / "a.avro")], str(tmp_path / "json"))
+    assert spark.read.json(str(tmp_path / "json")).agg(F.sum("size")).first()[0] == sum(range(900))
+
+
+def test_all_kinds_of_values():
+    e = Encoder()
+    schema = {"type": "record", "name": "R", "namespace": "x.y", "fields": [{"name": "a", "type": {"type": "array", "items": "long"}}, {"name": "b", "type": "boolean"}, {"name": "d", "type": "double"}, {"name": "f", "type": "float"}, {"name": "raw", "type": "bytes"}, {"name": "next", "type": ["null", "R"]}]}
+    read = avro.compiled(schema, {})
+    one = e.long(2) + e.long(5) + e.long(-(2**40)) + e.long(-1) + e.long(1) + e.long(7) + e.long(0) + b"\x01" + struct.pack("<d", 0.5) + struct.pack("<f", 0.25) + e.text(b"xy")
+    whole = one + e.long(1) + one + e.long(0)
+    inner = {"a": [5, -(2**40), 7], "b": True, "d": 0.5, "f": 0.25, "raw": b"xy"}
+    assert read(whole, 0) == (inner | {"next": inner | {"next": None}}, len(whole))
+
+
+def test_bad_files(tmp_path):
     with pytest.raises(ValueError):
-        list(avro.Decoder(io.BytesIO(b"nothing")))
+        avro.Container(io.BytesIO(b"nothing"))
+    write_avro(tmp_path / "other.avro", [], schema=AVRO | {"name": "Other"})
+    with pytest.raises(ValueError, match="Other"):
+        list(avro.records(str(tmp_path / "other.avro")))
+    assert list(avro.records(str(tmp_path / "other.avro"), None)) == []
 
 
 def test_case_files(tmp_path):
