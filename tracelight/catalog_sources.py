@@ -5,6 +5,8 @@ The tables hold no logs, so lines and records are written from orders by rules t
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,7 +17,7 @@ from tracelight.operators import ranking, slicing
 from tracelight.plans import attack
 from tracelight.plans.fixpoint import checkpoint, scratch
 from tracelight.registry import query
-from tracelight.sources import audit_graph, syslog
+from tracelight.sources import audit_graph, manifest, syslog
 
 
 def _orders(spark, d) -> DataFrame:
@@ -334,3 +336,72 @@ def _(spark, d):
     out = checkpoint(slicing.connected_to_poi(e, e.where("dst = 'F:/sum'").orderBy("edge_id").limit(1), nets, "F:/sum"))
     back = slicing.back_track(out, "F:/sum")
     return back.where(F.col("node").startswith("N:")).agg(F.count("*").alias("reached"))
+
+
+@query("t9_repaired", CASE + " SELECT src, dst, event, size FROM edges WHERE src NOT LIKE 'F:/in/%'", graph=False)
+def _(spark, d):
+    """Kept: what enters the point of interest. Each network node comes back to it by its shortest way through the log's graph."""
+    e = checkpoint(syslog.edges(_case_lines(spark, d)))
+    nets = e.where(F.col("src").startswith("N:")).select(F.col("src").alias("node")).distinct()
+    high = spark.createDataFrame([("F:/sum", 1.0)], "node string, reputation double")
+    return slicing.repaired(e.where("dst = 'F:/sum'"), nets, e, high).select("src", "dst", "event", "size")
+
+
+# --- files beside the logs -----------------------------------------------------------------------
+
+
+def _files(spark, d, name: str, body: str, where: str = "true") -> tuple[str, list[str]]:
+    """A folder with a file for each nation; name and body have its key as {k} and its name as {n}."""
+    folder = scratch(spark)
+    os.makedirs(folder)
+    rows = spark.read.parquet(f"{d}/nation.parquet").select("n_nationkey", "n_name").where(where).orderBy("n_nationkey").collect()  # 25 rows
+    for r in rows:
+        with open(os.path.join(folder, name.format(k=r[0], n=r[1])), "w", encoding="utf-8") as f:
+            f.write(body.format(k=r[0], n=r[1]))
+    return folder, [r[1] for r in rows]
+
+
+@query("src6_file_order", "SELECT CAST(row_number() OVER (ORDER BY n_nationkey) AS INTEGER) AS place, 'Case' || n_nationkey || 'x.avro' AS name FROM nation", graph=False)
+def _(spark, d):
+    folder, _ = _files(spark, d, "Case{k}x.avro", "")
+    open(os.path.join(folder, "other.txt"), "w").close()
+    names = [os.path.basename(p) for p in manifest.input_files(folder, "Case*.avro")]
+    return spark.createDataFrame([(i, n) for i, n in enumerate(names, 1)], "place int, name string")
+
+
+@query("src7_time_index", "SELECT 'f' || n_nationkey AS name, n_nationkey * 10 AS least, n_nationkey * 20 + 5 AS greatest, 2 AS n FROM nation WHERE n_nationkey * 20 + 5 >= 100 AND n_nationkey * 10 <= 180", graph=False)
+def _(spark, d):
+    """Files whose times, kept in a sidecar, overlap a window."""
+    folder, _ = _files(spark, d, "f{k}", "{k}0\n{k}")
+    times = lambda p: (lambda a, b: [int(a), 2 * int(a) + 5])(*open(p).read().split("\n"))
+    for _ in range(2):  # built, then read again
+        index = manifest.time_index(manifest.input_files(folder, "f*"), times, os.path.join(folder, "index.json"))
+    kept = [index[p] for p in manifest.overlapping(index, 100, 180)]
+    return spark.createDataFrame([(e["fileName"], e["minTimestampNanos"], e["maxTimestampNanos"], e["eventCount"]) for e in kept], "name string, least int, greatest int, n int")
+
+
+@query("src9_src10_cases", """SELECT n_name AS log, '/n/' || n_nationkey AS poi, '/h,/n/' || n_nationkey AS high, 'a, b' AS low, 'lib,m' AS mid, CAST(n_nationkey + 0.5 AS DOUBLE) AS size, 'e1,e2' AS entry FROM nation WHERE n_nationkey % 2 = 0
+UNION ALL SELECT n_name, '/two', '/two', '', 'lib', 0.0, '' FROM nation WHERE n_nationkey % 4 = 0""", graph=False)
+def _(spark, d):
+    """Cases of the logs in a folder; logs without one are left out."""
+    folder, names = _files(spark, d, "{n}.txt", "")
+    for name, body, where in (("{n}.property", "POI=/n/{k}\nhighRP=/h,\nlowRP=a, b\nmidRP=m\nentry= e1 , e2,\ndetectionSize={k}.5\n", "n_nationkey % 2 = 0"), ("{n}:2.property", "POI=/two\n", "n_nationkey % 4 = 0"), ("x{n}.property", "POI=/no\n", "true")):
+        other, _ = _files(spark, d, name, body, where)
+        for f in os.listdir(other):
+            os.rename(os.path.join(other, f), os.path.join(folder, f))
+    rows = []
+    for log in manifest.logs_with_cases(folder):
+        for path in manifest.cases_of(folder, log):
+            c = manifest.CaseConfig.load(path, ["lib"])
+            rows.append((os.path.splitext(os.path.basename(log))[0], c.poi, ",".join(c.high), ",".join(c.low), ",".join(c.mid), c.detection_size, ",".join(c.entry)))
+    return spark.createDataFrame(rows, "log string, poi string, high string, low string, mid string, size double, entry string")
+
+
+@query("src5_manifest", "SELECT 'case*' || n_nationkey || '.avro' AS glob, CAST(n_nationkey AS BIGINT) AS first_t, CAST(n_nationkey + 5 AS BIGINT) AS last_t, n_nationkey % 3 AS most FROM nation", graph=False)
+def _(spark, d):
+    folder, _ = _files(spark, d, "m{k}.cdm", "# a manifest\ncdm.input_dir=.\ncdm.file_glob = case*{k}.avro\ncdm.start_nanos={k}\ncdm.end_nanos: {k}\ncdm.max_events=\n")
+    out = []
+    for path in manifest.input_files(folder, "*.cdm"):
+        m = manifest.Manifest.load(path)
+        out.append((m.glob, m.start, m.end + 5, m.start % 3 + m.max_events))
+    return spark.createDataFrame(out, "glob string, first_t long, last_t long, most int")
