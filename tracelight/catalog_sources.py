@@ -397,11 +397,11 @@ def _(spark, d):
     return spark.createDataFrame(rows, "log string, poi string, high string, low string, mid string, size double, entry string")
 
 
-@query("src5_manifest", "SELECT 'case*' || n_nationkey || '.avro' AS glob, CAST(n_nationkey AS BIGINT) AS first_t, CAST(n_nationkey + 5 AS BIGINT) AS last_t, n_nationkey % 3 AS most FROM nation", graph=False)
+@query("src5_manifest", "SELECT 'case*' || n_nationkey || '.avro' AS pattern, CAST(n_nationkey AS BIGINT) AS first_t, CAST(n_nationkey + 5 AS BIGINT) AS last_t, n_nationkey % 3 AS most FROM nation", graph=False)
 def _(spark, d):
     folder, _ = _files(spark, d, "m{k}.cdm", "# a manifest\ncdm.input_dir=.\ncdm.file_glob = case*{k}.avro\ncdm.start_nanos={k}\ncdm.end_nanos: {k}\ncdm.max_events=\n")
     out = []
     for path in manifest.input_files(folder, "*.cdm"):
         m = manifest.Manifest.load(path)
         out.append((m.glob, m.start, m.end + 5, m.start % 3 + m.max_events))
-    return spark.createDataFrame(out, "glob string, first_t long, last_t long, most int")
+    return spark.createDataFrame(out, "pattern string, first_t long, last_t long, most int")
