@@ -240,8 +240,8 @@ def _grouped(docs: DataFrame, similarity: float = SIMILARITY, words: int = WORDS
     heads = roots.select(F.col("node").alias("p"), F.col("root").alias("p_root"))
     known = kit.checkpoint(known.join(heads, "p", "left").withColumn("apart", F.col("root") != F.coalesce("p_root", "p")).select("bucket", "node", "root", "n", "apart"))
     open_ = known.where("apart").groupBy("bucket").agg(F.count("*").alias("r"), F.max("n").alias("n"))
-    cuts = open_.select("bucket", F.ceil(F.col("r") / BLOCK).cast("int").alias("rows"), F.ceil(F.col("n") / BLOCK).cast("int").alias("columns"))
-    at = known.select("bucket", "node", "root", "apart").join(cuts, "bucket")
+    cuts = open_.select("bucket", "n", F.ceil(F.col("r") / BLOCK).cast("int").alias("rows"), F.ceil(F.col("n") / BLOCK).cast("int").alias("columns"))
+    at = kit.hot_join(known.select("bucket", "node", "root", "apart"), cuts, "bucket", "n")
     place = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
     spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     left = at.where("apart").select("bucket", "node", "root", F.lit(True).alias("left"), place("rows").alias("i"), spread("columns").alias("j"))

@@ -76,6 +76,7 @@ def hot_join(rows: DataFrame, unique: DataFrame, keys: str | list[str], count: s
     the other rows are shuffled, so no task gets more than a HOT-th of them by one key.
     """
     total, names = rows.count() if total is None else total, [keys] if isinstance(keys, str) else keys
+    unique = checkpoint(unique)
     hashed = F.xxhash64(F.lit(HOT), *names)
     hot = [r[0] for r in unique.where(F.col(count) > max(total / HOT, 1)).select(hashed).distinct().collect()]  # fewer than HOT
     if not hot:
@@ -250,3 +251,13 @@ def stored(df: DataFrame) -> DataFrame:
     path = f"{spark.sparkContext.getCheckpointDir()}/tables/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.parquet(path)
+
+
+def discarded(df: DataFrame) -> None:
+    """Deletes the files that stored() wrote for df, once nothing reads them any more."""
+    spark = df.sparkSession
+    own = (spark.sparkContext.getCheckpointDir() or "").rpartition("/")[2]
+    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        if own and f"/{own}/tables/" in folder:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
