@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracelight.llm import bag_minhash, line_dedup, poisson_mix, resample, tree_bpe
-from tracelight.llm.kit import stored, table
+from tracelight.llm.kit import discarded, stored, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,6 +52,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir))
+    for _, stage in STAGES[:-1]:
+        before, docs = docs, stored(stage(spark, docs, sf_dir))
+        if stage is not STAGES[0][1]:
+            discarded(before)  # the table of the stage before has been read
     return STAGES[-1][1](spark, docs, sf_dir)
