@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 LEAF = 512  # characters of a text leaf, tokens of a decoding leaf
 SHORT = 64  # bytes of a piece leaf
-CACHED = 400_000  # pieces remembered by a worker
+CACHED = 200_000  # pieces of a generation that a worker remembers
 
 
 @lru_cache(maxsize=4)
@@ -45,8 +45,8 @@ class Codec:
             self.rank = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f) if a}
         self.token = {v: k for k, v in self.rank.items()}
         self.split = regex.compile(pattern)
-        self.cache: dict[str, tuple[int, ...]] = {}
-        self.text_of: dict[str, tuple[str, int]] = {}
+        self.known: dict[str, tuple[str, int]] = {}
+        self.older: dict[str, tuple[str, int]] = {}
         self.pairs: dict[tuple[int, int], bool] = {}
 
     # --- one piece ---
@@ -56,20 +56,17 @@ class Codec:
         rank = self.rank
         if (whole := rank.get(piece)) is not None:
             return [whole]
-        parts = [piece[i : i + 1] for i in range(len(piece))]
-        far = 1 << 60
-        ranks = [rank.get(parts[i] + parts[i + 1], far) for i in range(len(parts) - 1)]
-        while ranks:
-            low = min(ranks)
-            if low == far:
-                break
+        parts, get, far = [piece[i : i + 1] for i in range(len(piece))], rank.get, 1 << 60
+        ranks = [get(piece[i : i + 2], far) for i in range(len(piece) - 1)]
+        while ranks and (low := min(ranks)) != far:
             i = ranks.index(low)
-            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            made = parts[i] + parts.pop(i + 1)
+            parts[i] = made
             del ranks[i]
             if i < len(ranks):
-                ranks[i] = rank.get(parts[i] + parts[i + 1], far)
+                ranks[i] = get(made + parts[i + 1], far)
             if i:
-                ranks[i - 1] = rank.get(parts[i - 1] + parts[i], far)
+                ranks[i - 1] = get(parts[i - 1] + made, far)
         return [rank[p] for p in parts]
 
     def _compatible(self, a: int, b: int) -> bool:
@@ -101,16 +98,8 @@ class Codec:
         half = len(piece) // 2
         return self._join(self._halves(piece[:half]), self._halves(piece[half:]))
 
-    def piece(self, piece: str) -> tuple[int, ...]:
-        ids = self.cache.get(piece)
-        if ids is None:
-            raw = piece.encode("utf-8", "surrogatepass")
-            ids = tuple(self._merge(raw) if len(raw) <= SHORT else self._halves(raw))
-            if len(self.cache) >= CACHED:
-                self.cache.clear()
-            if len(raw) <= SHORT:
-                self.cache[piece] = ids
-        return ids
+    def piece(self, piece: str) -> list[int]:
+        return self._halves(piece.encode("utf-8", "surrogatepass"))
 
     # --- one text ---
 
@@ -149,21 +138,25 @@ class Codec:
             out.extend(self.piece(p))
         return out
 
+    def _told(self, p: str) -> tuple[str, int]:
+        """A piece's ids as text and their number. What was asked for of the last 2 x CACHED pieces is remembered."""
+        found = self.older.get(p)
+        if found is None:
+            ids = self.piece(p)
+            found = " ".join(map(str, ids)), len(ids)
+        if len(p) <= SHORT:
+            if len(self.known) >= CACHED:
+                self.older, self.known = self.known, {}
+            self.known[p] = found
+        return found
+
     def encoded(self, text: str) -> tuple[str, int]:
         """The decimal ids joined by a space, and their number."""
-        known, words, n = self.text_of, [], 0
+        words, n = [], 0
         for p in self.pieces(text):
-            try:
-                word, k = known[p]
-            except KeyError:
-                ids = self.piece(p)
-                word, k = " ".join(map(str, ids)), len(ids)
-                if len(known) >= CACHED:
-                    known.clear()
-                if len(p) <= SHORT:
-                    known[p] = word, k
-            words.append(word)
-            n += k
+            found = self.known.get(p) or self._told(p)
+            words.append(found[0])
+            n += found[1]
         return " ".join(words), n
 
     def decode(self, ids: list[int]) -> bytes:
