@@ -29,7 +29,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-LEAF = 512  # characters of a text leaf, tokens of a decoding leaf
+LEAF = 1024  # characters of a text leaf, tokens of a decoding leaf
 SHORT = 64  # bytes of a piece leaf
 CACHED = 200_000  # pieces of a generation that a worker remembers
 
