@@ -19,7 +19,8 @@ third of all documents is thus many partitions; each holds its own part, nothing
 Documents with equal words are one class first; in a class of several, the whole text is a span.
 
 Words before and after are compared by 32 bits, the rest by 64 bits: of 2^32 comparisons one takes a span one word too far.
-A task holds one range partition, WIDTH bytes a suffix, as many as spark.sql.shuffle.partitions makes it.
+A task reads its range partition in blocks of about BLOCK suffixes, cut between keys, so what it holds does not grow with the
+partition. A key of more suffixes than a block is cut too; its blocks are compared like partitions.
 
 Defined results. Only repetition between different doc_ids counts. Null or empty text, or below LENGTH words: no rows.
 Null doc_id: takes no part. Rows sharing a doc_id are one document with all their spans. Texts of any length are whole.
@@ -38,7 +39,8 @@ from pyspark.sql import functions as F
 from tracelight.llm import kit
 
 LENGTH, GRAM, WINDOW = 50, 8, 26
-WIDTH = 8 + 8 + 4 + 2 * 4 * (WINDOW - 1)
+#: Suffixes that a task holds at once.
+BLOCK = 1 << 14
 
 
 def minimisers(g: np.ndarray, window: int) -> np.ndarray:
@@ -126,10 +128,12 @@ def _sides(column: pa.Array, side: int) -> tuple[np.ndarray, np.ndarray]:
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     offs = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
     data = np.frombuffer(column.buffers()[2], np.uint8) if column.buffers()[2] is not None else np.zeros(0, np.uint8)
-    n, out = np.diff(offs) // 4, np.zeros((len(column), side * 4), np.uint8)
-    row = np.repeat(np.arange(len(column)), np.diff(offs))
-    out[row, np.arange(offs[-1] - offs[0]) - np.repeat(offs[:-1] - offs[0], np.diff(offs))] = data[offs[0] : offs[-1]]
-    return out.view(">u4").astype(np.uint32), n
+    words, at, n = data[offs[0] : offs[-1]].view(">u4"), (offs[:-1] - offs[0]) // 4, np.diff(offs) // 4
+    out = np.zeros((len(column), side), np.uint32)
+    for j in range(side):
+        has = np.flatnonzero(n > j)
+        out[has, j] = words[at[has] + j]
+    return out, n
 
 
 def _held_by(ids: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -143,23 +147,22 @@ def _held_by(ids: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return out, order[new], low
 
 
-def matched(key: np.ndarray, after: np.ndarray, n_after: np.ndarray, before: np.ndarray, n_before: np.ndarray, node: np.ndarray, seam: bool = True) -> tuple[np.ndarray, list[tuple]]:
+def matched(key: np.ndarray, after: np.ndarray, n_after: np.ndarray, before: np.ndarray, n_before: np.ndarray, node: np.ndarray, edge: np.ndarray | None = None) -> tuple[np.ndarray, list[tuple]]:
     """For sorted suffixes which (row, t) passages another document holds, and what is to be compared across the seams.
 
-    The second: (row, t, hash, least node, whether it asks), for rows of the first and the last key.
+    The second: (row, t, hash, least node, whether it asks), for the rows of edge: those of the first and the last key, unless told.
     """
     n, side = after.shape
     same = np.concatenate([[False], key[1:] == key[:-1]])
     # Words after the key that a suffix shares with the one before it in order.
-    agree = np.concatenate([[0], np.minimum((np.cumprod(after[1:] == after[:-1], axis=1)).sum(axis=1), np.minimum(n_after[1:], n_after[:-1]))])
-    edge = np.zeros(n, bool)
-    if seam:
+    agree = np.concatenate([[0], np.minimum(np.cumprod(after[1:] == after[:-1], axis=1, dtype=np.int8).sum(axis=1), np.minimum(n_after[1:], n_after[:-1]))])
+    if edge is None:
         edge = (key == key[0]) | (key == key[-1])
     covered, open_ = np.zeros((n, side + 1), bool), []
     left = np.zeros(n, np.uint64)
-    right = [np.zeros(n, np.uint64)]
-    for q in range(side):
-        right.append(kit.mix(right[-1] * np.uint64(0x9E3779B97F4A7C15) + after[:, q].astype(np.uint64) + np.uint64(1)))
+    seam, right = np.flatnonzero(edge), [np.zeros(int(edge.sum()), np.uint64)]
+    for q in range(side if len(seam) else 0):
+        right.append(kit.mix(right[-1] * np.uint64(0x9E3779B97F4A7C15) + after[seam, q].astype(np.uint64) + np.uint64(1)))
     for t in range(side + 1):
         q = side - t
         if t:
@@ -171,9 +174,10 @@ def matched(key: np.ndarray, after: np.ndarray, n_after: np.ndarray, before: np.
         if len(at):
             hit, _, _ = _held_by(kit.mix(left[at] + interval[at].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), node[at])
             covered[at[hit], t] = True
-        at = np.flatnonzero(able & edge)
+        own = able[seam]
+        at = seam[own]
         if len(at):
-            h = kit.mix(kit.mix(left[at] ^ kit.mix(right[q][at] + np.uint64(t))) + key[at].view(np.uint64))
+            h = kit.mix(kit.mix(left[at] ^ kit.mix(right[q][own] + np.uint64(t))) + key[at].view(np.uint64))
             _, first, low = _held_by(h, node[at])
             lone = ~covered[at, t]
             asks = np.flatnonzero(lone)
@@ -185,30 +189,65 @@ def matched(key: np.ndarray, after: np.ndarray, n_after: np.ndarray, before: np.
     return covered, open_
 
 
-def _neighbours(length: int, window: int):
-    """Of one range partition: spans (kind 0) and what is open at its seams (kind 1: tells, 2: asks)."""
+def _blocks(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Blocks of about `rows` sorted suffixes, cut between keys, and which of their suffixes stand at a seam.
+
+    At a seam is what has the first or the last key of the partition, or a key of more than `rows` suffixes, which is cut.
+    """
+    held, n, first, cut = [], 0, None, None
+
+    def block(table: pa.Table, last: bool) -> tuple[pa.Table, np.ndarray]:
+        key = table.column("key").to_numpy()
+        edge = key == first
+        if cut is not None:
+            edge |= key == cut
+        if last:
+            edge |= key == key[-1]
+        return table, edge
+
+    for batch in batches:
+        if not len(batch):
+            continue
+        held.append(batch)
+        n += len(batch)
+        if n < rows:
+            continue
+        table = pa.Table.from_batches(held)
+        key = table.column("key").to_numpy()
+        first = key[0] if first is None else first
+        at = len(key) - int(np.argmax((key != key[-1])[::-1])) if key[0] != key[-1] else 0  # where the last key begins
+        if not at:
+            cut = key[0]
+            at = len(key)
+        yield block(table.slice(0, at), False)
+        held, n = table.slice(at).combine_chunks().to_batches(), len(key) - at
+    if n:
+        table = pa.Table.from_batches(held)
+        first = table.column("key")[0].as_py() if first is None else first
+        yield block(table, True)
+
+
+def _neighbours(length: int, window: int, rows: int):
+    """Of one range partition, block by block: spans (kind 0) and what is open at its seams (kind 1: tells, 2: asks)."""
     side, names = window - 1, ["kind", "node", "start", "end", "passage"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        whole = [b for b in batches if len(b)]
-        if not whole:
-            return
-        rows = pa.Table.from_batches(whole)
-        key, node, place = (rows.column(c).to_numpy() for c in ("key", "node", "place"))
-        (after, n_after), (before, n_before) = _sides(rows.column("after"), side), _sides(rows.column("before"), side)
-        covered, open_ = matched(key, after, n_after, before, n_before, node)
-        # Runs of t along a row: a span from the largest t's start to the smallest t's end.
-        grown = np.diff(np.pad(covered, ((0, 0), (1, 1))).astype(np.int8), axis=1)
-        (row, low), (_, high) = np.nonzero(grown == 1), np.nonzero(grown == -1)
-        parts = [(np.zeros(len(row), np.int8), node[row], place[row] - (high - 1), place[row] - low + length, np.zeros(len(row), np.int64))]
-        parts += [(np.where(asks, 2, 1).astype(np.int8), who, place[r] - t, place[r] - t + length, kit.longs(h)) for r, t, h, who, asks in open_]
-        for kind, who, start, end, h in parts:
-            yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(who, pa.int64()), pa.array(start, pa.int32()), pa.array(end, pa.int32()), pa.array(h, pa.int64())], names)
+        for table, edge in _blocks(batches, rows):
+            key, node, place = (table.column(c).to_numpy() for c in ("key", "node", "place"))
+            (after, n_after), (before, n_before) = _sides(table.column("after"), side), _sides(table.column("before"), side)
+            covered, open_ = matched(key, after, n_after, before, n_before, node, edge)
+            # Runs of t along a row: a span from the largest t's start to the smallest t's end.
+            grown = np.diff(np.pad(covered, ((0, 0), (1, 1))).astype(np.int8), axis=1)
+            (row, low), (_, high) = np.nonzero(grown == 1), np.nonzero(grown == -1)
+            parts = [(np.zeros(len(row), np.int8), node[row], place[row] - (high - 1), place[row] - low + length, np.zeros(len(row), np.int64))]
+            parts += [(np.where(asks, 2, 1).astype(np.int8), who, place[r] - t, place[r] - t + length, kit.longs(h)) for r, t, h, who, asks in open_]
+            for kind, who, start, end, h in parts:
+                yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(who, pa.int64()), pa.array(start, pa.int32()), pa.array(end, pa.int32()), pa.array(h, pa.int64())], names)
 
     return run
 
 
-def repeated_passages(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, window: int = WINDOW) -> DataFrame:
+def repeated_passages(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, window: int = WINDOW, block: int = BLOCK) -> DataFrame:
     """doc_id, start_word, end_word (exclusive), n_words: one row for each maximal span of repeated passages."""
     if not gram <= length - window + 1:
         raise ValueError("the window leaves no room for a gram")
@@ -224,7 +263,7 @@ def repeated_passages(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, w
     array = texts.mapInArrow(_contexts(length, gram, window), "key long, after binary, before binary, node long, place int")
     # A key that is more than a partition is dealt by its next words and its documents; the bounds drawn for it are short.
     array = array.repartitionByRange("key", F.substring("after", 1, 16), "node").sortWithinPartitions(*order)
-    found = kit.checkpoint(array.mapInArrow(_neighbours(length, window), "kind byte, node long, start int, end int, passage long"))
+    found = kit.checkpoint(array.mapInArrow(_neighbours(length, window, block), "kind byte, node long, start int, end int, passage long"))
     seams = found.where("kind > 0")
     several = seams.groupBy("passage").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("n")).where("low <> high").select("passage", "n")
     across = kit.hot_join(seams, several, "passage", "n").where("kind = 2")
