@@ -196,6 +196,16 @@ def test_spans_across_windows():
             assert pii.found([text], Marks())[0][1] == [span]
 
 
+def test_texts_taken_together():
+    """op2: slices hold whole texts, about as many characters as asked, each text once."""
+    texts = ["a" * 30, None, "", "b" * 500, "c", "d" * 90, None]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(7)), pa.array(texts)], ["doc_id", "text"])
+    got = list(pii.together(batch, 100))
+    assert [i for part, _ in got for i in part.column("doc_id").to_pylist()] == list(range(7))
+    assert [t for _, some in got for t in some] == [t or "" for t in texts] and [len(some) for _, some in got] == [4, 3]
+    assert list(pii.together(batch.slice(0, 0))) == []
+
+
 def test_gradients():
     t = char_crf.Tagger(3)
     t.p = {k: v.astype(np.float64) for k, v in t.p.items()}

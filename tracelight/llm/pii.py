@@ -30,6 +30,8 @@ from tracelight.llm.char_crf import KINDS, Tagger, codes, trained
 from tracelight.llm.kit import fewest
 
 SIZE, STRIDE, BATCH, SPACE = 512, 416, 1024, codes(" ")[0]
+#: Characters of texts that a task takes at once, in whole texts.
+TOGETHER = 1 << 21
 BACKGROUNDS, STRETCH, TRAINED, WINDOWS, HIDDEN, EPOCHS = 64, 2000, 96, 3000, 12, 8
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -157,6 +159,17 @@ def found(texts: list[str], tagger: Tagger, size: int = SIZE, stride: int = STRI
     return [(good, extra) for (good, _), extra in zip(base, more)]
 
 
+def together(batch: pa.RecordBatch, chars: int = TOGETHER) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+    """Slices of a batch with their texts (null: empty), about `chars` characters each, so that windows of like length meet."""
+    lo, texts, n = 0, [], 0
+    for i, value in enumerate(batch.column("text")):
+        texts.append(value.as_py() or "")
+        n += len(texts[-1])
+        if n >= chars or i + 1 == len(batch):
+            yield batch.slice(lo, len(texts)), texts
+            lo, texts, n = i + 1, [], 0
+
+
 def _line(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for k, a, b in sorted(spans))
 
@@ -176,9 +189,7 @@ def personal_data(docs: DataFrame, tagger: Tagger | None = None, size: int = SIZ
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo in range(0, len(batch), 200):
-                part = batch.slice(lo, 200)
-                texts = [t or "" for t in part.column("text").to_pylist()]
+            for part, texts in together(batch):
                 counts, sums, lines, added = [[], [], [], []], [], [], []
                 for good, extra in found(texts, tagger, size, stride):
                     base = [(k, a, b) for k in range(4) for a, b in good[k]]
