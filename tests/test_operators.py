@@ -1,13 +1,16 @@
 """The operators against brute force and by their properties."""
 
 import random
+import time
 
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from tracelight import graph
+from tracelight.graph import COLUMNS
 from tracelight.operators import dependence, ranking, reduction, slicing, weights
+from tracelight.plans import fixpoint
 
 SCHEMA = "edge_id long, src string, dst string, etype string, event string, start_t long, end_t long, size long"
 
@@ -205,6 +208,22 @@ def test_source_dependence_by_definition(edges, busy):
         assert rows(reduction.reduced(g, "sd", sd_limit=10**6), "edge_id") == [(i,) for i, *_ in want]
 
 
+def test_many_sources_are_passed_on_at_once():
+    """A node that knows of 20,000 sources tells 400 others: sets are joined whole, not source by source."""
+    n, m = 20_000, 400
+    told = [(i, f"N:{i}", "P:hub", "NtoP", "recv", i, i, 1) for i in range(n)] + [(n + i, "P:hub", f"F:{i}", "PtoF", "write", n + i, n + i, 1) for i in range(m)]
+    began = time.process_time()
+    assert len(dependence.in_order(pd.DataFrame(told, columns=COLUMNS), True, -1, -1)) == n + m
+    assert time.process_time() - began < 3
+    held = dependence.in_order(pd.DataFrame(told, columns=COLUMNS), True, -1, 10)
+    assert len(held) == n + m
+
+
+def test_components_in_one_task_agree(edges):
+    a, b = (rows(fixpoint.components(edges, in_process=k), "node", "component") for k in (10**6, 0))
+    assert a == b and a
+
+
 def test_bounded_memory_keeps_more(busy):
     free, one = (reduction.reduced(busy, "fd", fd_window=n).count() for n in (10**6, 1))
     assert free == reduction.reduced(busy, "fd").count() and one >= free
