@@ -199,6 +199,15 @@ def test_full_dependence_by_definition(edges, busy, monkeypatch):
         assert sorted(map(tuple, one[["edge_id", "end_t", "size"]].to_numpy().tolist())) == want
 
 
+def test_full_dependence_judges_contested_edges_only(spark, monkeypatch):
+    """Of a thousand edges two share their ends; only these and what enters those ends are carried through the rounds."""
+    told = [(i, f"P:{i}", f"F:{i}", "PtoF", "write", i, i, 1) for i in range(1000)] + [(1000, "P:7", "F:7", "PtoF", "write", 2000, 2001, 4)]
+    carried, real = [], dependence.settled
+    monkeypatch.setattr(dependence, "settled", lambda state, *a: (carried.append(state.count()), real(state, *a))[1])
+    out = rows(reduction.reduced(spark.createDataFrame(told, SCHEMA), "fd"), "edge_id", "end_t", "size")
+    assert carried == [2] and len(out) == 1000 and out[7] == (7, 2001, 5)
+
+
 def test_source_dependence_by_definition(edges, busy):
     for g in (edges, busy):
         items = [r.asDict() for r in g.collect()]
