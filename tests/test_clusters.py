@@ -1,6 +1,9 @@
 """Two-means: one process against rounds by aggregation."""
 
+import time
+
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -44,3 +47,20 @@ def test_few_edges(edges, mode):  # noqa: F811
     one = edges.limit(1)
     assert [r.weight for r in weights.weighted(one, mode, 430, 3.0, []).collect()] == [1.0 if mode == "localtime" else 0.99]
     assert weights.weighted(edges.limit(0), mode, 430, 3.0, []).count() == 0
+
+
+def test_many_sources_at_once():
+    """Thousands of sources are clustered together, with the weights that each has by itself."""
+    r = np.random.default_rng(3)
+    src = np.sort(np.concatenate([r.integers(0, 4000, 16_000), r.integers(0, 3, 600)]))
+    x = r.random((len(src), 3))
+    x = np.where(r.random(x.shape) < 0.3, np.round(x, 1), x)
+    pdf = pd.DataFrame({"edge_id": r.permutation(len(src)) * 7919 + 1, "src": [f"P:{s:04d}" for s in src], "size": r.integers(0, 3, len(src)), "w_time": x[:, 0], "w_amount": x[:, 1], "w_struct": x[:, 2]})
+    held = frozenset(["P:0001", "P:0003"])
+    began = time.process_time()
+    got = weights.local_weights(pdf, held, 20)
+    assert time.process_time() - began < 6
+    some = pdf[pdf["src"] < "P:0300"]
+    want = pd.concat([weights.local_kernel(g, held, 20) for _, g in some.groupby("src")])
+    both = want.merge(got, on="edge_id")
+    assert len(both) == len(some) and np.allclose(both["weight_x"], both["weight_y"], atol=1e-9)
