@@ -231,6 +231,8 @@ def _grouped(docs: DataFrame, similarity: float = SIMILARITY, words: int = WORDS
     texts = ids.join(wanted.hint("shuffle_hash"), "doc_id").select("node", "class", "text")
     elements = kit.checkpoint(texts.mapInArrow(_elementer(words), "node long, elements array<long>").dropDuplicates(["node"]))
 
+    del slots, sizes, members, central, pivots, wanted, texts  # only the checkpoints below are read on
+    kit.release(docs.sparkSession)
     star = shared.where("node <> p").select(F.least("p", "node").alias("a"), F.greatest("p", "node").alias("b")).distinct()
     linked = kit.checkpoint(_verified(star, elements, similarity).where("linked").select("a", "b"))
     roots = kit.connected_components(linked)
@@ -248,6 +250,8 @@ def _grouped(docs: DataFrame, similarity: float = SIMILARITY, words: int = WORDS
     right = at.select("bucket", "node", "root", F.lit(False).alias("left"), spread("rows").alias("i"), place("columns").alias("j"))
     groups = left.unionAll(right).join(elements, "node")
     more = kit.checkpoint(groups.groupBy("bucket", "i", "j").applyInPandas(_across(similarity), "a long, b long"))
+    del star, known, open_, cuts, at, left, right, groups
+    kit.release(docs.sparkSession)
     if not more.isEmpty():
         roots = kit.connected_components(linked.unionAll(more))
 

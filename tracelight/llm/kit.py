@@ -39,6 +39,12 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner delete shuffles and checkpoints that nothing refers to: it waits for the driver's collector, which
+    a driver with little to do seldom runs."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def fewest(rows: DataFrame, total: int, hashed: F.Column, n: int, *order: str) -> list:
     """The n of rows (about total of them) with the smallest hashes, ties by order; collected, so n must be a bounded parameter.
 
@@ -112,6 +118,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("met"))
         small = hot_join(large, low, "u", "met", 2 * state["n"]).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         e = checkpoint(small.unionAll(low.select("u", F.col("m").alias("v"))).distinct())
+        del both, large, low, small
+        release(e.sparkSession)
     return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
