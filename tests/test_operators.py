@@ -58,6 +58,39 @@ def test_back_track_by_brute_force(edges):
     assert {r.node: r.step for r in slicing.back_track_steps(edges, poi).collect()} == step
 
 
+def jobs(spark, run):
+    """What run() gives, and how many Spark jobs it starts."""
+    spark.sparkContext.setJobGroup("counted", "")
+    try:
+        return run(), len(spark.sparkContext.statusTracker().getJobIdsForGroup("counted"))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def chain(spark, n):
+    """A chain of n edges toward F:0, and as many that lead nowhere."""
+    links = [(i, f"P:{i + 1}" if i < n - 1 else "N:0", f"P:{i}" if i else "F:0", "PtoP", "read", n - i, n - i, 1) for i in range(n)]
+    return spark.createDataFrame(links + [(n + i, f"P:x{i}", f"P:y{i}", "PtoP", "read", i, i, 1) for i in range(n)], SCHEMA)
+
+
+def test_a_long_chain_is_sliced_in_few_jobs(spark):
+    """Rounds over a graph that one task holds are no jobs of their own."""
+    links, n = fixpoint.checkpoint(chain(spark, 150)), 150
+    got, count = jobs(spark, lambda: rows(slicing.back_track(links, "F:0"), "node", "thr"))
+    assert len(got) == n + 1 and dict(got)["N:0"] == 1 and count < 20
+
+
+def test_slices_in_one_task_agree(spark, edges):
+    """In one task, and in rounds over what leads to the point of interest."""
+    both = edges.unionByName(chain(spark, 5).withColumn("edge_id", F.col("edge_id") + 1000))
+    for poi in ("F:0", "P:1", "F:none"):
+        here, apart = (rows(slicing.back_track(both, poi, in_process=k), "node", "thr") for k in (10**6, 0))
+        assert here == apart
+    narrow, n = slicing.leading_to(both, "F:0", 0)
+    assert n == narrow.count() < both.count() and not narrow.where("dst like 'P:y%'").count()
+    assert rows(slicing.leading_to(both, "F:0", n)[0], *narrow.columns) == rows(narrow, *narrow.columns)
+
+
 def test_scan_by_brute_force(edges):
     for poi in ("F:0", "P:1", "N:5"):
         items = sorted((r.asDict() for r in edges.collect()), key=lambda e: (-e["start_t"], e["edge_id"]))
