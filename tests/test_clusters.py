@@ -23,6 +23,26 @@ def test_labels_agree(spark):
     assert not weights.two_means(np.ones((5, 3)), np.arange(5)).any()
 
 
+def test_blocks_tell_what_rows_tell():
+    """A round by blocks counts, sums and labels as one row by row does, and looks at few rows: it takes a fraction of the time."""
+    r = np.random.default_rng(8)
+    x = np.where(r.random((65_536, 3)) < 0.2, 0.5, r.beta(0.5, 2, (65_536, 3)))
+    order, first = weights.blocks_of(x)
+    assert sorted(order) == list(range(len(x))) and np.diff(np.append(first, len(x))).max() <= weights.BLOCK
+    x, ids = x[order], order
+    centres = {t: x[r.integers(0, len(x), 2)] for t in range(20)} | {20: np.array([[0.5, 0.5, 0.5], [0.5, 0.5, 0.0]])}
+    box = weights._boxes(x, ids, first)
+    timed = []
+    for run in (lambda: weights._round(x, ids, centres), lambda: weights._block_round(x, ids, first, *box, centres)):
+        began = time.process_time()
+        timed.append((run(), time.process_time() - began))
+    (want, slow), (got, fast) = timed
+    for t in centres:
+        assert got[t][0].tolist() == want[t][0].tolist() and got[t][3] == want[t][3]
+        assert np.allclose(got[t][1], want[t][1], rtol=1e-12) and np.isclose(got[t][2], want[t][2], rtol=1e-12)
+    assert fast < slow / 2
+
+
 def test_score_of_all_edges(edges):
     """nonoutlier: edges into nodes with one in-edge are not clustered, but projected and rescaled like the others."""
     out = weights.cluster_all(edges, 430, 3.0, ["F:0"], only_busy=True)
