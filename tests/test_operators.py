@@ -91,6 +91,32 @@ def test_slices_in_one_task_agree(spark, edges):
     assert rows(slicing.leading_to(both, "F:0", n)[0], *narrow.columns) == rows(narrow, *narrow.columns)
 
 
+def test_steps_in_one_task(spark, edges):
+    """A long chain takes few jobs, and the steps are those of the rounds."""
+    links = fixpoint.checkpoint(chain(spark, 60))
+    got, count = jobs(spark, lambda: rows(slicing.back_track_steps(links, "F:0"), "node", "step"))
+    assert dict(got)["N:0"] == 61 and len(got) == 61 and count < 20
+    here, apart = (rows(slicing.back_track_steps(edges, "F:0", in_process=k), "node", "thr", "step") for k in (10**6, 0))
+    assert here == apart
+
+
+def test_a_slice_does_not_move_the_edges(edges):
+    """What was reached is broadcast where it is small."""
+    cut = slicing.slice_edges(edges, slicing.back_track(edges, "F:0"))
+    assert "BroadcastHashJoin" in cut._jdf.queryExecution().executedPlan().toString()
+
+
+def test_merged_walks_in_one_task(spark, edges):
+    """Few jobs along a long chain; with many starts the edges are those of the rounds."""
+    links = fixpoint.checkpoint(chain(spark, 60).where("src not like 'P:x%'"))
+    start = spark.createDataFrame([("N:0",)], "node string")
+    got, count = jobs(spark, lambda: slicing.merged_forward(links, start, 50).count())
+    assert got == 49 and count < 25
+    some = edges.select("src").distinct().where("src like 'N:%'").withColumnRenamed("src", "node")
+    here, apart = (rows(slicing.merged_forward(edges, some, 300, in_process=k), "edge_id") for k in (10**6, 0))
+    assert here == apart and here
+
+
 def test_scan_by_brute_force(edges):
     for poi in ("F:0", "P:1", "N:5"):
         items = sorted((r.asDict() for r in edges.collect()), key=lambda e: (-e["start_t"], e["edge_id"]))
