@@ -1,5 +1,8 @@
 """The operators against brute force and by their properties."""
 
+import collections
+import datetime
+import math
 import random
 import time
 
@@ -10,7 +13,7 @@ from pyspark.sql import functions as F
 from tracelight import graph
 from tracelight.graph import COLUMNS
 from tracelight.operators import dependence, ranking, reduction, slicing, weights
-from tracelight.plans import fixpoint
+from tracelight.plans import fixpoint, testgraph
 
 SCHEMA = "edge_id long, src string, dst string, etype string, event string, start_t long, end_t long, size long"
 
@@ -91,6 +94,49 @@ def test_slices_in_one_task_agree(spark, edges):
     assert rows(slicing.leading_to(both, "F:0", n)[0], *narrow.columns) == rows(narrow, *narrow.columns)
 
 
+def test_every_round_is_broadcast_where_it_is_small(spark, edges):
+    """The first one too, so that no round moves the links."""
+    links, plans = fixpoint.checkpoint(edges.select("src", F.col("dst").alias("node"))), []
+
+    def step(frontier):
+        met = links.join(frontier, "node")
+        plans.append(met._jdf.queryExecution().executedPlan().toString())
+        return met.select(F.col("src").alias("node"))
+
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # nothing is known of sizes
+    try:
+        fixpoint.iterate(spark.createDataFrame([("F:0",)], "node string"), step, ["node"])
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert len(plans) > 1 and all("BroadcastHashJoin" in p for p in plans)
+
+
+def test_graph_of_odd_tables(spark, tmp_path):
+    """Edges meet their orders and each other by numbers in one shuffle; missing and repeated keys are edges as before."""
+    at = lambda day: day and datetime.datetime(2020, 1, day)
+    orders = [(1, 1, 10.5, 1), (1, 1, 9.4, 1), (1, 2, 3.0, 3), (2, None, 5.0, 2), (2, None, 4.0, 2), (None, 3, 1.0, 4), (None, None, 2.0, 4), (3, 4, None, None), (4, 5, 7.0, 5)]
+    lines = [(1, 7, 1, 3.0, 2), (1, 7, 1, 2.0, 2), (1, 7, 2, 2.0, 2), (2, None, 1, 6.0, 2), (2, None, 2, 6.0, 9), (2, 8, None, 6.0, 9), (None, 8, 1, 6.0, 9), (3, 9, 1, 1.0, None), (9, 9, 1, 1.0, 1), (4, 1, 1, 1.0, None)]
+    spark.createDataFrame([(*r[:3], at(r[3])) for r in orders], "o_orderkey long, o_custkey long, o_totalprice double, o_orderdate timestamp").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame([(*r[:4], at(r[4])) for r in lines], "l_orderkey long, l_partkey long, l_linenumber int, l_quantity double, l_shipdate timestamp").write.parquet(f"{tmp_path}/lineitem.parquet")
+    name, nanos = (lambda kind, key: None if key is None else f"{kind}#{key}"), (lambda day: day and (day - 1) * 86_400 * 10**9 + 1_577_836_800 * 10**9)
+    want = collections.defaultdict(list)
+    for key, customer, price, day in orders:
+        t = nanos(day)
+        want[name("N:cust", customer), name("P:order", key), t, t].append(("NtoP", "recv", price and math.floor(price + 0.5)))
+        for of, part, number, quantity, shipped in lines:
+            if of is not None and of == key:
+                times = [x for x in (t, nanos(shipped)) if x is not None] or [None]
+                ends = (name("F:part", part), name("P:order", key))
+                read = number is not None and number % 2 == 1
+                want[(*(ends if read else ends[::-1]), min(times), max(times))].append(("FtoP", "read", int(quantity)) if read else ("PtoF", "write", int(quantity)))
+    least = lambda v: min((x for x in v if x is not None), default=None)
+    got = testgraph.edges(spark, str(tmp_path))
+    assert collections.Counter((r.src, r.dst, r.etype, r.event, r.start_t, r.end_t, r.size) for r in got.collect()) == collections.Counter((k[0], k[1], *[least(c) for c in list(zip(*v))[:2]], k[2], k[3], least([x[2] for x in v])) for k, v in want.items())
+    plan = testgraph.edges(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 2 and "Broadcast" not in plan and "SortAggregate" not in plan
+
+
 def test_steps_in_one_task(spark, edges):
     """A long chain takes few jobs, and the steps are those of the rounds."""
     links = fixpoint.checkpoint(chain(spark, 60))
