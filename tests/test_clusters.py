@@ -61,6 +61,27 @@ def test_score_of_all_edges(edges):
     assert (~busy).sum() >= 0 and all(abs(got[i] - w) < 1e-9 for i, w in zip(x["edge_id"], x["want"]))
 
 
+@pytest.mark.parametrize("busy", [False, True])
+def test_degrees_are_taken_once(edges, monkeypatch, busy):  # noqa: F811
+    """What tells busy targets comes with the features: no second shuffle of all edges by their targets."""
+    calls, degrees = [], weights.degrees
+    monkeypatch.setattr(weights, "degrees", lambda e: calls.append(1) or degrees(e))
+    out = weights.cluster_all(edges, 430, 3.0, ["F:0"], only_busy=busy)
+    assert len(calls) == 1 and "_busy" not in out.columns and out.count() == edges.count()
+
+
+def test_sums_meet_by_hash_tables_where_they_are_small(spark, edges):  # noqa: F811
+    limit, values = spark.conf.get("spark.sql.autoBroadcastJoinThreshold"), {"_n": F.col("size")}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # nothing is small enough for every task
+    try:
+        by = [weights.with_sums(edges, values, n) for n in (1000, 10**12, None)]
+        plans = [b._jdf.queryExecution().executedPlan().toString() for b in by]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert ["ShuffledHashJoin" in p for p in plans] == [True, False, False]
+    assert len({tuple(sorted(b.select("edge_id", "_n").collect())) for b in by}) == 1
+
+
 @pytest.mark.parametrize("mode", ["clusterall", "nonoutlier", "localtime"])
 def test_few_edges(edges, mode):  # noqa: F811
     """One edge, or edges that are all alike, have no two groups: the rescaled heuristic."""
