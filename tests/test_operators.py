@@ -5,6 +5,7 @@ import datetime
 import math
 import random
 import time
+import tracemalloc
 
 import pandas as pd
 import pytest
@@ -333,6 +334,35 @@ def test_many_sources_are_passed_on_at_once():
     assert len(held) == n + m
 
 
+def test_large_sets_of_sources_are_followed_in_blocks(edges, busy, monkeypatch):
+    """Blocks of 64 sources give what whole sets give, whether edges are taken together or one by one."""
+    real, made = dependence.told_anew, []
+    monkeypatch.setattr(dependence, "told_anew", lambda *a: made.append(real(*a)) or made[-1])
+    wide = [(i, f"N:{i}", f"F:{i % 40}", "NtoF", "send", i % 7, i, 1) for i in range(300)] + [(300 + i, f"F:{i % 40}", f"P:{i * 7 % 90}", "FtoP", "read", 8 + i % 3, i, 1) for i in range(400)]
+    for pdf in (edges.toPandas(), busy.toPandas(), pd.DataFrame(wide, columns=COLUMNS)):
+        blocks, whole = (sorted(map(tuple, dependence.in_order(pdf, True, -1, -1, room)[["edge_id", "end_t", "size"]].to_numpy().tolist())) for room in (0, 10**9))
+        assert blocks == whole and len(blocks) < len(pdf)
+    assert any(m is not None for m in made)
+
+
+def test_what_ended_nodes_knew_is_forgotten():
+    """20,000 files each know of other sources, and nothing comes after: 25 MB of sets are not held together."""
+    n = 20_000
+    told = [row for i in range(n) for row in ((2 * i, f"N:{i}", "P:hub", "NtoP", "recv", 2 * i, 2 * i, 1), (2 * i + 1, "P:hub", f"F:{i}", "PtoF", "write", 2 * i + 1, 2 * i + 1, 1))]
+    pdf = pd.DataFrame(told, columns=COLUMNS)
+    tracemalloc.start()
+    assert len(dependence.in_order(pdf, True, -1, -1)) == 2 * n
+    most = tracemalloc.get_traced_memory()[1] / 1e6
+    tracemalloc.stop()
+    assert most < 40, most
+
+
+def test_an_edge_without_an_end_stays(spark):
+    """Where a source or a target is not known nothing can be judged."""
+    told = [(1, None, "P:a", "FtoP", "read", 1, 2, 5), (2, "P:a", None, "PtoF", "write", 3, 4, 5), (3, "N:b", "P:a", "NtoP", "recv", 1, 1, 5)]
+    assert rows(reduction.reduced(spark.createDataFrame(told, SCHEMA), "sd"), "edge_id") == [(1,), (2,), (3,)]
+
+
 def test_components_in_one_task_agree(edges):
     a, b = (rows(fixpoint.components(edges, in_process=k), "node", "component") for k in (10**6, 0))
     assert a == b and a
