@@ -147,6 +147,39 @@ def test_steps_in_one_task(spark, edges):
     assert here == apart
 
 
+@pytest.mark.parametrize("piece", [7, 10**6])
+def test_slices_over_files_agree(edges, piece, monkeypatch):
+    """Walks over hashes in files, piece by piece, give what rounds over names give; nothing is pruned in jobs first."""
+    monkeypatch.setattr(slicing, "PIECE", piece)
+    some = edges.select("src").distinct().where("src like 'N:%'").withColumnRenamed("src", "node")
+    for run, told in (
+        (lambda k: slicing.back_track(edges, "F:0", in_process=0, on_disk=k), ["node", "thr"]),
+        (lambda k: slicing.back_track(edges, "F:0", max_rounds=1, in_process=0, on_disk=k), ["node", "thr"]),
+        (lambda k: slicing.back_track_steps(edges, "F:0", in_process=0, on_disk=k), ["node", "thr", "step"]),
+        (lambda k: slicing.back_track(edges, "F:none", in_process=0, on_disk=k), ["node", "thr"]),
+        (lambda k: slicing.merged_forward(edges, some, 300, in_process=0, on_disk=k), ["edge_id"]),
+    ):
+        here, rounds = (rows(run(k), *told) for k in (10**6, 0))
+        assert here == rounds and here
+
+
+def test_a_long_chain_over_files(spark):
+    """A chain of 60 edges takes few jobs where the graph is too large to be held."""
+    links = fixpoint.checkpoint(chain(spark, 60))
+    got, count = jobs(spark, lambda: rows(slicing.back_track(links, "F:0", in_process=0), "node"))
+    assert len(got) == 61 and count < 40
+
+
+def test_names_that_share_a_hash(edges, monkeypatch):
+    """Then rounds over names are taken."""
+    want = rows(slicing.back_track(edges, "F:0"), "node", "thr")
+    monkeypatch.setattr(slicing.F, "xxhash64", lambda *c: F.length(c[0]).cast("long"))
+    assert slicing._walked_on_disk(slicing._turned(edges), 0, "F:0", 10) is None
+    monkeypatch.undo()
+    monkeypatch.setattr(slicing, "_walked_on_disk", lambda *a: None)
+    assert rows(slicing.back_track(edges, "F:0", in_process=0), "node", "thr") == want
+
+
 def test_a_slice_does_not_move_the_edges(edges):
     """What was reached is broadcast where it is small."""
     cut = slicing.slice_edges(edges, slicing.back_track(edges, "F:0"))
